@@ -1,0 +1,6 @@
+"""All queries of the core, by name, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
