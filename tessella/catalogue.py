@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.operators import hierarchy, packed
+from tessella.plans.runtime import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return packed.packed_values(table(spark, d, "patent_claim"), table(spark, d, "finance_news"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.claim_trees(table(spark, d, "patent_claim"))
+
+
+QUERIES: dict = {"p3_found": p3_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
