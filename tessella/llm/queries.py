@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import leaks, skeleton, tokens
+from tessella.llm import leaks, skeleton, splits, tokens
 from tessella.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_codes(table(spark, d, "patent_claim"))
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "patent_claim"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -24,5 +32,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_splits": p2_splits, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
