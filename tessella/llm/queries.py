@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import languages, leaks, skeleton, splits, tokens
+from tessella.llm import boilerplate, languages, leaks, skeleton, splits, tokens
 from tessella.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.pages_to_blocks(table(spark, d, "news_page"))
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.pages_to_text(table(spark, d, "news_page"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.tied_codes(table(spark, d, "patent_claim"))
 
@@ -40,5 +48,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
