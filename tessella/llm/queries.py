@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import boilerplate, languages, leaks, skeleton, splits, tokens
+from tessella.llm import boilerplate, languages, leaks, scans, skeleton, splits, tokens
 from tessella.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "patent_claim"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repairs(table(spark, d, "title_page"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.unnamed_languages(table(spark, d, "news_body"), table(spark, d, "documents"))
 
@@ -48,5 +52,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
