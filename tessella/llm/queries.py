@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import boilerplate, languages, leaks, scans, skeleton, splits, tokens
+from tessella.llm import boilerplate, languages, leaks, names, scans, skeleton, splits, tokens
 from tessella.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return languages.record_languages(table(spark, d, "news_body"), table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_names(table(spark, d, "finance_news"), table(spark, d, "person_input"))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.attribute(names.spellings(table(spark, d, "finance_news"), table(spark, d, "person_input")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -52,5 +60,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
