@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +35,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; its lineage ends there.
+    """``df`` written as a table to the shared checkpoint folder and read again; its lineage ends there.
 
-    A checkpoint also carries the constraints that the optimizer inferred for
-    its plan, and in a loop those multiply with every round until the driver's
-    memory ends; hence none are inferred for it.
+    A table rather than a checkpoint: a checkpoint keeps the optimizer's
+    estimates, and the estimated size of a join is the product of its sides',
+    so that in a loop the mere numbers fill the driver's memory. The table's
+    size is known from its files, so later joins are planned rightly as well.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Removes the tables that ``cut`` wrote; what was computed from them can't be read any more."""
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before the process
+            continue
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
