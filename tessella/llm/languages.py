@@ -34,8 +34,8 @@ NAMES = {
     "ru": "ru rus russian русский 俄语",
 }
 _CODES = {name: code for code, names in NAMES.items() for name in names.split()}
-#: Labelled rows per language that train the model; and sentences of one row.
-SAMPLE_ROWS, SAMPLE_SENTENCES = 600, 12
+#: Labelled rows per language (and table) that train the model, sentences of one row, characters of one sentence.
+SAMPLE_ROWS, SAMPLE_SENTENCES, SAMPLE_CHARS = 240, 8, 300
 BUCKETS, DIMENSIONS, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
 EPOCHS, RATE, BATCH = 6, 12.0, 64
 #: Confidence under which a sentence gets no language.
@@ -63,7 +63,7 @@ def _grams(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = "\n".join(" " + " ".join(_LETTERS.findall(s.lower())) + " " for s in sentences) + "\n"
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = points == 10
-    owner = np.cumsum(ends) - ends
+    owner = (np.cumsum(ends) - ends).astype(np.int32)
     buckets, owners = [], []
     h = np.zeros(len(points), np.uint64)
     crossing = np.zeros(len(points), bool)
@@ -77,7 +77,7 @@ def _grams(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
             crossing = crossing[:m] | ends[n - 1 :]
             if n in ORDERS:
                 keep = ~crossing if n > 1 else ~crossing & (points[:m] != 32)
-                buckets.append((h[keep] & np.uint64(BUCKETS - 1)).astype(np.int64))
+                buckets.append((h[keep] & np.uint64(BUCKETS - 1)).astype(np.int32))
                 owners.append(owner[:m][keep])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -110,6 +110,7 @@ def _descend(sentences: list[str], targets: np.ndarray, classes: int, seed: int)
     order = np.argsort(owners, kind="stable")
     buckets = buckets[order]
     starts = np.searchsorted(owners[order], np.arange(len(sentences) + 1))
+    del owners, order
     usable = np.flatnonzero(np.diff(starts) > 0)
     steps, step = EPOCHS * (len(usable) // BATCH + 1), 0
     for _ in range(EPOCHS):
@@ -175,7 +176,7 @@ def training_rows(labelled: DataFrame, label: str, texts: Column, key: str, per_
     drawn = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("code", F.slice("texts", 1, SAMPLE_SENTENCES).alias("texts"), "k")
     out = []
     for row in sorted(drawn.collect(), key=lambda r: (r.code, str(r.k))):
-        sentences = [s[:2000] for t in row.texts or [] if t for s in split_sentences(t[:20000])]
+        sentences = [s[:SAMPLE_CHARS] for t in row.texts or [] if t for s in split_sentences(t)]
         out += [(row.code, s) for s in sentences[:SAMPLE_SENTENCES]]
     return out
 
