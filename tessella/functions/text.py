@@ -16,10 +16,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Blanks that Python's split knows and Java's \s doesn't.
-BLANKS = r"[\s   ᠎ -   　\x1c-\x1f\x85]"
+BLANKS = r"[\s\u00a0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]"
 # Characters that are taken out, not replaced by a blank.
-INVISIBLE = "​‌‍⁠﻿­‎‏"
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 
@@ -31,7 +31,7 @@ def remove_controls(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     """The common named and the decimal HTML entities as characters; ``&amp;`` last, so that nothing is unescaped twice."""
     out = text
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("ldquo", "“"), ("rdquo", "”"), ("mdash", "—"), ("hellip", "…"), ("amp", "&")):
+    for name, char in (("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("ldquo", "“"), ("rdquo", "”"), ("mdash", "—"), ("hellip", "…"), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out
 
@@ -78,7 +78,7 @@ def half_digits(text: Column) -> Column:
 
 def remove_punctuation(text: Column) -> Column:
     """Without blanks, ASCII and East Asian punctuation."""
-    return F.regexp_replace(text, r"[\p{P}\p{S}\s　]+", "")
+    return F.regexp_replace(text, r"[\p{P}\p{S}\s\u3000]+", "")
 
 
 def replace_all(text: Column, table: Mapping[str, str]) -> Column:
@@ -116,7 +116,7 @@ def ends_sentence(text: Column) -> Column:
 
 def blanks_to_space(text: Column) -> Column:
     """No-break blanks, tabs and line feeds as blanks, one for one."""
-    return F.translate(text, " \t\n", "   ")
+    return F.translate(text, "\u00a0\t\n", "   ")
 
 
 def plain_name(text: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tessella.operators.components import components
 from tessella.plans.query import tokens
@@ -163,6 +164,31 @@ def blocks_trigram(a: Column, b: Column) -> Column:
     return F.arrays_overlap(shingles(a, 3), shingles(b, 3))
 
 
+def _band_hashes(bands: int, rows: int):
+    """An Arrow UDF from an array of hashes to one hash per band of minima."""
+    rng = np.random.default_rng(11)
+    factors = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    masks = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64)
+    mix = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @pandas_udf("array<bigint>")
+    def run(sets: pd.Series) -> pd.Series:
+        out = []
+        with np.errstate(over="ignore"):
+            for one in sets:
+                x = np.asarray(one, np.int64).astype(np.uint64)
+                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(x), 4096):
+                    h = (x[at : at + 4096, None] ^ masks) * factors
+                    h ^= h >> np.uint64(32)
+                    low = np.minimum(low, (h * factors).min(0))
+                band = (low.reshape(bands, rows) * mix).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                out.append((band ^ (band >> np.uint64(29))).astype(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, n: int = 5, bands: int = 24, rows: int = 4) -> DataFrame:
     """``(key, class_id, links)``: classes of texts whose word 5-gram sets have a Jaccard similarity of ``least`` or more.
 
@@ -177,9 +203,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
     sets = hashed.withColumn("s", F.transform(shingles(F.col("t"), n), lambda x: F.xxhash64(x)))
     sets = sets.withColumn("h", F.when(F.size("s") > 0, F.xxhash64(F.array_sort("s"))))
     folded = sets.where("h is not null").groupBy("h").agg(F.min("k").alias("head"), F.min_by("s", "k").alias("s"))
-    minima = F.array(*[F.array_min(F.transform("s", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(bands * rows)])
-    banded = folded.select("head", "s", minima.alias("m")).select("head", "s", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("m", b * rows + 1, F.lit(rows))))).alias("band", "bucket"))
-    members = banded.select("head", F.xxhash64("band", "bucket").alias("b"))
+    members = spread(folded.select("head", "s")).select("head", F.explode(_band_hashes(bands, rows)("s")).alias("b"))
     from tessella.plans.pairs import pairs_within
 
     pairs = pairs_within(members, "b", "head", "a", "b")
