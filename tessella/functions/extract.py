@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from tessella.plans.runtime import let
+
 
 def between_markers(text: Column, starts: Sequence[str], ends: Sequence[str]) -> Column:
     """The trimmed text after the first start marker found and before the nearest end marker after it; null without a start."""
@@ -191,8 +193,8 @@ def western_number(number: Column) -> Column:
 
 def softmax(values: Column) -> Column:
     """The softmax of an array of doubles, shifted by its greatest member."""
-    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    exps = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    return let(exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def list_median(values: Column) -> Column:

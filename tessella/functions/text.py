@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tessella.plans.runtime import let
+
 # Blanks that Python's split knows and Java's \s doesn't.
 BLANKS = r"[\s\u00a0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]"
 # Characters that are taken out, not replaced by a blank.
@@ -286,7 +288,7 @@ def entities_inside(chunk: Column, entities: Column) -> Column:
 def merge_windows(outputs: Column, separator: str = "|", nothing: str = "") -> Column:
     """Outputs of windows as one: split, those inside a different one and the word for nothing dropped; that word if none is left."""
     parts = F.array_distinct(F.flatten(F.transform(outputs, lambda x: F.split(x, re.escape(separator)))))
-    kept = F.filter(parts, lambda x: (x != nothing) & (x != "") & ~F.exists(parts, lambda y: (y != x) & F.contains(y, x)))
+    kept = let(parts, lambda p: F.filter(p, lambda x: (x != nothing) & (x != "") & ~F.exists(p, lambda y: (y != x) & F.contains(y, x))))
     return F.when(F.size(kept) == 0, F.lit(nothing)).otherwise(F.array_join(kept, separator))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from tessella.functions.extract import edit_ratio
+from tessella.plans.runtime import let
 
 
 def entity_score(df: DataFrame, truth: str, guess: str, by: Sequence[str] = (), weight: tuple[float, float] | None = None) -> DataFrame:
@@ -96,8 +97,10 @@ def phrase_report(true_spans: DataFrame, guessed_spans: DataFrame, keys: Sequenc
 def rouge_n(truth: Column, guess: Column, n: int = 1) -> Column:
     """Precision, recall and F of word n-grams, each distinct gram once, as a struct."""
     def grams(x: Column) -> Column:
-        t = F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
-        return F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+        def cut(t: Column) -> Column:
+            return F.when(F.size(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+
+        return let(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), cut)
 
     a, b = grams(truth), grams(guess)
     c = F.size(F.array_intersect(a, b))

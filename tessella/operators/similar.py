@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tessella.operators.components import components
 from tessella.plans.query import tokens
-from tessella.plans.runtime import spread
+from tessella.plans.runtime import let, spread
 
 #: Query vectors in one block that meets the corpus.
 QUERY_BLOCK = 4096
@@ -154,9 +154,11 @@ def contained_titles(df: DataFrame, key: str, text: str, most: int = 3) -> DataF
 
 def shingles(text: Column, n: int = 5) -> Column:
     """The distinct word n-grams of a text; one of all its words if there are fewer."""
-    t = tokens(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
-    return F.when(F.size(t) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1))
+        return F.when(F.size(t) > 0, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens(text), grams)
 
 
 def blocks_trigram(a: Column, b: Column) -> Column:

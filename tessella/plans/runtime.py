@@ -6,8 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,6 +77,11 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression used inside a lambda would be computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
