@@ -37,7 +37,7 @@ _CODES = {name: code for code, names in NAMES.items() for name in names.split()}
 #: Labelled rows per language (and table) that train the model, sentences of one row, characters of one sentence.
 SAMPLE_ROWS, SAMPLE_SENTENCES, SAMPLE_CHARS = 240, 8, 300
 BUCKETS, DIMENSIONS, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
-EPOCHS, RATE, BATCH = 6, 12.0, 64
+EPOCHS, LEAST_STEPS, RATE, BATCH = 6, 1500, 12.0, 64
 #: Confidence under which a sentence gets no language.
 LEAST = 0.6
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -112,8 +112,10 @@ def _descend(sentences: list[str], targets: np.ndarray, classes: int, seed: int)
     starts = np.searchsorted(owners[order], np.arange(len(sentences) + 1))
     del owners, order
     usable = np.flatnonzero(np.diff(starts) > 0)
-    steps, step = EPOCHS * (len(usable) // BATCH + 1), 0
-    for _ in range(EPOCHS):
+    per_epoch = len(usable) // BATCH + 1
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         rng.shuffle(usable)
         for at in range(0, len(usable), BATCH):
             rate = RATE * max(0.05, 1 - step / steps) / BATCH
