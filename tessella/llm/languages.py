@@ -218,7 +218,7 @@ def languages_of_parts(records: DataFrame, model: Model | None, key: str = "rec_
                 c = int(p[x].argmax())
                 if sure[x] < 0 and i in weight:
                     main = int(weight[i].argmax())
-                    if p[x][main] >= np.sort(p[x])[-2]:
+                    if p[x].max() < 0.8 and p[x][main] >= max(0.2, np.sort(p[x])[-2]):
                         c = main
                 q = float(p[x][c])
                 if p[x].max() < LEAST and q < 0.3:
