@@ -32,7 +32,7 @@ def read_delimited(spark: SparkSession, path: str, schema: str | StructType, sep
 
 def write_delimited(df: DataFrame, path: str, separator: str = ",", compression: str = "gzip") -> None:
     """Delimited text with a header, a file per partition."""
-    df.write.mode("overwrite").option("sep", separator).option("header", True).option("escape", '"').option("compression", compression).csv(path)
+    df.write.mode("overwrite").option("sep", separator).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("compression", compression).csv(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
