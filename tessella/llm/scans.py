@@ -83,7 +83,7 @@ def _key(line: str) -> str:
 
 
 def _edge_rows(page: int, pdf: str, number: int, text: str | None) -> list[tuple]:
-    """Lines that may run: (pdf, page number, page, line, place, depth, key, number on it, offset, title-like)."""
+    """Lines that may run: file, page, line, place and depth at the edge, kind, masked form, number on it, and whether it is set like a title."""
     lines = _lines(text)
     full = [i for i, x in enumerate(lines) if x.strip()]
     if not full:
@@ -109,7 +109,11 @@ def _edge_rows(page: int, pdf: str, number: int, text: str | None) -> list[tuple
                 rest = near.group("x") or near.group("y")
                 kind = "both"
         title = rest.rstrip()[-1:] not in ".。,，;；:：" + HYPHENS and _width(rest) <= 0.8 * max(wide, 40) and not _ONLY_NUMBERS.match(rest)
-        out.append((pdf, number, page, i + 1, place, depth, kind, rest if kind == "number" else _key(rest), value, title))
+        words = re.findall(r"[^\W\d_]+", rest)
+        small = sum(w[0].islower() for w in words if not re.search(rf"[{_CJK}]", w))
+        # Set like a title so plainly that it needs no second page: short, no sentence inside, mostly capitals.
+        alone = title and _width(rest) <= 0.65 * max(wide, 40) and not re.search(r"[，。；]|[.;] ", rest) and small * 2 <= max(1, len(words))
+        out.append((pdf, number, page, i + 1, place, depth, kind, rest if kind == "number" else _key(rest), value, title, alone))
 
     for depth, i in enumerate(full[:2]):
         row(i, "top", depth)
@@ -119,11 +123,11 @@ def _edge_rows(page: int, pdf: str, number: int, text: str | None) -> list[tuple
     for i in full[2:-2]:
         line = lines[i].strip()
         if line[-1] not in ".。,，;；:：" + HYPHENS and _width(line) <= 0.6 * wide and not _ONLY_NUMBERS.match(line):
-            out.append((pdf, number, page, i + 1, "middle", 0, "text", _key(line), None, True))
+            out.append((pdf, number, page, i + 1, "middle", 0, "text", _key(line), None, True, False))
     return out
 
 
-_EDGE_SCHEMA = "pdf string, number int, page_id bigint, line_no int, place string, depth int, kind string, key string, value int, title boolean"
+_EDGE_SCHEMA = "pdf string, number int, page_id bigint, line_no int, place string, depth int, kind string, key string, value int, title boolean, alone boolean"
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def running_lines(pages: DataFrame) -> DataFrame:
     number_runs = (F.col("kind") == "number") & F.when(plain_number, steady | ((F.col("numbered") == 1) & (F.col("place") == "bottom") & (F.col("value") == F.col("number")))).otherwise(steady | (F.col("numbered") >= 2) | (F.col("offset") == 0))
     # A number misread beyond reading still stands in the frame of the others.
     number_runs = number_runs | ((F.col("kind") == "number") & plain_number & (F.col("numbered") >= 3) & F.col("value").isNull())
-    text_runs = (F.col("kind") == "text") & F.col("title") & F.col("heading").isNull() & ((F.col("n") >= 2) | (F.col("place") == "top"))
+    text_runs = (F.col("kind") == "text") & F.col("title") & F.col("heading").isNull() & ((F.col("n") >= 2) | ((F.col("place") == "top") & F.col("alone")))
     both_runs = (F.col("kind") == "both") & F.coalesce(F.col("title"), F.lit(False)) & ((F.col("n") >= 2) | steady | (F.col("offset") == 0))
     marked = judged.withColumn("runs", F.coalesce(number_runs | text_runs | both_runs, F.lit(False)))
     first = marked.where("depth = 0 and runs").select("page_id", "place", "line_no", "kind")
