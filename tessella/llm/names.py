@@ -35,6 +35,8 @@ NICKNAMES = {
 ORGANISATION_WORDS = frozenset(
     "university hospital institute oncology medical medicine research foundation life sciences science fund funds capital partners partner ventures venture therapeutics pharmaceuticals pharmaceutical pharma biosciences bioscience biotech biotechnology biologics healthcare health care investment investments management labs laboratories laboratory clinic center centre college school bank trust holdings holding international global asset advisors equity technologies technology systems genomics diagnostics".split()
 )
+# Words of a name that are often left out.
+OPTIONAL_WORDS = frozenset("partners partner group holding holdings international global".split())
 # Short forms that no rule gives.
 SHORT_WORDS = {"tx": "therapeutics", "rx": "pharmaceuticals", "hcare": "healthcare", "intl": "international", "natl": "national", "bros": "brothers", "mgt": "management", "mgmt": "management", "inv": "investment", "hosp": "hospital", "inst": "institute", "dept": "department"}
 # Legal forms, without dots; each row is one form.
@@ -104,9 +106,9 @@ def _word(token: str) -> str | None:
         return token
     if token in SHORT_WORDS:
         return SHORT_WORDS[token]
-    if len(token) >= 6:
-        for w in _WORDS:
-            if len(w) >= 6 and w[0] == token[0] and _edits(token, w, 1) <= 1:
+    if len(token) >= 5:
+        for w in sorted(_WORDS):
+            if len(w) >= 5 and w[0] == token[0] and _edits(token, w, 1) <= 1:
                 return w
     if len(token) > 6:
         return next((w for w in sorted(ORGANISATION_WORDS) if w.startswith(token)), None)
@@ -238,7 +240,7 @@ def likelihood(variant: str, canonical: str) -> float:
         total += NICKNAME
     if lost and len(lost) < len(cw) and {_word(x) for x in lost} & ORGANISATION_WORDS:
         # Some of the words gone, the legal form kept: a "University" is not the "University Hospital".
-        if vl:
+        if vl and not {_word(x) for x in lost} <= OPTIONAL_WORDS:
             return STRANGE
         total += WORD_LOST
     total += WORD_LOST * min(1, len(lost))
