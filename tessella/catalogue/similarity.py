@@ -24,6 +24,19 @@ def q_vec_topk(t: Tables) -> DataFrame:
     return _hits(t).withColumn("score", F.round("score", 6))
 
 
+#: Cells of the inverted index and cells that a query probes.
+CELLS, PROBES = 16, 8
+
+
+@query("q_ivf_topk", "V01 S34")
+def q_ivf_topk(t: Tables) -> DataFrame:
+    """The inverted index over all vectors; its recall against the exact search is tested to be 0.9 or more."""
+    e = t("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    centres = V.fit_cells(e, CELLS)
+    asked = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.nearest_in_cells(asked, V.index_cells(e, centres), centres, 10, PROBES)
+
+
 @query("q_vec_threshold", "V02 V03", f"{_HITS} select query_id, item_id from h where rank <= 20 and score > 0.3")
 def q_vec_threshold(t: Tables) -> DataFrame:
     return V.over_threshold(_hits(t, 20), 0.3).select("query_id", "item_id")

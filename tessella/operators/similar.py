@@ -76,6 +76,85 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score", "rank")
 
 
+#: Vectors that the centroids of an inverted index are fitted on, at most.
+INDEX_SAMPLE = 20_000
+
+
+def fit_cells(corpus: DataFrame, cells: int, vector: str = "embedding", sample: int = INDEX_SAMPLE, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Unit centroids of an inverted index, by spherical k-means on a hashed sample of at most ``sample`` vectors."""
+    drawn = corpus.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(vector)).limit(sample).collect()
+    x = np.asarray([r[0] for r in drawn], np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        empty = np.linalg.norm(sums, axis=1) == 0
+        sums[empty] = centres[empty]
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return centres
+
+
+def index_cells(corpus: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """``corpus`` with the ``cell`` of every vector; write it partitioned by cell, and a search reads probed cells only."""
+    shared = corpus.sparkSession.sparkContext.broadcast(centres)
+
+    @pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(vectors.to_numpy()).astype(np.float64) @ shared.value.T).argmax(1)) if len(vectors) else pd.Series([], dtype="int32")
+
+    return corpus.where(F.col(vector).isNotNull()).withColumn("cell", cell(F.col(vector)))
+
+
+def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, probes: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """Approximate ``nearest``: each query meets the vectors of its ``probes`` nearest cells only.
+
+    The queries are a stated set in blocks, as in ``nearest``; a hot cell is
+    spread over its partitions, each of which keeps its own k best.
+    """
+    spark = indexed.sparkSession
+    q_kind, i_kind = queries.schema[query_id].dataType.simpleString(), indexed.schema[item_id].dataType.simpleString()
+    rows = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
+    out, ids, vectors = None, [], []
+
+    def meet() -> DataFrame:
+        matrix = np.asarray(vectors, np.float64)
+        probed = np.argsort(-(matrix @ centres.T), axis=1)[:, :probes]
+        shared = spark.sparkContext.broadcast((np.asarray(ids), matrix, probed))
+        wanted = sorted({int(c) for c in probed.ravel()})
+        part = indexed.where(F.col("cell").isin(wanted)).select(F.col(item_id).alias("i"), F.col(vector).alias("v"), "cell")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, m, cells = shared.value
+            for b in batches:
+                found = []
+                for c, g in b.groupby("cell"):
+                    asking = np.flatnonzero((cells == c).any(1))
+                    if not len(asking):
+                        continue
+                    items = g["i"].to_numpy()
+                    scores = np.round(m[asking] @ np.stack(g["v"].to_numpy()).astype(np.float64).T, 9)
+                    order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
+                    found.append(pd.DataFrame({"q": np.repeat(names[asking], order.shape[1]), "i": items[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+                yield pd.concat(found) if found else pd.DataFrame({"q": [], "i": [], "score": []})
+
+        return spread(part).mapInPandas(run, f"q {q_kind}, i {i_kind}, score double")
+
+    for row in rows.toLocalIterator():
+        ids.append(row[0])
+        vectors.append(row[1])
+        if len(ids) == QUERY_BLOCK:
+            out = meet() if out is None else out.unionByName(meet())
+            ids, vectors = [], []
+    if ids:
+        out = meet() if out is None else out.unionByName(meet())
+    if out is None:
+        out = indexed.limit(0).select(F.lit(None).cast(q_kind).alias("q"), F.col(item_id).alias("i"), F.lit(0.0).alias("score"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "i")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score", "rank")
+
+
 def over_threshold(hits: DataFrame, least: float, score: str = "score", distance: bool = False) -> DataFrame:
     """Hits over a score; under it if the score is a distance."""
     return hits.where(F.col(score) < least if distance else F.col(score) > least)

@@ -59,6 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, SparkSession] = {}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared checkpoint folder; ``release`` removes it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read again; its lineage ends there.
 
@@ -68,9 +75,8 @@ def cut(df: DataFrame) -> DataFrame:
     size is known from its files, so later joins are planned rightly as well.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -48,7 +48,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_sheets(spark: SparkSession, folder: str, sheet: str | None = None, columns: Sequence[str] | None = None, schema: str | StructType | None = None) -> DataFrame:
     """Sheets kept as delimited files under ``sheet=<name>``; one of them, or all with a column ``sheet``."""
-    reader = spark.read.option("header", True).option("basePath", folder)
+    reader = spark.read.option("header", True)
     df = (reader.schema(schema) if schema else reader).csv(f"{folder}/sheet={sheet}" if sheet else folder)
     return df.select(*columns) if columns else df
 
