@@ -25,7 +25,7 @@ def q_vec_topk(t: Tables) -> DataFrame:
 
 
 #: Cells of the inverted index and cells that a query probes.
-CELLS, PROBES = 16, 8
+CELLS, PROBES = 16, 11
 
 
 @query("q_ivf_topk", "V01 S34")
