@@ -32,6 +32,8 @@ LEGAL_FORMS = frozenset(
 #: Characters that may separate names; a blank-bounded "and" does too.
 _DELIMITERS = ";；|、,，/\n\r"
 _AND = re.compile(r"\s(?:and|und|et)\s")
+#: Cells that a worker remembers; the table is emptied when full.
+REMEMBERED = 100_000
 #: Characters of dictionary entries in one automaton.
 BLOCK_CHARS = 32_000_000
 
@@ -211,33 +213,40 @@ def split_names(df: DataFrame, key: str, cell: str, block_chars: int = BLOCK_CHA
 
     Names lose outer blanks and enclosing quotes; quotes doubled inside become
     single. Null, empty and placeholder cells give no row; rows with a null key
-    fall out. Equal cells are segmented once. The dictionary (distinct whole
-    values with a delimiter inside) is met in blocks of ``block_chars``
-    characters; of several blocks, the cover of fewest values counts.
+    fall out. Nothing but the dictionary is shuffled: workers remember cells, so
+    a hot cell costs a lookup. The dictionary (distinct whole values with a
+    delimiter inside) is met in blocks of ``block_chars`` characters, one pass
+    each; of several blocks, the cover of fewest values counts.
     """
-    source = df.where(F.col(key).isNotNull() & F.col(cell).isNotNull()).select(F.col(key).alias("row_id"), F.col(cell).alias("cell"))
-    cells = source.select("cell").distinct()
+    kind = df.schema[key].dataType.simpleString()
+    bare = F.lower(F.regexp_replace(cell, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", ""))
+    rows = spread(df.where(F.col(key).isNotNull() & F.col(cell).isNotNull() & ~bare.isin(*PLACEHOLDERS)).select(F.col(key).alias("row_id"), F.col(cell).alias("cell")))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"w": sorted({w for c in batch["cell"] for w in whole_values(c)})}, dtype=object)
+            yield pd.DataFrame({"w": sorted({w for c in set(batch["cell"]) for w in whole_values(c)})}, dtype=object)
 
-    holding = cells.where(F.col("cell").rlike(r"[\"'“‘,，/]"))
-    words = spread(holding).mapInPandas(gather, "w string").distinct()
-    context, parts = df.sparkSession.sparkContext, None
+    words = rows.where(F.col("cell").rlike(r"[\"'“‘,，/]")).mapInPandas(gather, "w string").distinct()
+    context = df.sparkSession.sparkContext
+    out = rows.select("row_id", "cell", F.lit(None).cast("array<string>").alias("vals"))
     for block in [*_blocks(words.toLocalIterator(), block_chars)] or [[]]:
         shared = context.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             known = _automaton(shared.value)
+            seen: dict[str, list[str]] = {}
             for batch in batches:
-                yield pd.DataFrame({"cell": batch["cell"], "vals": pd.Series([segment(c, known) for c in batch["cell"]], dtype=object)})
-
-        part = spread(cells).mapInPandas(run, "cell string, vals array<string>")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is not part:
-        parts = parts.groupBy("cell").agg(F.min_by("vals", F.size("vals")).alias("vals"))
-    exploded = source.join(parts, "cell").select("row_id", F.posexplode("vals").alias("p", "val"), F.size("vals").alias("n"))
+                values = []
+                for c, before in zip(batch["cell"], batch["vals"]):
+                    if c not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen[c] = segment(c, known)
+                    values.append(seen[c] if before is None or len(seen[c]) < len(before) else before)
+                yield pd.DataFrame({"row_id": batch["row_id"], "cell": batch["cell"], "vals": pd.Series(values, dtype=object)})
+
+        out = out.mapInPandas(run, f"row_id {kind}, cell string, vals array<string>")
+    exploded = out.select("row_id", F.posexplode("vals").alias("p", "val"), F.size("vals").alias("n"))
     return exploded.select("row_id", (F.col("p") + 1).alias("pos"), "val", "n")
 
 
