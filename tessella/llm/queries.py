@@ -61,4 +61,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": r"""
+    with recursive t as (
+      select distinct upper(regexp_replace(patent_code, '[\s\x{a0}\x{3000}\-\x{2010}-\x{2015}]', '', 'g')) as c, lower(regexp_replace(esid, '[\s\x{a0}\x{3000}\-\x{2010}-\x{2015}]', '', 'g')) as e
+      from patent_claim where patent_code is not null and esid is not null),
+    ed as (select distinct a.c as a, b.c as b from t a join t b on a.e = b.e and a.c <> b.c),
+    r as (select a, b from ed union select r.a, ed.b from r join ed on ed.a = r.b)
+    select a as code_a, b as code_b from r where a < b
+    """,
+}

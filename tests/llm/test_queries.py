@@ -1,8 +1,9 @@
 import os
 
+import duckdb
 import pytest
 
-from tessella.llm.queries import QUERIES
+from tessella.llm.queries import QUERIES, SQL
 
 DATA = os.environ.get("TESSELLA_TEST_DATA", "/root/testdata/sf0.001")
 COLUMNS = {
@@ -19,3 +20,15 @@ def test_runs(spark, name):
     assert len(rows) == len(set(rows))
     if name in COLUMNS:
         assert ", ".join(f"{a} {b}" for a, b in df.dtypes) == COLUMNS[name]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"create view {f[:-8]} as select * from read_parquet('{DATA}/{f}')")
+    df = QUERIES[name](spark, DATA)
+    cur = con.execute(SQL[name])
+    columns = [c[0] for c in cur.description]
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(cur.fetchall())
