@@ -173,7 +173,9 @@ def _mark(blocks: list[_Block], site: set[str]) -> None:
             j += 1
         if j - i >= 3 or (j > i and all(x.out for x in blocks[max(0, i - 1) : i]) and (j == n or blocks[j].out)):
             listed = blocks[i].in_list and any(x.box is blocks[i].box and x.in_list and not x.link and not x.out and x.node.parent is blocks[i].node.parent for x in blocks)
-            if not listed:
+            box = blocks[i].box
+            amid = any(x.box is box and x.sentence and not x.out for x in blocks[:i]) and any(x.box is box and not x.link and not x.out for x in blocks[j:])
+            if not listed and not (amid and all(x.in_list for x in blocks[i:j])):
                 for x in blocks[i:j]:
                     x.out = True
         i = max(j, i + 1)
