@@ -137,7 +137,8 @@ def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centres: np.ndarray
                     scores = np.round(m[asking] @ np.stack(g["v"].to_numpy()).astype(np.float64).T, 9)
                     order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
                     found.append(pd.DataFrame({"q": np.repeat(names[asking], order.shape[1]), "i": items[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
-                yield pd.concat(found) if found else pd.DataFrame({"q": [], "i": [], "score": []})
+                if found:
+                    yield pd.concat(found)
 
         return spread(part).mapInPandas(run, f"q {q_kind}, i {i_kind}, score double")
 

@@ -171,10 +171,15 @@ class Query:
         return replace(self, negated=not self.negated)
 
     def column(self, resolve: Callable[[str], Column] = F.col) -> Column:
-        """The predicate as a Column, never null."""
+        """The predicate as a Column; unknown counts as not matching.
+
+        It may be null where a field is missing, which a filter takes for no;
+        only under a negation is that made explicit, so that plain predicates
+        stay in the form that is pushed to the scan.
+        """
         if self.nested:
             inner = replace(self, nested=None, negated=False)
-            out = F.exists(resolve(self.nested), lambda x: F.coalesce(inner.column(lambda f: x[f]), F.lit(False)))
+            out = F.exists(resolve(self.nested), lambda x: inner.column(lambda f: x[f]))
         elif self.parts:
             columns = [p.column(resolve) for p in self.parts]
             out = functools.reduce((lambda a, b: a & b) if self.conjunction else (lambda a, b: a | b), columns)
@@ -182,8 +187,7 @@ class Query:
             out = F.lit(True)
         else:
             out = _leaf(self, resolve)
-        out = F.coalesce(out, F.lit(False))
-        return ~out if self.negated else out
+        return ~F.coalesce(out, F.lit(False)) if self.negated else out
 
 
 def where(op: Op, name: str | None = None, *values: Any, minimum: str | int | None = None) -> Query:
@@ -209,10 +213,10 @@ def boolean(must: Sequence[Query] = (), should: Sequence[Query] = (), must_not:
         for q in (*must, *filters):
             out = out & q.column(resolve)
         for q in must_not:
-            out = out & ~q.column(resolve)
+            out = out & ~F.coalesce(q.column(resolve), F.lit(False))
         need = quorum(minimum, len(should)) if minimum is not None else int(bool(should) and not must and not filters)
         if should and need:
-            out = out & (functools.reduce(lambda a, b: a + b, [q.column(resolve).cast("int") for q in should]) >= need)
+            out = out & (functools.reduce(lambda a, b: a + b, [F.coalesce(q.column(resolve), F.lit(False)).cast("int") for q in should]) >= need)
         return out
 
     return column

@@ -202,7 +202,7 @@ def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def without_query(table: DataFrame, query: Query) -> DataFrame:
     """The table without the rows that match."""
-    return table.where(~query.column())
+    return table.where((~query).column())
 
 
 def bulk(table: DataFrame, operations: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
