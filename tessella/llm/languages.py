@@ -205,7 +205,6 @@ def languages_of_parts(records: DataFrame, model: Model | None, key: str = "rec_
                             owners.append((i, n))
                             sentences.append(s)
             if not sentences:
-                yield pd.DataFrame({key: [], "part_no": [], "lang": [], "confidence": [], "n_chars": []})
                 continue
             p = m.probabilities(sentences)
             sure = np.where(p.max(1) >= 0.9, p.argmax(1), -1)
@@ -226,6 +225,8 @@ def languages_of_parts(records: DataFrame, model: Model | None, key: str = "rec_
                 got = out.setdefault((i, n, c), [0.0, 0])
                 got[0] = max(got[0], q)
                 got[1] += len(s)
+            if not out:
+                continue
             keys = batch[key].tolist()
             yield pd.DataFrame([(keys[i], n, m.languages[c], q, size) for (i, n, c), (q, size) in out.items()], columns=[key, "part_no", "lang", "confidence", "n_chars"])
 
