@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.packed import number_values
-from tessella.plans.runtime import cut
+from tessella.plans.runtime import cut, read_cut, write_cut
 
 #: A frontier of at most so many rows is broadcast to the nodes that remain; a larger one is shuffled.
 FRONTIER_ROWS = 20_000
@@ -29,22 +29,32 @@ def hierarchy(nodes: DataFrame, scope: str = "scope", node: str = "node", parent
     linked = rows.where("p is not null").join(present, ["s", "p"], "left")
     roots = rows.where("p is null").select("s", "n").unionByName(linked.where("there is null").select("s", "n"))
     below = cut(linked.where("there").select("s", "n", "p"))
-    frontier = cut(roots.select("s", "n", F.col("n").alias("root"), F.lit(0).alias("depth"), F.col("n").cast("string").alias("path")))
-    levels = frontier
-    while True:
-        many = frontier.count()
-        if many == 0:
+    spark = nodes.sparkSession
+    frontier = roots.select("s", "n", F.col("n").alias("root"), F.lit(0).alias("depth"), F.col("n").cast("string").alias("path"))
+    paths = [write_cut(frontier)]
+    frontier = read_cut(spark, paths, frontier)
+    remaining, fresh, gone = below.count(), 0, 1
+    left = below
+    while (many := frontier.count()) > 0:
+        fresh += many if len(paths) > 1 else 0
+        if 2 * fresh > remaining:
+            # Half of what the frontiers are joined with has been reached: it is written anew without that.
+            left = cut(left.join(read_cut(spark, paths[gone:], frontier).select("s", "n"), ["s", "n"], "left_anti"))
+            remaining, fresh, gone = remaining - fresh, 0, len(paths)
+        if remaining == 0:
             break
         ahead = frontier.select("s", F.col("n").alias("p"), "root", "depth", "path")
-        step = below.join(F.broadcast(ahead) if many <= FRONTIER_ROWS else ahead, ["s", "p"])
-        frontier = cut(step.select("s", "n", "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("n").cast("string")).alias("path")))
-        levels = levels.unionByName(frontier)
+        step = left.join(F.broadcast(ahead) if many <= FRONTIER_ROWS else ahead, ["s", "p"])
+        step = step.select("s", "n", "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("n").cast("string")).alias("path"))
+        paths.append(write_cut(step))
+        frontier = read_cut(spark, paths[-1:], frontier)
+    levels = read_cut(spark, paths, frontier)
     kind = nodes.schema[node].dataType
     above = F.slice(F.split("path", "/"), F.lit(1), F.col("depth"))
     counts = levels.where("depth > 0").select("s", F.explode(F.transform(above, lambda x: x.cast(kind))).alias("n")).groupBy("s", "n").agg(F.count("*").alias("n_desc"))
     reached = levels.join(counts, ["s", "n"], "left").select("s", "n", "root", "depth", "path", F.coalesce("n_desc", F.lit(0)).alias("n_desc"))
     # What has a parent but was not reached; roots always are.
-    circling = below.join(levels.where("depth > 0").select("s", "n"), ["s", "n"], "left_anti").select("s", "n", F.lit(None).cast(kind).alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit(-1).cast("bigint").alias("n_desc"))
+    circling = left.join(levels.where("depth > 0").select("s", "n"), ["s", "n"], "left_anti").select("s", "n", F.lit(None).cast(kind).alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit(-1).cast("bigint").alias("n_desc"))
     out = reached.unionByName(circling)
     return out.select(F.col("s").alias(scope), F.col("n").alias(node), "root", "depth", "path", "n_desc")
 

@@ -74,10 +74,19 @@ def cut(df: DataFrame) -> DataFrame:
     so that in a loop the mere numbers fill the driver's memory. The table's
     size is known from its files, so later joins are planned rightly as well.
     """
-    spark = df.sparkSession
-    path = scratch(spark)
+    return read_cut(df.sparkSession, [write_cut(df)], df)
+
+
+def write_cut(df: DataFrame) -> str:
+    """Writes ``df`` as ``cut`` does; the path."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_cut(spark: SparkSession, paths: list[str], like: DataFrame) -> DataFrame:
+    """Several tables of ``write_cut`` in one scan, whose plan doesn't grow with their number."""
+    return spark.read.schema(like.schema).parquet(*paths)
 
 
 @atexit.register
