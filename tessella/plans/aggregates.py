@@ -84,8 +84,11 @@ def nested_terms(df: DataFrame, levels: Sequence[tuple[str, int]]) -> DataFrame:
     for i, (name, size) in enumerate(levels):
         above = names[:i]
         level = out.groupBy(*above, name).agg(F.sum("doc_count").alias("level_count"))
-        window = Window.partitionBy(*above).orderBy(F.desc("level_count"), F.asc(name)) if above else Window.orderBy(F.desc("level_count"), F.asc(name))
-        kept = level.withColumn("r", F.row_number().over(window)).where(F.col("r") <= size).select(*above, name)
+        order = [F.desc("level_count"), F.asc(name)]
+        if above:
+            kept = level.withColumn("r", F.row_number().over(Window.partitionBy(*above).orderBy(*order))).where(F.col("r") <= size).select(*above, name)
+        else:
+            kept = level.orderBy(*order).limit(size).select(name)
         out = out.join(kept, [*above, name], "left_semi")
     return out
 
