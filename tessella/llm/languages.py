@@ -37,6 +37,8 @@ _CODES = {name: code for code, names in NAMES.items() for name in names.split()}
 #: Labelled rows per language (and table) that train the model, sentences of one row, characters of one sentence.
 SAMPLE_ROWS, SAMPLE_SENTENCES, SAMPLE_CHARS = 240, 8, 300
 BUCKETS, DIMENSIONS, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
+#: Characters whose subwords are held at once.
+PIECE_CHARS = 1_000_000
 EPOCHS, LEAST_STEPS, RATE, BATCH = 6, 1500, 12.0, 64
 #: Confidence under which a sentence gets no language.
 LEAST = 0.6
@@ -91,8 +93,16 @@ class Model:
     temperature: float = 1.0
 
     def probabilities(self, sentences: list[str]) -> np.ndarray:
-        if not sentences:
-            return np.zeros((0, len(self.languages)))
+        """A row per sentence; worked off in pieces of ``PIECE_CHARS``, so that memory doesn't follow the batch."""
+        parts, begin, size = [np.zeros((0, len(self.languages)))], 0, 0
+        for i, s in enumerate(sentences, 1):
+            size += len(s)
+            if size >= PIECE_CHARS or i == len(sentences):
+                parts.append(self._piece(sentences[begin:i]))
+                begin, size = i, 0
+        return np.concatenate(parts)
+
+    def _piece(self, sentences: list[str]) -> np.ndarray:
         buckets, owners = _grams(sentences)
         count = np.maximum(np.bincount(owners, minlength=len(sentences)), 1)
         scores = np.stack([np.bincount(owners, self.table[buckets, c], len(sentences)) for c in range(len(self.languages))], 1) / count[:, None]
