@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.runtime import cut
+from tessella.plans.runtime import cut, read_cut, write_cut
 
 #: Rounds after which something must be wrong: each halves the edges' ends by a quarter in expectation.
 MOST_ROUNDS = 400
@@ -22,26 +22,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a hub is no hot task of its own. Null ends and loops tie nothing, but a
     loop's vertex is returned as its own component.
     """
-    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    # Written first: the edges are read twice, and may be costly to make.
+    ends = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")))
     vertices = ends.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     left = cut(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    contracted: DataFrame | None = None
+    spark, paths = edges.sparkSession, []
     for round_ in range(MOST_ROUNDS):
         if left.isEmpty():
             break
         heads = lambda x: (F.xxhash64(F.col(x), F.lit(round_)).bitwiseAND(1 << 20)) != 0  # noqa: E731, B023
         ways = left.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        mates = cut(ways.where(~heads("u") & heads("v")).groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("into")))
-        contracted = mates if contracted is None else contracted.unionByName(mates)
+        mates = ways.where(~heads("u") & heads("v")).groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("into"))
+        paths.append(write_cut(mates))
+        mates = read_cut(spark, paths[-1:], mates)
         for side in ("u", "v"):
             left = left.join(mates.withColumnRenamed("vertex", side), side, "left").withColumn(side, F.coalesce("into", side)).drop("into")
         left = cut(left.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError(f"edges are left after {MOST_ROUNDS} rounds")
-    if contracted is None:
+    if not paths:
         return vertices.select("vertex", F.col("vertex").alias("component"))
     # Unwind: every vertex was contracted once at most, into one that went later; pointers jump until they rest.
-    pointers = cut(contracted)
+    pointers = read_cut(spark, paths, mates)
     while True:
         ahead = pointers.select(F.col("vertex").alias("into"), F.col("into").alias("further"))
         jumped = cut(pointers.join(ahead, "into", "left").select("vertex", F.coalesce("further", "into").alias("into"), F.col("further").isNotNull().alias("moved")))
