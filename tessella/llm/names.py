@@ -5,7 +5,8 @@ canonical forms; a variant goes to the candidate of greatest posterior, which
 is the candidate's frequency times the likelihood that typing it gave the
 variant: typos, abbreviations, initials, nicknames, dropped and moved parts.
 Candidates come from an equi-join on deletion neighbourhoods of the rare part
-of a name, in which any two forms one typo apart share a key.
+of a name, one or two letters deep, and on its sorted tokens: any two forms that
+the likelihood links share a key.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ _FULL = {nick: {full for full, v in NICKNAMES.items() if nick in v.split()} for
 TYPO, SHORTENED, INITIAL, NICKNAME, FUSED, MOVED, LEGAL_LOST, LEGAL_OTHER, WORD_LOST, EXTRA_INITIAL, STRANGE, LEAST = -3.5, -2.5, -2.0, -2.0, -2.0, -0.5, -0.5, -3.0, -2.0, -1.0, -20.0, -10.0
 #: A variant is left alone unless one candidate has this share of the posterior.
 LEAST_SHARE = 0.6
+#: Rare parts of more letters are sought by halves: their pairs of letters would be too many.
+LONG = 24
 
 
 def plain_form(name: str) -> str:
@@ -186,6 +189,8 @@ def likelihood(variant: str, canonical: str) -> float:
         return TYPO if len(variant) >= 6 and len(variant) == len(canonical) and variant[-2:] == canonical[-2:] and sum(a != b for a, b in zip(variant, canonical)) == 1 and _edits(variant, canonical, 1) == 2 else STRANGE
     vr, vw, vi, vl = parse(variant)
     cr, cw, ci, cl = parse(canonical)
+    if not vr or not cr:
+        return STRANGE  # initials and legal forms alone tell nobody
     if any(len(t) > 1 for t in ci) and not any(len(t) > 1 for t in vi):
         return likelihood(canonical, variant)  # an acronym on the other side: the same channel backwards
     total = 0.0
@@ -249,20 +254,53 @@ def likelihood(variant: str, canonical: str) -> float:
     return total
 
 
-def block_keys(form: str) -> set[int]:
-    """Hashes of the deletion neighbourhoods of a form's rare part."""
-    if _CJK.search(form):
-        parts = {form, form[2:]} if len(form) >= 6 else {form}
-        if len(form) >= 6:
-            parts |= {form[:i] + "_" + form[i + 1 :] for i in range(len(form) - 2)}
+def stems(form: str) -> set[str]:
+    """What a form is sought by: its rare part as written, with typos, and its rare tokens in order of the alphabet, as they are."""
+    rare = () if _CJK.search(form) else parse(form)[0]
+    return {"".join(rare) or form} | ({"~" + "".join(sorted(rare))} if len(rare) > 1 else set())
+
+
+def _deleted(text: str, most: int) -> set[str]:
+    """A text and what is left of it without up to ``most`` letters."""
+    found = {text}
+    for _ in range(most):
+        found |= {x[:i] + x[i + 1 :] for x in found for i in range(len(x))}
+    return found
+
+
+def stem_keys(stem: str) -> set[int]:
+    """Hashes of which two stems share one if they are as many typos apart as the likelihood accepts.
+
+    One from the first letter on, two from 9 letters on, one of which may be 7 long on
+    the other side. Of two stems beyond LONG letters, the first or the second halves
+    are at most one typo apart, and start or end 2 letters apart at most.
+    """
+    n = len(stem)
+    if _CJK.search(stem):
+        parts = {stem, stem[2:]} if n >= 6 else {stem}
+        if n >= 6:
+            parts |= {stem[:i] + "_" + stem[i + 1 :] for i in range(n - 2)}
+    elif stem.startswith("~"):
+        parts = {stem}
     else:
-        rare = parse(form)[0]
-        whole = {"".join(rare)} | {a + b for a, b in zip(rare, rare[1:])} | {t for t in rare if len(t) >= 10}
-        parts = set(whole)
-        for w in whole:
-            if len(w) >= 6:
-                parts |= {w[:i] + w[i + 1 :] for i in range(len(w))}
-    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in parts if x}
+        parts = _deleted(stem, 1 if n < 7 else 2) if n <= LONG + 2 else {stem}
+        if n > LONG:
+            for m in range(n // 2 - 2, n // 2 + 3):
+                parts |= {"<" + x for x in _deleted(stem[:m], 1)} | {">" + x for x in _deleted(stem[n - m - n % 2 :], 1)}
+    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in parts}
+
+
+def block_keys(form: str) -> set[int]:
+    """The keys of all stems of a form: any two forms that the likelihood links share one."""
+    return {k for s in stems(form) for k in stem_keys(s)}
+
+
+def _alike(a: str, b: str) -> bool:
+    """Whether two stems that share a key can be one: beyond their typos, only Chinese names are left to the likelihood."""
+    if _CJK.search(a) or _CJK.search(b):
+        return True
+    most = 1 if max(len(a), len(b)) < 9 else 2
+    return _edits(a, b, most) <= most
 
 
 def spellings(news: DataFrame, requests: DataFrame) -> DataFrame:
@@ -287,16 +325,29 @@ def attribute(names: DataFrame) -> DataFrame:
     formed = cut(spread(names).mapInPandas(reduce, "spelling string, n bigint, form string"))
     forms = formed.groupBy("form").agg(F.sum("n").alias("n"))
 
+    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(f, n, complete(f), s) for f, n in zip(batch["form"], batch["n"]) for s in stems(f)], columns=["form", "n", "rank", "stem"])
+
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(f, n, complete(f), k) for f, n in zip(batch["form"], batch["n"]) for k in block_keys(f)], columns=["form", "n", "rank", "key"])
-
-    keyed = cut(spread(forms).mapInPandas(keys, "form string, n bigint, rank int, key bigint"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("forms")).where("forms > 1").select("key")
-    keyed = keyed.join(shared, "key")
-    variants = keyed.select("key", F.col("form").alias("v"), F.struct("rank", "n", "form").alias("rv"))
-    canonicals = keyed.select("key", F.col("form").alias("c"), F.col("n").alias("nc"), F.struct("rank", "n", "form").alias("rc"))
-    pairs = spread(variants.join(canonicals, "key").where("rc > rv").select("v", "c", "nc").distinct())
+            yield pd.DataFrame([(s, k) for s in batch["stem"] for k in stem_keys(s)], columns=["stem", "key"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[_alike(a, b) for a, b in zip(batch["sv"], batch["sc"])]]
+
+    sought = cut(spread(forms).mapInPandas(seek, "form string, n bigint, rank int, stem string"))
+    stem = sought.select("stem").distinct()
+    keyed = cut(spread(stem).mapInPandas(keys, "stem string, key bigint"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("stems")).where("stems > 1").select("key")
+    keyed = cut(keyed.join(shared, "key"))
+    met = keyed.withColumnRenamed("stem", "sv").join(keyed.withColumnRenamed("stem", "sc"), "key").where("sv < sc").select("sv", "sc").distinct()
+    met = cut(spread(met).mapInPandas(near, "sv string, sc string"))
+    met = met.unionByName(met.select(F.col("sc").alias("sv"), F.col("sv").alias("sc"))).unionByName(stem.select(F.col("stem").alias("sv"), F.col("stem").alias("sc")))
+    variants = sought.select(F.col("stem").alias("sv"), F.col("form").alias("v"), F.struct("rank", "n", "form").alias("rv"))
+    canonicals = sought.select(F.col("stem").alias("sc"), F.col("form").alias("c"), F.col("n").alias("nc"), F.struct("rank", "n", "form").alias("rc"))
+    pairs = spread(variants.join(met, "sv").join(canonicals, "sc").where("rc > rv").select("v", "c", "nc").distinct())
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessella.llm import names as N
@@ -34,3 +36,35 @@ def test_linked(spark):
     assert not any("Nicholas" in a + b or "University" in a + b for a, b in got)
     assert all(a < b for a, b in got)
     assert N.linked_names(n.limit(0), r.limit(0)).count() == 0
+
+
+NEAR = [
+    ("Yamamoto Kenji", "Kenji Yamamoto"), ("John Weber", "John Wever"), ("John Abe", "John Ab3"), ("Anna Karulflewexfle", "Anna Karuflewexflo"), ("Anna Karulflewexfle", "Anna Kraulflewexlfe"), ("Anna Lindqvist", "Anna Lndqist"), ("Karulflewexfle Briquajinnovsted Mirgalkar", "Karulflewexlfe Briquajinovsted Mirgalkar"),
+    ("Karulflewexfle Briquajinnovsted Mirgalkar", "Mirgalkar Karulflewexfle Briquajinnovsted"),
+]
+
+
+@pytest.mark.parametrize("a, b", NEAR)
+def test_linked_forms_meet(a, b):
+    x, y = N.plain_form(a), N.plain_form(b)
+    assert max(N.likelihood(x, y), N.likelihood(y, x)) >= N.LEAST
+    assert N.block_keys(x) & N.block_keys(y)
+
+
+def test_stems_two_typos_apart_meet():
+    draw = random.Random(7)
+    for n in range(1, 60):
+        for _ in range(20):
+            a = b = "".join(draw.choice("abcd") for _ in range(n))
+            for _ in range(2 if n >= 9 else 1):
+                i = draw.randrange(len(b))
+                b = draw.choice([b[:i] + b[i + 1 :], b[:i] + "x" + b[i:], b[:i] + "x" + b[i + 1 :], b[:i] + b[i : i + 2][::-1] + b[i + 2 :]])
+            assert not b or N._edits(a, b, 2) > (2 if max(len(a), len(b)) >= 9 else 1) or N.stem_keys(a) & N.stem_keys(b), (a, b)
+
+
+def test_linked_near(spark):
+    n = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(NEAR) for _ in range(5)], "news_id bigint, invester string")
+    r = spark.createDataFrame([(i, [b]) for i, (_, b) in enumerate(NEAR)], "request_id bigint, classification_input array<string>")
+    got = {tuple(x) for x in N.linked_names(n, r).collect()}
+    assert {tuple(sorted(x)) for x in NEAR} <= got
+    assert all(N.likelihood("a b", x) == N.STRANGE for x in ("a c", "a b gmbh"))
