@@ -6,7 +6,9 @@ is the candidate's frequency times the likelihood that typing it gave the
 variant: typos, abbreviations, initials, nicknames, dropped and moved parts.
 Candidates come from an equi-join on deletion neighbourhoods of the rare part
 of a name, one or two letters deep, and on its sorted tokens: any two forms that
-the likelihood links share a key.
+the likelihood links share a key. One mistyped character in a Chinese name of
+six or more, before the last two, links it if the canonical form is frequent
+enough (``supported``).
 """
 
 from __future__ import annotations
@@ -186,7 +188,9 @@ def likelihood(variant: str, canonical: str) -> float:
             return 0.0
         if canonical[2:] == variant and len(variant) >= 4:
             return WORD_LOST
-        return TYPO if len(variant) >= 6 and len(variant) == len(canonical) and variant[-2:] == canonical[-2:] and sum(a != b for a, b in zip(variant, canonical)) == 1 and _edits(variant, canonical, 1) == 2 else STRANGE
+        both = _CJK.search(variant) and _CJK.search(canonical)
+        one = len(variant) == len(canonical) and sum(a != b for a, b in zip(variant, canonical)) == 1
+        return TYPO if both and one and len(variant) >= 6 and variant[-2:] == canonical[-2:] else STRANGE
     vr, vw, vi, vl = parse(variant)
     cr, cw, ci, cl = parse(canonical)
     if not vr or not cr:
@@ -254,6 +258,14 @@ def likelihood(variant: str, canonical: str) -> float:
     return total
 
 
+def supported(variant: str, canonical: str, score: float, n_variant: int, n_canonical: int) -> bool:
+    """Whether the counts support a link: one mistyped Chinese character makes another real name
+    so often that the canonical form, mistyped, must be likelier than the variant as a name of its own."""
+    if not (_CJK.search(variant) and _CJK.search(canonical) and score == TYPO):
+        return True
+    return score + math.log(n_canonical) >= math.log(n_variant)
+
+
 def stems(form: str) -> set[str]:
     """What a form is sought by: its rare part as written, with typos, and its rare tokens in order of the alphabet, as they are."""
     rare = () if _CJK.search(form) else parse(form)[0]
@@ -345,15 +357,15 @@ def attribute(names: DataFrame) -> DataFrame:
     met = keyed.withColumnRenamed("stem", "sv").join(keyed.withColumnRenamed("stem", "sc"), "key").where("sv < sc").select("sv", "sc").distinct()
     met = cut(spread(met).mapInPandas(near, "sv string, sc string"))
     met = met.unionByName(met.select(F.col("sc").alias("sv"), F.col("sv").alias("sc"))).unionByName(stem.select(F.col("stem").alias("sv"), F.col("stem").alias("sc")))
-    variants = sought.select(F.col("stem").alias("sv"), F.col("form").alias("v"), F.struct("rank", "n", "form").alias("rv"))
+    variants = sought.select(F.col("stem").alias("sv"), F.col("form").alias("v"), F.col("n").alias("nv"), F.struct("rank", "n", "form").alias("rv"))
     canonicals = sought.select(F.col("stem").alias("sc"), F.col("form").alias("c"), F.col("n").alias("nc"), F.struct("rank", "n", "form").alias("rc"))
-    pairs = spread(variants.join(met, "sv").join(canonicals, "sc").where("rc > rv").select("v", "c", "nc").distinct())
+    pairs = spread(variants.join(met, "sv").join(canonicals, "sc").where("rc > rv").select("v", "nv", "c", "nc").distinct())
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             score = [likelihood(v, c) for v, c in zip(batch["v"], batch["c"])]
             out = batch.assign(score=score)
-            out = out[out["score"] >= LEAST]
+            out = out[[s >= LEAST and supported(v, c, s, nv, nc) for v, c, s, nv, nc in zip(out["v"], out["c"], score, out["nv"], out["nc"])]]
             yield out.assign(score=[s + math.log(n) for s, n in zip(out["score"], out["nc"])])[["v", "c", "score"]]
 
     weighed = cut(pairs.mapInPandas(weigh, "v string, c string, score double"))

@@ -68,3 +68,14 @@ def test_linked_near(spark):
     got = {tuple(x) for x in N.linked_names(n, r).collect()}
     assert {tuple(sorted(x)) for x in NEAR} <= got
     assert all(N.likelihood("a b", x) == N.STRANGE for x in ("a c", "a b gmbh"))
+
+
+def test_chinese_typo(spark):
+    right, typo, own = "东祺瑾玥棣生物医药有限公司", "东祺瑾玥隶生物医药有限公司", "东祺瑾玥浚生物医药有限公司"
+    x, y = N.plain_form(right), N.plain_form(typo)
+    assert N.likelihood(y, x) >= N.LEAST and N.block_keys(x) & N.block_keys(y)
+    assert N.likelihood(N.plain_form("东祺瑾玥棣生物医药一期"), N.plain_form("东祺瑾玥棣生物医药二期")) == N.STRANGE
+    n = spark.createDataFrame([(i, right) for i in range(80)] + [(100 + i, own) for i in range(20)] + [(200, typo)], "news_id bigint, invester string")
+    r = spark.createDataFrame([], "request_id bigint, classification_input array<string>")
+    got = {tuple(x) for x in N.linked_names(n, r).collect()}
+    assert got == {tuple(sorted((right, typo)))}
