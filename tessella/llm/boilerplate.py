@@ -4,8 +4,10 @@ Method: composite text density. Every DOM node gets its characters per tag,
 adjusted for links; a node's density sum is that of its children; the subtree
 of the greatest sum is the body, and the least density on its path to the page's
 body is the threshold under which blocks inside are dropped. Blocks that say
-themselves what they are (cookie notices, by-lines, pointers and the like) and
-runs of teasers carry no characters for the density.
+themselves what they are (by-lines, pointers, offers to the reader and the like)
+and runs of teasers carry no characters for the density. What an article can say
+as well (a question, the first person, a word such as "cookie") counts only
+outside the run of its sentences or in a container for comments and notices.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from tessella.plans.runtime import spread
 # What the blocks around an article say, in English, German, French and Chinese.
 CUES = [
     # advertising
-    r"^(advertisement|sponsored|promoted|anzeige|werbung|publicité|annonce|广告|推广)\b", r"^(jetzt entdecken|découvrez comment|discover how)\b", r"限时优惠|立减|优惠券", r"\bwhite ?paper\b|livre blanc|白皮书",
+    r"^(advertisement|sponsored|promoted|anzeige|werbung|publicité|annonce|广告|推广)\b", r"^(jetzt entdecken|découvrez comment|discover how)\b", r"限时优惠|立减|优惠券",
     # pointers to other articles
     r"^(see also|read also|read more|read next|also read|more on this|related|lesen sie auch|mehr dazu|siehe auch|lire aussi|à lire aussi|voir aussi|相关阅读|延伸阅读|另见|参见|另请参阅|推荐阅读)\s*[:：]",
     # tags
@@ -34,20 +36,30 @@ CUES = [
     # sharing and comments as links
     r"^(share|tweet|print|e-?mail|copy link|save for later|save|like|follow us|teilen|drucken|merken|speichern|partager|imprimer|enregistrer|分享到?|打印|收藏|点赞|复制链接)$", r"^\d+ (comments?|kommentare?|commentaires?)$", r"^评论\s*[（(]\d+[)）]$", r"^link (kopieren)$|^copier le lien$",
     # newsletters and subscriptions
-    r"newsletter|\bin your inbox\b|\bsign up (for|to)\b|^subscribe\b|^(join|follow) more than\b|\bwho read\b.+\beach (day|week|month)\b|\bfree articles? left\b", r"^abonnieren\b|rundbrief|lesen uns jede|\bfreie artikel\b", r"lettre gratuite|nous lisent|articles gratuits|^abonnez", r"扫码|公众号|交流群|免费阅读|开通会员",
+    r"\bin your inbox\b|^sign up (for|to)\b|^subscribe\b|^(join|follow) more than\b|\bwho read\b.+\beach (day|week|month)\b|\bfree articles? left\b", r"^abonnieren\b|lesen uns jede|\bfreie artikel\b", r"nous lisent|articles gratuits|^abonnez", r"扫码|交流群|免费阅读|开通会员",
     # legal lines
-    r"©|all rights reserved|alle rechte vorbehalten|tous droits réservés|版权所有|未经授权", r"^reproduction without|\bnot medical advice\b|^forward-looking statements\b|ersetzen nicht den besuch|ne remplacent pas l.avis|本站内容仅供参考", r"\bis published by\b|^verlag\s|^édité par\b|运营\s+地址",
+    r"©|all rights reserved|alle rechte vorbehalten|tous droits réservés|版权所有|未经授权", r"^reproduction without|^forward-looking statements\b|本站内容仅供参考", r"\bis published by\b|^verlag\s|^édité par\b|运营\s+地址",
     # consent
-    r"\bcookies?\b|\bsmall files on your (computer|device)\b|\bpartners may store\b|\b(withdraw|change) your choice\b|privacy (policy|settings)", r"ihre auswahl|datenschutz|modifier votre choix|paramètres de confidentialité|缓存文件|隐私政策|撤回授权|合作方会在您的设备",
+    r"\bsmall files on your (computer|device)\b|\bpartners may store\b|\b(withdraw|change) your choice\b", r"ihre auswahl|modifier votre choix|撤回授权|合作方会在您的设备",
     # where one is
     r"^(you are here|当前位置|sie sind hier|vous êtes ici)\b", r"^[^.。]{1,30}\s[›»>]\s[^.。]{1,40}", r"^(home|start|accueil|首页)\s*[/>›»]",
     # notes on the author
     r"^(about the author|über (den|die) autor|à propos de l.auteur|关于作者|作者简介)", r"^(\w\.\s*)+\w+ (has covered|writes|covers|schreibt|berichtet|suit|couvre)\b", r"记者，(长期|主要)?关注",
     # comments by readers
-    r"^[\w.]{1,15}[-_]?\d{2,}\s*[:：]\s", r"^(great|nice) (piece|article|read)\b|^the author clearly\b|\bgood news for\b|\bbonne nouvelle\b|\bgute nachricht|好消息了|^写得", r"(?<![\"“„«「].{0,200})[?？]$",
+    r"^[\w.]{1,15}[-_]?\d{2,}\s*[:：]\s", r"^(great|nice) (piece|article|read)\b|^写得",
 ]
-# The first person of a reader's comment, outside quotation.
-FIRST_PERSON = re.compile(r"\bI\b|\bI'|\b(my|me|mine)\b|\b(ich|mir|mich|mein|meine[rnms]?)\b|\b(je|moi|mon|mes)\b|\bj'|我(?!们|国)", re.IGNORECASE)
+# What offers, notices and consent are about; an article can be about it too.
+OFFERS = re.compile(r"newsletter|rundbrief|lettre gratuite|公众号|\bwhite ?paper\b|livre blanc|白皮书|\bcookies?\b|privacy (policy|settings)|datenschutz|paramètres de confidentialité|缓存文件|隐私政策|\bnot medical advice\b|ersetzen nicht den besuch|ne remplacent pas l.avis", re.IGNORECASE)
+# Speaking to the reader, as offers do and news don't.
+ADDRESS = re.compile(r"\b(you|your|our|we|this (web)?site)\b|\b(Sie|Ihr|Ihre[nmrs]?|wir|unser\w*|dieser Website)\b|\b(vous|votre|vos|nous|notre|nos|ce site)\b|^\w+ez\b|^(download|get|read|lade?n?|jetzt)\b|您|你|本站|我们|^(下载|点击|关注|阅读|免费)")
+_CLAUSE = r"(?:^|[.!?,;:…]\s+|\b(?:and|but|that|as|if|when|because|what|so|than|where|while|since|how|why|que|et|mais|si|quand|donc)\s+)"
+# The first person of a reader's comment, outside quotation; neither the numeral I nor the German "je" is one.
+FIRST_PERSON = re.compile(_CLAUSE + r"I(?:['’]\w+|\s+[a-z]+)|\b[Mm]y\b|\b(me|mine)\b|\b([Ii]ch|[Mm]ir|[Mm]ich|[Mm]eine?[nmrs]?)\b|" + _CLAUSE + r"[Jj](?:['’]|e\s+(?!nach|mehr|weniger|zur?\b|[a-zäöü]+er\b)[a-zà-ÿ])|\b([Mm]oi|[Mm]on|[Mm]es)\b|(?<!自)我(?!们|国|院)")
+# What else readers' comments say or ask.
+REMARK = re.compile(r"^the author clearly\b|\bgood news for\b|\bbonne nouvelle\b|\bgute nachricht|好消息了|[?？]$", re.IGNORECASE)
+# Containers, by tag, class or id, that hold no article text.
+ASIDE = re.compile(r"comment|kommentar|newsletter|cookie|consent|sidebar|promo|subscri|disclaimer", re.IGNORECASE)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Headings over lists of other articles.
 LIST_HEADINGS = re.compile(
     r"^(related( stories| articles| news| posts)?|latest( news| stories)?|most (read|popular)|editors?['’]?s? picks?|you (may|might) also like|recommended|trending|more (stories|news|from .*)|mehr zum thema|neueste beiträge|meistgelesen|weitere artikel|das könnte sie (auch )?interessieren|à lire aussi|dernières nouvelles|les plus lus|sur le même sujet|vous aimerez aussi|相关阅读|相关文章|最新资讯|最新文章|猜你喜欢|热门文章|热门推荐|推荐阅读|延伸阅读)\s*[:：]?$",
@@ -59,14 +71,8 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _QUOTED = re.compile(r"[\"“„«「].*[\"”“»」]")
 
 
-def _cues() -> list[re.Pattern]:
-    out = []
-    for cue in CUES:
-        out.append(re.compile(cue.replace(r"(?<![\"“„«「].{0,200})", ""), re.IGNORECASE))
-    return out
-
-
-_CUES = _cues()
+_CUES = [re.compile(cue, re.IGNORECASE) for cue in CUES]
+_COMMENTS = _CUES[-2:]
 
 
 def _width(text: str) -> int:
@@ -76,11 +82,21 @@ def _width(text: str) -> int:
 
 def is_boilerplate(text: str) -> bool:
     """Whether a block says itself that it is no part of an article."""
-    if any(c.search(text) for c in _CUES):
-        if text.rstrip()[-1:] in "?？" and _QUOTED.search(text) and not any(c.search(text) for c in _CUES[:-1]):
-            return False
-        return True
-    return bool(FIRST_PERSON.search(text)) and not _QUOTED.search(text)
+    return any(c.search(text) for c in _CUES) or (bool(OFFERS.search(text) and ADDRESS.search(text)) and _width(text) <= 250)
+
+
+def is_remark(text: str) -> bool:
+    """Whether a block may be a reader's comment; an article's own text can say the same."""
+    return not _QUOTED.search(text) and bool(FIRST_PERSON.search(text) or REMARK.search(text))
+
+
+def _aside(node: Node) -> bool:
+    """Whether a container of a block says that it holds no article text."""
+    while node is not None:
+        if node.tag in ("aside", "footer", "form") or (node.tag not in ("html", "body") and ASIDE.search(f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}")):
+            return True
+        node = node.parent
+    return False
 
 
 class _Block:
@@ -181,6 +197,42 @@ def _mark(blocks: list[_Block], site: set[str]) -> None:
         i = max(j, i + 1)
 
 
+def _mark_outside(blocks: list[_Block]) -> None:
+    """Marks what may be a comment or an offer outside the runs of the article's sentences, or in a container for such.
+
+    A comment stands in a row of blocks that are out, behind the first sentence: two or
+    more in the page's last row, three in another, or a sure comment. One of them comes
+    before it, or a sure comment follows, or it speaks in the first person in an article
+    that doesn't. Before the first sentence and in the last row, offers go. Headings stay.
+    """
+    text = [not b.out and b.node.tag not in _HEADINGS for b in blocks]
+    remark = [x and is_remark(b.text) for x, b in zip(text, blocks)]
+    offer = [x and bool(OFFERS.search(b.text)) for x, b in zip(text, blocks)]
+    sure = [b.out and any(c.search(b.text) for c in _COMMENTS) for b in blocks]
+    firm = [i for i, b in enumerate(blocks) if b.sentence and not b.out and not remark[i] and not offer[i]]
+    for i, b in enumerate(blocks):
+        b.out |= (remark[i] or offer[i]) and _aside(b.node)
+    rows, i = [], 0
+    while firm and i < len(blocks):
+        j = i
+        while j < len(blocks) and (blocks[j].out or remark[j] or offer[j]):
+            j += 1
+        if j > i:
+            n = sum(b.out for b in blocks[i:j])
+            rows.append((i, j, i > firm[0] and (any(sure[i:j]) or n >= (2 if i > firm[-1] else 3))))
+        i = j + 1
+    personal = any(not outside and remark[k] and FIRST_PERSON.search(blocks[k].text) for i, j, outside in rows for k in range(i, j))
+    for i, j, outside in rows:
+        parted = False
+        for k in range(i, j):
+            b = blocks[k]
+            if offer[k] and (i < firm[0] or i > firm[-1]):
+                b.out = True
+            elif remark[k] and outside:
+                b.out |= parted or any(sure[k + 1 : k + 2]) or (not personal and bool(FIRST_PERSON.search(b.text)))
+            parted |= b.out
+
+
 class _Density:
     """Composite text density of every node, by one walk from the leaves."""
 
@@ -232,6 +284,7 @@ def article_blocks(html: str | None) -> list[int]:
     title = _TITLE.search(html)
     site = {" ".join(title.group(1).split()).casefold()} if title else set()
     _mark(blocks, site)
+    _mark_outside(blocks)
     dropped = {id(b.node) for b in blocks if b.out}
     density = _Density(root, dropped, body)
     candidates = [x for x in (root, *nodes) if x.tag not in _INLINE_BOXES]

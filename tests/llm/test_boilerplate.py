@@ -36,3 +36,25 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, PAGE, "a"), (2, None, "b"), (3, "", "c"), (None, PAGE, "d")], "page_id bigint, html string, block_n string").drop("block_n")
     assert [tuple(r) for r in pages_to_blocks(df).orderBy("block_n").collect()] == [(1, n) for n in (4, 7, 9, 10, 11, 13)]
     assert pages_to_blocks(df.limit(0)).count() == 0
+
+
+SAID = [
+    "The Phase I trial met its main endpoint in all of the patients who were treated.", "Das Mittel kostet je 100 mg etwa vierzig Euro, und je Patient fallen zwei Packungen an.", "The regulator published a white paper on cookies and the privacy policy of three makers.", "Die Behörde prüft den Datenschutz in zwei Kliniken und einen Newsletter der Firma.",
+    "The approval is good news for patients with severe asthma, analysts said on Monday.", "Will the medicine be paid for by the insurers of the country?",
+]
+
+
+def test_article_says_what_notices_say():
+    for text in SAID:
+        page = PAGE.replace("It worked.", text)
+        assert article_blocks(page) == [4, 7, 9, 10, 11, 13], text
+    assert article_blocks(PAGE.replace("New plant opens in Varnholm", "Does Varnholm need a new plant?")) == [4, 7, 9, 10, 11, 13]
+    assert article_blocks(PAGE.replace("It worked.", "Stage I or II?")) == [4, 7, 9, 10, 11, 13]
+
+
+def test_comments_and_offers_go():
+    said = ["I have taken this for years and it never helped.", "But what about the price?", "We use cookies, see our privacy policy.", "Download our free white paper on plants.", "At last some good news for patients like my sister."]
+    behind = "".join(f'<p data-n="{20 + i}">{x}</p>' for i, x in enumerate(said))
+    assert article_blocks(PAGE.replace("Filed under: plants</p>", "Filed under: plants</p>" + behind)) == [4, 7, 9, 10, 11, 13]
+    held = "".join(f'<div class="comments"><p data-n="{20 + i}">{x}</p></div>' for i, x in enumerate(said))
+    assert article_blocks(PAGE.replace('<p data-n="9">', held + '<p data-n="9">')) == [4, 7, 9, 10, 11, 13]
