@@ -4,7 +4,8 @@ Method: averaged embeddings of hashed subwords (character 1- to 4-grams) under
 a linear softmax, trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows. Labels are noisy, so rows that a first model
 contradicts are dropped before the second. A temperature, fitted on held-out
-sentences, calibrates the confidence; below a threshold nothing is assigned.
+sentences, calibrates the confidence; below a threshold nothing is assigned, save a
+record's main language.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ BUCKETS, DIMENSIONS, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
 #: Characters whose subwords are held at once.
 PIECE_CHARS = 1_000_000
 EPOCHS, LEAST_STEPS, RATE, BATCH = 6, 1500, 12.0, 64
-#: Confidence under which a sentence gets no language.
-LEAST = 0.6
+#: Confidence under which a sentence gets no language, and under which not even its record's main language.
+LEAST, LEAST_MAIN = 0.6, 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -199,7 +200,8 @@ def languages_of_parts(records: DataFrame, model: Model | None, key: str = "rec_
     A part has a language if at least one of its sentences is in it; confidence
     is that of its surest sentence. Null, empty and wordless parts, and
     sentences under the least confidence, have none. A sentence of middling
-    confidence goes to the record's main language if that is its second.
+    confidence goes to the record's main language if that is its second; the
+    sure sentences beside it speak for the main language, so LEAST_MAIN is enough.
     """
     schema = f"{key} {records.schema[key].dataType.simpleString()}, part_no int, lang string, confidence double, n_chars bigint"
     shared = records.sparkSession.sparkContext.broadcast(model)
@@ -224,13 +226,13 @@ def languages_of_parts(records: DataFrame, model: Model | None, key: str = "rec_
                     weight.setdefault(i, np.zeros(p.shape[1]))[c] += len(s)
             out: dict[tuple[int, int, int], list] = {}
             for x, ((i, n), s) in enumerate(zip(owners, sentences)):
-                c = int(p[x].argmax())
+                c, main = int(p[x].argmax()), -1
                 if sure[x] < 0 and i in weight:
                     main = int(weight[i].argmax())
                     if p[x].max() < 0.8 and p[x][main] >= max(0.2, np.sort(p[x])[-2]):
                         c = main
                 q = float(p[x][c])
-                if p[x].max() < LEAST and q < 0.3:
+                if q < (LEAST_MAIN if c == main else LEAST):
                     continue
                 got = out.setdefault((i, n, c), [0.0, 0])
                 got[0] = max(got[0], q)

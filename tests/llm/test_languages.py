@@ -47,3 +47,17 @@ def test_unnamed(spark):
     main = {x.rec_id: x.lang for x in L.record_languages(df.drop("para_no")).where("rec_id >= 1000").collect()}
     assert main[1001] is None and main[1002] == "de"
     assert L.unnamed_languages(df.limit(0).drop("para_no")).count() == 0
+
+
+def test_rejection(spark):
+    model = L.fit([(c, s) for c, lines in LINES.items() for s in lines for _ in range(12)])
+    text = "The board agreed that patients were observed for weeks."
+    most = {}
+    for t in (1, 2, 3, 5, 8, 12, 20, 30, 50, 80, 120, 200):
+        model.temperature = float(t)
+        most[t] = model.probabilities([text])[0].max()
+    model.temperature = float(next(t for t, m in most.items() if 0.3 < m < L.LEAST))
+    df = spark.createDataFrame([(1, [text])], "rec_id bigint, parts array<string>")
+    assert L.languages_of_parts(df, model).count() == 0
+    model.temperature = float(max(t for t, m in most.items() if m >= L.LEAST))
+    assert [(r.lang, r.confidence >= L.LEAST) for r in L.languages_of_parts(df, model).collect()] == [("en", True)]
