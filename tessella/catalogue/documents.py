@@ -18,13 +18,13 @@ def q_dom_nodes(t: Tables) -> DataFrame:
 
 @query("q_dom_path", "C27")
 def q_dom_path(t: Tables) -> DataFrame:
-    nodes = D.nodes_table(t("news_page"), "page_id", "html", 400)
+    nodes = D.nodes_table(t("news_page"), "page_id", "html")
     return D.by_path(nodes, "page_id", "/html[1]/head[1]/title[1]", "©").where("text is not null")
 
 
 @query("q_common_ancestor", "C27")
 def q_common_ancestor(t: Tables) -> DataFrame:
-    nodes = D.nodes_table(t("news_page"), "page_id", "html", 400)
+    nodes = D.nodes_table(t("news_page"), "page_id", "html").where("own")
     first_last = nodes.groupBy("page_id").agg(F.min_by("path", "n").alias("a"), F.max_by("path", "n").alias("b"))
     return first_last.select("page_id", D.common_ancestor(F.col("a"), F.col("b")).alias("ancestor"))
 

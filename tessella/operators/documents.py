@@ -17,7 +17,7 @@ from tessella.functions.extract import between_markers, combination_key, first_m
 
 
 class _Nodes(HTMLParser):
-    """Elements of a page: (path, parent index, text of the whole element)."""
+    """Elements of a page: (path, parent index, text of the whole element, whether some is its own)."""
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -30,7 +30,7 @@ class _Nodes(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         n = self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
         above = self.open[-1] if self.open else -1
-        self.nodes.append([(self.nodes[above][0] if above >= 0 else "") + f"/{tag}[{n}]", above, []])
+        self.nodes.append([(self.nodes[above][0] if above >= 0 else "") + f"/{tag}[{n}]", above, [], False])
         if tag not in self.VOID:
             self.open.append(len(self.nodes) - 1)
             self.counts.append({})
@@ -44,28 +44,30 @@ class _Nodes(HTMLParser):
     def handle_data(self, data: str) -> None:
         for i in self.open:
             self.nodes[i][2].append(data)
+        if self.open and data.strip():
+            self.nodes[self.open[-1]][3] = True
 
 
-def dom_nodes(html: str | None) -> list[tuple[str, str]]:
-    """(path, text) of every element of a page in document order."""
+def dom_nodes(html: str | None) -> list[tuple[str, str, bool]]:
+    """(path, text, whether some of it is outside its child elements) of every element of a page in document order."""
     if not html:
         return []
     parser = _Nodes()
     parser.feed(html)
     parser.close()
-    return [(path, " ".join("".join(text).split())) for path, _, text in parser.nodes]
+    return [(path, " ".join("".join(text).split()), own) for path, _, text, own in parser.nodes]
 
 
 def nodes_table(pages: DataFrame, key: str, html: str, most: int | None = None) -> DataFrame:
-    """``(key, n, path, depth, text)`` of all elements with text, up to ``most`` characters of it where given."""
+    """``(key, n, path, depth, text, own)`` of all elements with text, where given only those with at most ``most`` characters; own: some is outside the child elements."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            rows = [(k, n, p, p.count("/"), t) for k, h in zip(b["__k"], b["__h"]) for n, (p, t) in enumerate(dom_nodes(h)) if t and (most is None or len(t) <= most)]
-            yield pd.DataFrame(rows, columns=[key, "n", "path", "depth", "text"])
+            rows = [(k, n, p, p.count("/"), t, own) for k, h in zip(b["__k"], b["__h"]) for n, (p, t, own) in enumerate(dom_nodes(h)) if t and (most is None or len(t) <= most)]
+            yield pd.DataFrame(rows, columns=[key, "n", "path", "depth", "text", "own"])
 
-    return pages.where(F.col(html).isNotNull()).select(F.col(key).alias("__k"), F.col(html).alias("__h")).mapInPandas(run, f"{key} {kind}, n int, path string, depth int, text string")
+    return pages.where(F.col(html).isNotNull()).select(F.col(key).alias("__k"), F.col(html).alias("__h")).mapInPandas(run, f"{key} {kind}, n int, path string, depth int, text string, own boolean")
 
 
 def common_ancestor(a: Column, b: Column) -> Column:
