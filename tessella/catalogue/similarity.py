@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.catalogue.registry import Tables, query
@@ -117,8 +117,13 @@ def q_fold_week(t: Tables) -> DataFrame:
 @query("q_week_clusters", "V10 V11 Z01")
 def q_week_clusters(t: Tables) -> DataFrame:
     n = t("finance_news").where("news_id is not null")
-    exact = V.contained_titles(n, "news_id", "title", 1)
-    pairs = exact.where("news_id <> class_id").select(F.col("class_id").alias("a"), F.col("news_id").alias("b"), F.lit(1.0).alias("score"))
+    classes = V.contained_titles(n, "news_id", "title", 1).join(n.select("news_id", "publish_date"), "news_id")
+    # Neighbours in time are linked; a row without a time links with all of its class.
+    in_time = Window.partitionBy("class_id").orderBy("publish_date", "news_id")
+    timed = classes.where("publish_date is not null").select(F.lag("news_id").over(in_time).alias("a"), F.col("news_id").alias("b")).where("a is not null")
+    timeless = classes.where("publish_date is null").groupBy("class_id").agg(F.min("news_id").alias("a"))
+    rest = classes.join(timeless, "class_id").where("news_id <> a").select("a", F.col("news_id").alias("b"))
+    pairs = timed.unionByName(rest).withColumn("score", F.lit(1.0))
     return V.week_clusters(pairs, n.select("news_id", "publish_date"), "news_id", "publish_date", 0.8)
 
 
