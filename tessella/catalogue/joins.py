@@ -92,7 +92,7 @@ def q_as_of(t: Tables) -> DataFrame:
 
 @query("q_best_synonym", "J17 N10 V16 C24")
 def q_best_synonym(t: Tables) -> DataFrame:
-    names = t("customer").where("c_custkey <= 300").select("c_custkey", "c_mktsegment")
+    names = t("customer").select("c_custkey", "c_mktsegment")
     words = t("nation").select(F.col("n_nationkey").alias("term"), F.col("n_name").alias("name"))
     return best_synonym(names, words, "c_custkey", "c_mktsegment")
 

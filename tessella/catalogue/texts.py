@@ -377,7 +377,7 @@ def q_seq_normalise(t: Tables) -> DataFrame:
 @query("q_seq_records", "B01 B02 B03 B04")
 def q_seq_records(t: Tables) -> DataFrame:
     """Sequence lines made of claim numbers and parts' names: header, residues, next header."""
-    lines = t("part").where("p_partkey <= 200").select((F.col("p_partkey") % 20).cast("string").alias("patent_id"), F.explode(F.array(F.struct((F.col("p_partkey") * 2).alias("line_no"), F.lit("<400》 1").alias("line")), F.struct((F.col("p_partkey") * 2 + 1).alias("line_no"), F.lit("Arg Met Phe Pro Ala").alias("line")))).alias("x")).select("patent_id", "x.line_no", "x.line")
+    lines = t("part").select((F.col("p_partkey") % 20).cast("string").alias("patent_id"), F.explode(F.array(F.struct((F.col("p_partkey") * 2).alias("line_no"), F.lit("<400》 1").alias("line")), F.struct((F.col("p_partkey") * 2 + 1).alias("line_no"), F.lit("Arg Met Phe Pro Ala").alias("line")))).alias("x")).select("patent_id", "x.line_no", "x.line")
     merged = B.merge_lines(lines)
     return merged.select("patent_id", "seq_no", "kind", B.one_letter(F.regexp_replace("sequence", " ", "")).alias("residues"), B.repair_amino(F.lit("Sor Va ala g Met")).alias("repaired"))
 
