@@ -177,8 +177,11 @@ def _bare(token: str) -> str:
     return token.strip(_EDGE).lower()
 
 
-def _tokens(text: str | None, dropped: set[int]) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, str, str]], tuple[int, str] | None, tuple[int, str] | None]:
-    """Unbroken words (line, word, left, right), broken ones (line, head, tail), the head left open at the end, the first token."""
+def _tokens(text: str | None, dropped: set[int], goes_on: bool = True) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, str, str]], tuple[int, str] | None, tuple[int, str, str, str] | None]:
+    """Unbroken words (line, word, left, right), broken ones (line, head, tail), the head left open at the end, the first token.
+
+    Where a text goes on from page to page, the first token (line, token, "broken" or "", right) is held back from the words.
+    """
     flat: list[tuple[int, str, bool, bool]] = []  # line, token, first of its line, last of its line
     for i, line in enumerate(_lines(text), 1):
         if i in dropped or not line.strip() or _ONLY_NUMBERS.match(line):
@@ -198,10 +201,9 @@ def _tokens(text: str | None, dropped: set[int]) -> tuple[list[tuple[int, str, s
                 broken.append((line, token[:-1], flat[k + 1][1]))
                 used |= {k, k + 1}
     for k, (line, token, begins, _) in enumerate(flat):
-        if k == 0 and begins:
-            first = (line, token)
-            if 0 not in used:
-                used.add(0)
+        if k == 0 and begins and goes_on:
+            first = (line, token, "broken" if 0 in used else "", _mask(flat[1][1]) if len(flat) > 1 else "")
+            used.add(0)
         if k in used:
             continue
         word = _bare(token)
@@ -216,7 +218,7 @@ def _mask(token: str) -> str:
 
 def _word_rows(batch: pd.DataFrame) -> Iterator[tuple]:
     for p, f, n, field, text, dropped in zip(batch["page_id"], batch["pdf_name"], batch["page_number"], batch["field"], batch["body"], batch["dropped"]):
-        yield int(p), f, int(n), field, _tokens(text, set() if dropped is None else {int(x) for x in dropped})
+        yield int(p), f, int(n), field, _tokens(text, set() if dropped is None else {int(x) for x in dropped}, field == "text")
 
 
 _V_SCHEMA = "word string, other string, n bigint"
@@ -246,6 +248,41 @@ def repairs(pages: DataFrame) -> DataFrame:
     figures = source.where(F.length("data") > 0).select("page_id", "pdf_name", "page_number", F.lit("data").alias("field"), F.col("data").alias("body"), F.lit(None).cast("array<int>").alias("dropped"))
     fields = spread(texts.unionByName(figures))
 
+    columns = [x.split()[0] for x in _O_SCHEMA.split(", ")]
+
+    def edge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, f, n, field, (_, _, opened, first) in _word_rows(batch):
+                if opened:
+                    rows.append(("open", p, f, n, field, opened[0], opened[1], "", ""))
+                rows.append(("first", p, f, n, field, *(first or (0, "", "", ""))))
+            yield pd.DataFrame(rows, columns=columns)
+
+    edges = cut(fields.where("field = 'text'").mapInPandas(edge, _O_SCHEMA))
+
+    # Broken at the end of a page: the next page of the file that has text.
+    firsts = edges.where("kind = 'first'").groupBy("pdf", "number").agg(F.min(F.when(F.col("a") != "", F.col("a"))).alias("tail"))
+    last_page = source.groupBy(F.col("pdf_name").alias("pdf")).agg(F.max("page_number").alias("last"))
+    waiting = edges.where("kind = 'open'").select("page_id", "pdf", "number", "line_no", "a").join(last_page, "pdf").withColumn("at", F.col("number") + 1).where("at <= last")
+    crossing = None
+    while not waiting.isEmpty():
+        met = cut(waiting.join(firsts.select("pdf", F.col("number").alias("at"), "tail", F.lit(True).alias("there")), ["pdf", "at"], "left"))
+        got = met.where("there and tail is not null").select("page_id", "pdf", "at", "line_no", "a", F.col("tail").alias("b"))
+        crossing = got if crossing is None else crossing.unionByName(got)
+        waiting = met.where("there is null").select("page_id", "pdf", "number", "line_no", "a", "last", (F.col("at") + 1).alias("at")).where("at <= last")
+    # A page's first token is a whole word unless the page before left one open.
+    begun = edges.where("kind = 'first' and a <> '' and line_no > 0")
+    if crossing is not None:
+        begun = begun.join(crossing.select("pdf", F.col("at").alias("number")).distinct(), ["pdf", "number"], "left_anti")
+    bare = lambda x: F.lower(F.regexp_replace(x, r"^[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+|[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+$", ""))
+    masked = lambda x: F.regexp_replace(x, r"\d+", "#")
+    begun = begun.select("field", "page_id", "line_no", bare(F.col("a")).alias("word"), F.lit("").alias("left"), F.col("c").alias("right"), (F.col("b") == "broken").alias("part"))
+    whole = begun.where(~F.col("part") & F.col("word").rlike(r"\p{L}"))
+    pair = lambda l, r: F.struct(l.alias("word"), r.cast("string").alias("other"))
+    after = F.when(F.col("right") != "", pair(masked(F.col("word")), F.concat(F.lit("\t"), "right")))
+    begun_counts = whole.select(F.explode(F.array_compact(F.array(pair(F.col("word"), F.lit(None)), pair(F.lit(""), masked(F.col("word"))), after))).alias("x")).select("x.word", "x.other", F.lit(1).cast("bigint").alias("n"))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words: Counter = Counter()
@@ -259,7 +296,7 @@ def repairs(pages: DataFrame) -> DataFrame:
             rows = [(w, None, n) for w, n in words.items()] + [(a, b, n) for (a, b), n in pairs.items()]
             yield pd.DataFrame(rows, columns=["word", "other", "n"])
 
-    counted = cut(fields.mapInPandas(count, _V_SCHEMA).groupBy("word", "other").agg(F.sum("n").alias("n")))
+    counted = cut(fields.mapInPandas(count, _V_SCHEMA).unionByName(begun_counts).groupBy("word", "other").agg(F.sum("n").alias("n")))
     vocabulary = counted.where("other is null").select("word", "n").withColumn("s", _skeleton_column(F.col("word")))
     # (left, right) as one key; a right neighbour is kept apart by its mark.
     context = counted.where("other is not null").select(F.col("word").alias("l"), F.col("other").alias("r"), "n")
@@ -276,44 +313,23 @@ def repairs(pages: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sound = trusted.value
-        columns = [x.split()[0] for x in _O_SCHEMA.split(", ")]
         for batch in batches:
             rows = []
-            for p, f, n, field, (words, broken, opened, first) in _word_rows(batch):
+            for p, f, n, field, (words, broken, _, _) in _word_rows(batch):
                 rows += [("word", p, f, n, field, line, w, left, right) for line, w, left, right in words if w not in sound]
                 rows += [("broken", p, f, n, field, line, a, b, "") for line, a, b in broken]
-                if field == "text":
-                    if opened:
-                        rows.append(("open", p, f, n, field, opened[0], opened[1], "", ""))
-                    rows.append(("first", p, f, n, field, first[0] if first else 0, first[1] if first else "", "", ""))
             yield pd.DataFrame(rows, columns=columns)
 
     seen = cut(fields.mapInPandas(emit, _O_SCHEMA))
 
-    # Broken at the end of a page: the next page of the file that has text.
-    firsts = seen.where("kind = 'first'").groupBy("pdf", "number").agg(F.min(F.when(F.col("a") != "", F.col("a"))).alias("tail"))
-    last_page = source.groupBy(F.col("pdf_name").alias("pdf")).agg(F.max("page_number").alias("last"))
-    waiting = seen.where("kind = 'open'").select("page_id", "pdf", "number", "line_no", "a").join(last_page, "pdf").withColumn("at", F.col("number") + 1).where("at <= last")
-    crossing = None
-    while not waiting.isEmpty():
-        met = cut(waiting.join(firsts.select("pdf", F.col("number").alias("at"), "tail", F.lit(True).alias("there")), ["pdf", "at"], "left"))
-        got = met.where("there and tail is not null").select("page_id", "pdf", "at", "line_no", "a", F.col("tail").alias("b"))
-        crossing = got if crossing is None else crossing.unionByName(got)
-        waiting = met.where("there is null").select("page_id", "pdf", "number", "line_no", "a", "last", (F.col("at") + 1).alias("at")).where("at <= last")
     broken = seen.where("kind = 'broken'").select("field", "page_id", "line_no", "a", "b")
     if crossing is not None:
         broken = broken.unionByName(crossing.select(F.lit("text").alias("field"), "page_id", "line_no", "a", "b"))
 
-    # A page's first token is a whole word unless the page before left one open.
-    begun = seen.where("kind = 'first' and a <> '' and line_no > 0")
-    if crossing is not None:
-        begun = begun.join(crossing.select("pdf", F.col("at").alias("number")).distinct(), ["pdf", "number"], "left_anti")
-    bare = lambda x: F.lower(F.regexp_replace(x, r"^[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+|[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+$", ""))
     occurrences = seen.where("kind = 'word'").select("field", "page_id", "line_no", F.col("a").alias("word"), F.col("b").alias("left"), F.col("c").alias("right"))
-    occurrences = occurrences.unionByName(begun.select("field", "page_id", "line_no", bare(F.col("a")).alias("word"), F.lit("").alias("left"), F.lit("").alias("right")))
+    occurrences = occurrences.unionByName(begun.drop("part"))
 
     doubtful = occurrences.join(ways, "word")
-    masked = lambda x: F.regexp_replace(x, r"\d+", "#")
 
     def support(df: DataFrame, form: str, into: str) -> DataFrame:
         before = context.where(~F.startswith("r", F.lit("\t"))).select(F.col("l").alias("left"), F.col("r").alias("m"), F.col("n").alias("x1"))

@@ -25,3 +25,11 @@ def test_repairs(spark):
         assert row in got, row
     assert ("text", 3, 3, "drop", "") not in got
     assert repairs(df.limit(0)).count() == 0
+
+
+def test_first_words_are_words(spark):
+    body = "The treatment was given during the trial.\n"
+    pages = [(100 + i, f"k{i}", 1, "Text", body * 3, None) for i in range(9)] + [(1, "f", 1, "Text", "The trial was given.", "treatrnent was given during the trial"), (2, "g", 1, "Text", "treatrnent was given.", None)]
+    pages += [(200 + i, f"b{i}", 1, "Text", "Baseline was given.", None) for i in range(9)] + [(300, "c", 1, "Text", "The 6aseline was given.", None)]
+    got = {tuple(r) for r in repairs(spark.createDataFrame(pages, "page_id bigint, pdf_name string, page_number int, block_type string, text string, data string")).collect()}
+    assert {("data", 1, 1, "char", "treatment"), ("text", 2, 1, "char", "treatment"), ("text", 300, 1, "char", "baseline")} <= got
