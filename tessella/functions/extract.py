@@ -53,10 +53,18 @@ def columns_to_map(rows: Column) -> Column:
     return F.map_from_arrays(head, F.transform(head, lambda h, i: F.transform(body, lambda r: F.get(r, i))))
 
 
+#: A range of more numbers is a misreading: it stands for none of them, rather than for an array that no row can hold.
+LONGEST_RANGE = 1_000_000
+
+
+def _numbers(lo: Column, hi: Column) -> Column:
+    return F.when(F.coalesce(F.abs(hi - lo) < LONGEST_RANGE, F.lit(False)), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
 def ranges_to_values(text: Column) -> Column:
-    """``1-2,4`` as [1, 2, 4]."""
+    """``1-2,4`` as [1, 2, 4]; a range of over ``LONGEST_RANGE`` numbers or beyond INT is left out."""
     spans = F.filter(F.transform(F.split(text, r"\s*,\s*"), lambda x: F.split(F.trim(x), r"\s*-\s*")), lambda p: F.regexp_like(p[0], F.lit(r"^\d+$")))
-    return F.flatten(F.transform(spans, lambda p: F.sequence(p[0].cast("int"), F.element_at(p, -1).cast("int"))))
+    return F.flatten(F.transform(spans, lambda p: _numbers(p[0].try_cast("int"), F.element_at(p, -1).try_cast("int"))))
 
 
 def values_to_ranges(values: Column) -> Column:
@@ -87,8 +95,8 @@ def claim_parents(text: Column) -> Column:
     """The claims that a claim's text refers to, ascending and distinct: a range expanded, else the first list or number. None gives an empty array."""
     g = lambda p, i: F.regexp_extract(text, p, i)
     lo, hi = F.concat(g(_FROM_TO, 1), g(_FROM_TO, 3)).try_cast("int"), F.concat(g(_FROM_TO, 2), g(_FROM_TO, 4)).try_cast("int")
-    listed = F.transform(F.regexp_extract_all(F.concat(g(_LISTED, 1), g(_LISTED, 2)), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
-    return F.when(lo.isNotNull() & hi.isNotNull(), F.sequence(F.least(lo, hi), F.greatest(lo, hi))).otherwise(F.array_sort(F.array_distinct(listed)))
+    listed = F.transform(F.regexp_extract_all(F.concat(g(_LISTED, 1), g(_LISTED, 2)), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.when(lo.isNotNull() & hi.isNotNull(), _numbers(F.least(lo, hi), F.greatest(lo, hi))).otherwise(F.array_sort(F.array_distinct(listed)))
 
 
 def document_number(html: Column) -> Column:
@@ -125,40 +133,33 @@ def day_to_ms(day: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
 
 
-def repair_date(text: str | None) -> str:
-    """A date as recognised on a page, as year-month-day; ``''`` if it can't be one.
-
-    ``2020年1月2日`` in parts; else a year of four digits (19…, 20…) or two (0-2
-    in this century), in 1929-2025, then month and day with a point or, run
-    together, at the first cut that gives both.
-    """
-    if not text:
-        return ""
-    if "年" in text and "月" in text:
-        year, _, rest = text.partition("年")
-        month, _, day = rest.partition("月")
-        return "-".join([year, month, day.rstrip("日号")])
-    digits = text.strip()
-    if digits[:2] in ("19", "20"):
-        year, rest = digits[:4], digits[4:]
-    else:
-        year, rest = digits[:2], digits[2:]
-        if not year.isdigit() or len(year) < 2:
-            return ""
-        year = ("20" if year[0] < "3" else "19") + year
-    if not year.isdigit() or not 1929 <= int(year) <= 2025:
-        return ""
-    rest = rest.removeprefix(".")
-    cuts = [rest.split(".", 1)] if "." in rest else [[rest[:i], rest[i:]] for i in range(1, len(rest))]
-    for month, day in cuts:
-        if month.isdigit() and day.isdigit() and 1 <= int(month) <= 12 and 1 <= int(day) <= 31 and len(day) < 3:
-            return f"{year}-{month}-{day}"
-    return ""
+# The first and last year that a date read from a page can have.
+FIRST_YEAR, LAST_YEAR = 1929, 2025
+#: The written forms of a date on a page, in the order in which they are tried: (pattern, whether the year may have two digits).
+_DATE_FORMS = (
+    (r"^\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*[日号]?\s*$", False),
+    (r"^\s*((?:19|20)\d\d|(?!19|20)\d\d)\.?(\d{1,2})\.(\d{1,2})\s*$", True),
+    (r"^\s*((?:19|20)\d\d|(?!19|20)\d\d)\.?(\d)(\d{1,2})\s*$", True),
+    (r"^\s*((?:19|20)\d\d|(?!19|20)\d\d)\.?(\d\d)(\d{1,2})\s*$", True),
+)
 
 
 def repair_date_column(text: Column) -> Column:
-    """``repair_date`` as an Arrow UDF."""
-    return pandas_udf(lambda s: s.map(repair_date), StringType())(text)
+    """A date as recognised on a page, as year-month-day without leading zeros; ``''`` if it can't be one, null included.
+
+    ``2020年1月2日`` in parts; else a year of four digits (19…, 20…) or two (0-2
+    in this century), then month and day with a point between, or run together:
+    the first form that gives a day of the calendar counts. Years other than
+    those of the Chinese form lie in FIRST_YEAR to LAST_YEAR.
+    """
+    found = []
+    for pattern, bounded in _DATE_FORMS:
+        written, month, day = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
+        year = F.when(F.length(written) == 2, F.concat(F.when(written < "3", "20").otherwise("19"), written)).otherwise(written)
+        date = F.array_join(F.transform(F.array(year, month, day), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")), "-")
+        sound = F.try_to_timestamp(date, F.lit("y-M-d")).isNotNull()
+        found.append(F.when(sound & year.try_cast("int").between(FIRST_YEAR, LAST_YEAR) if bounded else sound, date))
+    return F.coalesce(*found, F.lit(""))
 
 
 # The months.

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,33 +92,91 @@ def normalise_protein(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(text), r"[\s\d]", ""), "[^ABCDEFGHIKLMNPQRSTVWXYZ]", "X")
 
 
-_PART = re.compile(r"\[([A-Za-z]+)\]?|([A-Za-z])")
-_COUNT = re.compile(r"\{(\d+)(?:,(\d+))?\}?")
+@dataclass(frozen=True)
+class Element:
+    """One position of a motif: the letters that may stand there and how often."""
 
+    letters: str
+    least: int = 1
+    most: int = 1
 
-def expand_motif(motif: str | None, nucleotide: bool = False, most: int = 100) -> list[str]:
-    """The concrete sequences of a motif, ascending, at most ``most``: ``[AB]``, ``X{3}``, ``X{2,3}``, and N as any base of a nucleotide."""
-    if not motif:
-        return []
-    options: list[list[str]] = []
-    at = 0
-    while at < len(motif):
-        m = _PART.match(motif, at)
-        if not m:
-            at += 1
+
+def _number(text: str, at: int) -> tuple[int | None, int]:
+    end = at
+    while end < len(text) and text[end].isascii() and text[end].isdigit():
+        end += 1
+    return (int(text[at:end]) if end > at else None), end
+
+
+def motif_elements(motif: str) -> list[Element]:
+    """The elements of a motif.
+
+    Grammar: motif = {element}; element = (letter | "[" letters ["]"]) [ "{" number ["," number] ["}"] ].
+    What fits nowhere is passed over; a count without a number means once.
+    """
+    out: list[Element] = []
+    at, n = 0, len(motif)
+    while at < n:
+        ch, at = motif[at], at + 1
+        letters = ch
+        if ch == "[":
+            end = at
+            while end < n and motif[end].isascii() and motif[end].isalpha():
+                end += 1
+            letters, at = motif[at:end], end + (motif[end : end + 1] == "]")
+        if not letters.isascii() or not letters.isalpha():
             continue
-        letters = sorted(set(m.group(1) or m.group(2)))
-        if nucleotide and letters == ["N"]:
-            letters = list("ACGT")
-        at = m.end()
-        c = _COUNT.match(motif, at)
-        if c:
-            at = c.end()
-            lo, hi = int(c.group(1)), int(c.group(2) or c.group(1))
-            options.append(["".join(p) for n in range(lo, hi + 1) for p in (itertools.product(letters, repeat=n) if len(letters) > 1 else [letters * n])])
-        else:
-            options.append(letters)
-    return sorted(set(itertools.islice(("".join(p) for p in itertools.product(*options)), 100 * most)))[:most]
+        least = most = 1
+        if motif[at : at + 1] == "{":
+            low, end = _number(motif, at + 1)
+            if low is not None:
+                high, after = _number(motif, end + 1) if motif[end : end + 1] == "," else (None, end)
+                least, most = low, low if high is None else high
+                at = after + (motif[after : after + 1] == "}")
+        out.append(Element("".join(sorted(set(letters))), least, most))
+    return out
+
+
+def motif_sequences(elements: list[Element]) -> Iterator[str]:
+    """All sequences of a motif, each once, in ascending order and one at a time: a walk over the states that a prefix can have reached."""
+
+    def settled(states: Iterator[tuple[int, int]]) -> frozenset[tuple[int, int]]:
+        """The states with those that need no further letter: an element that stands often enough may be left."""
+        seen, todo = set(), list(states)
+        while todo:
+            state = todo.pop()
+            if state in seen:
+                continue
+            seen.add(state)
+            i, times = state
+            if i < len(elements) and times >= elements[i].least:
+                todo.append((i + 1, 0))
+        return frozenset(seen)
+
+    if any(e.most < e.least for e in elements):
+        return
+    stack = [("", settled(iter([(0, 0)])))]
+    while stack:
+        prefix, states = stack.pop()
+        if (len(elements), 0) in states:
+            yield prefix
+        ahead: dict[str, list[tuple[int, int]]] = {}
+        for i, times in states:
+            if i < len(elements) and times < elements[i].most:
+                for letter in elements[i].letters:
+                    ahead.setdefault(letter, []).append((i, times + 1))
+        stack += [(prefix + letter, settled(iter(ahead[letter]))) for letter in sorted(ahead, reverse=True)]
+
+
+def expand_motif(motif: str | None, nucleotide: bool = False, most: int = 100) -> list[str]:
+    """The concrete sequences of a motif, the least ``most`` in ascending order: ``[AB]``, ``X{3}``, ``X{2,3}``, and N as any base of a nucleotide.
+
+    Null, empty and unreadable motifs have none.
+    """
+    elements = motif_elements(motif or "")
+    if nucleotide:
+        elements = [Element("ACGT", e.least, e.most) if e.letters == "N" else e for e in elements]
+    return list(itertools.islice(motif_sequences(elements), most)) if elements else []
 
 
 def expand_motif_column(motif: Column, nucleotide: bool = False, most: int = 100) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.packed import number_values
+from tessella.operators.packed import first_number
 from tessella.plans.runtime import cut, read_cut, write_cut
 
 #: A frontier of at most so many rows is broadcast to the nodes that remain; a larger one is shuffled.
@@ -66,7 +66,7 @@ def claim_trees(claims: DataFrame) -> DataFrame:
     the one of least claim_id gives the parent.
     """
     code = F.nullif(F.upper(F.regexp_replace("patent_code", r"[\s 　\-‐-―]", "")), F.lit(""))
-    rows = claims.select("claim_id", code.alias("scope"), F.col("claim_num").alias("node"), F.get(number_values(F.col("claim_ref_pre")), F.lit(0)).alias("parent")).where("scope is not null and node is not null")
+    rows = claims.select("claim_id", code.alias("scope"), F.col("claim_num").alias("node"), first_number(F.col("claim_ref_pre")).alias("parent")).where("scope is not null and node is not null")
     one = rows.groupBy("scope", "node").agg(F.min_by("parent", "claim_id").try_cast("int").alias("parent"))
     out = hierarchy(one)
     return out.select(F.col("scope").alias("code"), F.col("node").alias("claim_num"), F.coalesce("root", F.lit(-1)).alias("root_num"), "depth", "path", F.col("n_desc").cast("int").alias("n_desc"))

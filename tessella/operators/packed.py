@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.runtime import spread
+from tessella.plans.runtime import cut, spread
 
 _WIDE = "０１２３４５６７８９／，；－．～｜［］＂　"
 _NARROW = "0123456789/,;-.~|[]\" "
@@ -34,29 +34,66 @@ _DELIMITERS = ";；|、,，/\n\r"
 _AND = re.compile(r"\s(?:and|und|et)\s")
 #: Cells that a worker remembers; the table is emptied when full.
 REMEMBERED = 100_000
-#: Characters of dictionary entries in one automaton.
-BLOCK_CHARS = 32_000_000
+#: Characters of dictionary entries in one automaton: only the memory of a worker hangs on it, no result.
+BLOCK_CHARS = 2_000_000
+#: The greatest number that can be a claim's (an INT), and values of a cell that are made in one row.
+MOST_NUMBER, RANGE_PIECE = 2_147_483_647, 10_000
 
 
-def number_values(cell: Column) -> Column:
-    """The claim numbers of a cell as an array of BIGINT, ranges expanded, in the written order.
+def number_ranges(cell: Column) -> Column:
+    """The claim numbers of a cell as an array of ``(lo, hi)`` structs of BIGINT, in the written order; lo over hi counts downwards.
 
     Any delimiter will do. Zero is no claim number (so "3.0" is the one value
-    3); a range written downwards is counted downwards. Null for a null cell.
+    3), nor is a number beyond ``MOST_NUMBER``: with it, a whole range is
+    unreadable and none of its numbers comes out. Null for a null cell.
     """
     text = F.translate(F.lower(cell), _WIDE, _NARROW)
     found = F.regexp_extract_all(text, F.lit(rf"(\d+(?:\s*{RANGE_WORDS}\s*\d+)?)"), F.lit(1))
     first = lambda x: F.regexp_extract(x, r"^(\d+)", 1).try_cast("bigint")
     last = lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("bigint")
     spans = F.transform(found, lambda x: F.struct(first(x).alias("lo"), last(x).alias("hi")))
-    sound = F.filter(spans, lambda x: x["lo"].isNotNull() & x["hi"].isNotNull())
-    return F.filter(F.flatten(F.transform(sound, lambda x: F.sequence(x["lo"], x["hi"]))), lambda x: x >= 1)
+    sound = F.filter(spans, lambda x: F.coalesce(F.greatest(x["lo"], x["hi"]).between(1, MOST_NUMBER) & x["lo"].isNotNull() & x["hi"].isNotNull(), F.lit(False)))
+    return F.transform(sound, lambda x: F.struct(F.greatest(x["lo"], F.lit(1)).alias("lo"), F.greatest(x["hi"], F.lit(1)).alias("hi")))
+
+
+def first_number(cell: Column) -> Column:
+    """The first claim number of a cell; null without one. Ranges aren't expanded for it."""
+    return F.get(number_ranges(cell), F.lit(0))["lo"]
+
+
+def _size(ranges: Column) -> Column:
+    return F.aggregate(ranges, F.lit(0).cast("bigint"), lambda n, x: n + F.abs(x["hi"] - x["lo"]) + 1)
+
+
+def number_values(cell: Column) -> Column:
+    """The claim numbers of a cell as an array of BIGINT, ranges expanded, in the written order (see ``number_ranges``).
+
+    Meant for cells of few values: ``split_numbers`` takes ranges of any length.
+    """
+    return F.flatten(F.transform(number_ranges(cell), lambda x: F.sequence(x["lo"], x["hi"])))
 
 
 def split_numbers(df: DataFrame, key: str, cell: str) -> DataFrame:
-    """``(row_id, pos, val, n)``: one row per number of a cell; n is the number of values of the cell. Rows with a null key fall out."""
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("row_id"), number_values(F.col(cell)).alias("vals"))
-    return rows.select("row_id", F.posexplode("vals").alias("p", "v"), F.size("vals").alias("n")).select("row_id", (F.col("p") + 1).alias("pos"), F.col("v").cast("string").alias("val"), "n")
+    """``(row_id, pos, val, n)``: one row per number of a cell; n is the number of values of the cell. Rows with a null key fall out.
+
+    Cells of more than ``RANGE_PIECE`` values are dealt out in pieces of their
+    ranges, so that neither a row nor a task holds a long range.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("row_id"), number_ranges(F.col(cell)).alias("ranges")).withColumn("n", _size(F.col("ranges")))
+    few = rows.where(F.col("n") <= RANGE_PIECE).select("row_id", F.posexplode(F.flatten(F.transform("ranges", lambda x: F.sequence(x["lo"], x["hi"])))).alias("p", "v"), "n")
+    few = few.select("row_id", (F.col("p") + 1).cast("bigint").alias("pos"), "v", "n")
+    # A long cell: each range with the number of values before it, cut into pieces, each piece by itself.
+    empty = F.array().cast("array<struct<lo:bigint,hi:bigint,before:bigint>>")
+    begun = F.aggregate("ranges", empty, lambda done, x: F.concat(done, F.array(F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), F.coalesce(_after(F.try_element_at(done, F.lit(-1))), F.lit(0).cast("bigint")).alias("before")))))
+    long = rows.where(F.col("n") > RANGE_PIECE).select("row_id", "n", F.explode(begun).alias("r")).select("row_id", "n", "r.*")
+    pieces = long.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.abs(F.col("hi") - F.col("lo")), F.lit(RANGE_PIECE).cast("bigint"))).alias("at")).repartition("row_id", "lo", "at")
+    last = F.least(F.col("at") + RANGE_PIECE - 1, F.abs(F.col("hi") - F.col("lo")))
+    many = pieces.select("*", F.explode(F.sequence("at", last)).alias("i")).select("row_id", (F.col("before") + F.col("i") + 1).alias("pos"), (F.col("lo") + F.signum(F.col("hi") - F.col("lo")).cast("bigint") * F.col("i")).alias("v"), "n")
+    return few.unionByName(many).select("row_id", F.col("pos"), F.col("v").cast("string").alias("val"), "n")
+
+
+def _after(r: Column) -> Column:
+    return r["before"] + F.abs(r["hi"] - r["lo"]) + 1
 
 
 # ------------------------------------------------------------------ names
@@ -142,39 +179,39 @@ def whole_values(cell: str | None) -> list[str]:
     return out
 
 
-def segment(cell: str | None, known: ahocorasick.Automaton | None = None) -> list[str]:
-    """The values of a cell in the written order; null, empty and placeholder cells have none.
+def known_spans(pieces: list[tuple[str, str, bool]], known: ahocorasick.Automaton | None) -> set[tuple[int, int]]:
+    """(first, last piece) of the known whole values of several pieces that a cell holds."""
+    if known is None or len(pieces) < 2:
+        return set()
+    # The pieces are laid out again with their delimiters; a known value must begin and end with a piece.
+    line, begin, end = "", {}, {}
+    for i, (text, delimiter, quoted) in enumerate(pieces):
+        if quoted:
+            line += "\0"
+        lead = len(text) - len(text.lstrip())
+        begin[len(line) + lead] = i
+        end[len(line) + len(text.rstrip())] = i
+        line += text + ("\0" if quoted else "") + delimiter
+    out = set()
+    for last, length in known.iter(line):
+        a, b = begin.get(last + 1 - length), end.get(last + 1)
+        if a is not None and b is not None and b > a:
+            out.add((a, b))
+    return out
 
-    Pieces between delimiters are covered by values; a known whole value may
-    cover several pieces. Of all covers the one of fewest values counts, among
-    those the one with most known values.
-    """
-    if cell is None or _clean(cell).casefold() in PLACEHOLDERS:
-        return []
-    pieces = _join_forms(_pieces(cell))
+
+def best_cover(pieces: list[tuple[str, str, bool]], known: set[tuple[int, int]]) -> list[str]:
+    """The values of the cover of fewest values, among those of the one with most known values."""
     n = len(pieces)
     spans: dict[int, list[int]] = {}
-    if known is not None and n > 1:
-        # The pieces are laid out again with their delimiters; a known value must begin and end with a piece.
-        line, begin, end = "", {}, {}
-        for i, (text, delimiter, quoted) in enumerate(pieces):
-            if quoted:
-                line += "\0"
-            lead = len(text) - len(text.lstrip())
-            begin[len(line) + lead] = i
-            end[len(line) + len(text.rstrip())] = i
-            line += text + ("\0" if quoted else "") + delimiter
-        for last, length in known.iter(line):
-            a, b = begin.get(last + 1 - length), end.get(last + 1)
-            if a is not None and b is not None and b > a:
-                spans.setdefault(a, []).append(b)
+    for a, b in known:
+        spans.setdefault(a, []).append(b)
     best: list[tuple[int, int, int]] = [(0, 0, n)] * (n + 1)
     for i in range(n - 1, -1, -1):
         blank = not _clean(pieces[i][0])
         choice = (best[i + 1][0] + (not blank), best[i + 1][1], i + 1)
         for b in spans.get(i, ()):
-            other = (best[b + 1][0] + 1, best[b + 1][1] - 1, b + 1)
-            choice = min(choice, other)
+            choice = min(choice, (best[b + 1][0] + 1, best[b + 1][1] - 1, b + 1))
         best[i] = choice
     out, i = [], 0
     while i < n:
@@ -186,6 +223,21 @@ def segment(cell: str | None, known: ahocorasick.Automaton | None = None) -> lis
     return out
 
 
+def _cell_pieces(cell: str | None) -> list[tuple[str, str, bool]]:
+    return [] if cell is None or _clean(cell).casefold() in PLACEHOLDERS else _join_forms(_pieces(cell))
+
+
+def segment(cell: str | None, known: ahocorasick.Automaton | None = None) -> list[str]:
+    """The values of a cell in the written order; null, empty and placeholder cells have none.
+
+    Pieces between delimiters are covered by values; a known whole value may
+    cover several pieces. Of all covers the one of fewest values counts, among
+    those the one with most known values.
+    """
+    pieces = _cell_pieces(cell)
+    return best_cover(pieces, known_spans(pieces, known))
+
+
 def _automaton(words: list[str]) -> ahocorasick.Automaton | None:
     if not words:
         return None
@@ -215,8 +267,10 @@ def split_names(df: DataFrame, key: str, cell: str, block_chars: int = BLOCK_CHA
     single. Null, empty and placeholder cells give no row; rows with a null key
     fall out. Nothing but the dictionary is shuffled: workers remember cells, so
     a hot cell costs a lookup. The dictionary (distinct whole values with a
-    delimiter inside) is met in blocks of ``block_chars`` characters, one pass
-    each; of several blocks, the cover of fewest values counts.
+    delimiter inside) is a written table that is met in blocks of
+    ``block_chars`` characters; the driver and a worker hold one block at a
+    time. All blocks' hits are gathered before each cell's one best cover is
+    sought, so the blocks' size has no effect on the result.
     """
     kind = df.schema[key].dataType.simpleString()
     bare = F.lower(F.regexp_replace(cell, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", ""))
@@ -226,32 +280,45 @@ def split_names(df: DataFrame, key: str, cell: str, block_chars: int = BLOCK_CHA
         for batch in batches:
             yield pd.DataFrame({"w": sorted({w for c in set(batch["cell"]) for w in whole_values(c)})}, dtype=object)
 
-    words = rows.where(F.col("cell").rlike(r"[\"'“‘,，/]")).mapInPandas(gather, "w string").distinct()
-    context = df.sparkSession.sparkContext
-    out = rows.select("row_id", "cell", F.lit(None).cast("array<string>").alias("vals"))
-    for block in [*_blocks(words.toLocalIterator(), block_chars)] or [[]]:
-        shared = context.broadcast(block)
+    words = cut(rows.where(F.col("cell").rlike(r"[\"'“‘,，/]")).mapInPandas(gather, "w string").distinct())
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def meet(out: DataFrame, block: list[str], last: bool) -> DataFrame:
+        """``out`` with the block's hits added to ``hits`` (pairs of pieces, flat), or after the last block with the values."""
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = _automaton(shared.value)
-            seen: dict[str, list[str]] = {}
+            seen: dict[str, list] = {}
             for batch in batches:
                 values = []
-                for c, before in zip(batch["cell"], batch["vals"]):
+                for c, before in zip(batch["cell"], batch["hits"]):
                     if c not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
-                        seen[c] = segment(c, known)
-                    values.append(seen[c] if before is None or len(seen[c]) < len(before) else before)
-                yield pd.DataFrame({"row_id": batch["row_id"], "cell": batch["cell"], "vals": pd.Series(values, dtype=object)})
-
-        out = out.mapInPandas(run, f"row_id {kind}, cell string, vals array<string>")
+                        pieces = _cell_pieces(c)
+                        spans = known_spans(pieces, known)
+                        if before is not None:
+                            spans |= set(zip(before[::2].tolist(), before[1::2].tolist()))
+                        seen[c] = best_cover(pieces, spans) if last else [x for span in sorted(spans) for x in span]
+                    values.append(seen[c])
+                if last:
+                    yield pd.DataFrame({"row_id": batch["row_id"], "vals": pd.Series(values, dtype=object)})
+                else:
+                    yield pd.DataFrame({"row_id": batch["row_id"], "cell": batch["cell"], "hits": pd.Series(values, dtype=object)})
+
+        return out.mapInPandas(run, f"row_id {kind}, vals array<string>" if last else f"row_id {kind}, cell string, hits array<int>")
+
+    out, blocks = rows.withColumn("hits", F.lit(None).cast("array<int>")), _blocks(words.toLocalIterator(), block_chars)
+    block = next(blocks, [])
+    for ahead in blocks:
+        out, block = cut(meet(out, block, False)), ahead
+    out = meet(out, block, True)
     exploded = out.select("row_id", F.posexplode("vals").alias("p", "val"), F.size("vals").alias("n"))
     return exploded.select("row_id", (F.col("p") + 1).alias("pos"), "val", "n")
 
 
 def packed_values(claims: DataFrame, news: DataFrame) -> DataFrame:
     """``(field, row_id, pos, val)`` of the cells with two or more values of both columns."""
-    numbers = split_numbers(claims, "claim_id", "claim_ref_pre").where("n > 1").select(F.lit("claim_ref_pre").alias("field"), "row_id", "pos", "val")
+    numbers = split_numbers(claims, "claim_id", "claim_ref_pre").where("n > 1").select(F.lit("claim_ref_pre").alias("field"), "row_id", F.col("pos").cast("int").alias("pos"), "val")
     names = split_names(news, "news_id", "invester").where("n > 1").select(F.lit("invester").alias("field"), "row_id", "pos", "val")
     return numbers.unionByName(names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -102,14 +103,31 @@ def release() -> None:
             continue
 
 
+#: Operators of a plan after which the number of partitions is not that of the scan's splits.
+_MOVED = re.compile(r"^[\s:+\-]*(?:Join|Aggregate|Generate|Window|Distinct|Repartition|RepartitionByExpression|MapInPandas|GlobalLimit|LocalRelation|LogicalRDD)\b", re.MULTILINE)
+
+
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """``df`` in enough partitions for work that is heavy per row.
 
-    Large inputs already have many splits and stay as they are; an input of
-    few splits is dealt out evenly, else one task would do all of the work.
+    A plain scan that has as many splits by its files' size stays as it is;
+    anything else is dealt out evenly, else one task would do all of the work.
+    Judged from the optimized plan alone: nothing is run for it.
     """
-    want = factor * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    session = df.sparkSession
+    want = factor * session.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = int(session._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if not _MOVED.search(plan.toString()) and sum(1 for x in plan.toString().split("\n") if "Relation" in x) == 1:
+        if _file_bytes(plan) >= want * split:
+            return df
+    return df.repartition(want)
+
+
+def _file_bytes(plan: object) -> int:
+    """The size of the files that a plan scans: its leaves' own estimate, before columns are pruned."""
+    leaves = plan.collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

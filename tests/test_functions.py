@@ -20,7 +20,7 @@ def test_tokens():
     assert token_list("PD-1抑制剂, Phase Ⅱ") == ["pd", "1", "抑", "制", "剂", "phase"]
 
 
-@pytest.mark.parametrize("value, want", [("1-2, 4, 6, 7-10", [1, 2, 4, 6, 7, 8, 9, 10]), ("5", [5]), ("x", [])])
+@pytest.mark.parametrize("value, want", [("1-2, 4, 6, 7-10", [1, 2, 4, 6, 7, 8, 9, 10]), ("5", [5]), ("x", []), ("1-999999999999,3", [3]), ("1-999999999", [])])
 def test_ranges(spark, value, want):
     assert one(spark, X.ranges_to_values, value) == want
 
@@ -39,9 +39,9 @@ def test_amino_repair(spark):
     assert one(spark, B.repair_amino, "Sor Va a his") == "SerValHis"
 
 
-@pytest.mark.parametrize("value, want", [("2020年1月2日", "2020-1-2"), ("2020.1.12", "2020-1-12"), ("98112", "1998-1-12"), ("151231", "2015-12-31"), ("", ""), (None, ""), ("1800.1.1", ""), ("xx", "")])
-def test_dates(value, want):
-    assert X.repair_date(value) == want
+@pytest.mark.parametrize("value, want", [("2020年1月2日", "2020-1-2"), ("2020.1.12", "2020-1-12"), ("98112", "1998-1-12"), ("151231", "2015-12-31"), ("", ""), (None, ""), ("1800.1.1", ""), ("xx", ""), ("2021.2.30", ""), ("2019.02.03", "2019-2-3"), ("2020112", "2020-1-12"), ("2020 年 3 月 4 号", "2020-3-4")])
+def test_dates(spark, value, want):
+    assert one(spark, X.repair_date_column, value) == want
 
 
 def test_windows(spark):
@@ -66,6 +66,7 @@ def test_cleaning(spark):
 
 def test_sentences(spark):
     assert one(spark, T.sentences_zh, "他说：“好。”然后走了。真的？是的……对") == ["他说：“好。”", "然后走了。", "真的？", "是的……", "对"]
+    assert one(spark, T.sentences_zh, "“走？”，他问。\n\n第二行\n“好！！”他说......完") == ["“走？”，他问。", "第二行", "“好！！”", "他说......", "完"]
     assert one(spark, T.sentences_naive, "一。二！三") == ["一。", "二！"]
     assert one(spark, T.sentences_en, 'He left. "Why?" 3 days. end') == ["He left.", '"Why?"', "3 days. end"]
 
@@ -91,6 +92,9 @@ def test_motif():
     assert B.expand_motif("A[BC]X{1,2}") == ["ABX", "ABXX", "ACX", "ACXX"]
     assert B.expand_motif("AN", nucleotide=True) == ["AA", "AC", "AG", "AT"] and B.expand_motif("AN") == ["AN"]
     assert len(B.expand_motif("[ACDEFGHIKL][ACDEFGHIKL][ACDEFGHIKL]")) == 100 and B.expand_motif(None) == [] == B.expand_motif("")
+    assert B.expand_motif("A{1,3}", most=2) == ["A", "AA"] and B.expand_motif("A{1,2}A{0,1}") == ["A", "AA", "AAA"]
+    assert B.expand_motif("[AB]{30}")[:2] == ["A" * 30, "A" * 29 + "B"] and len(B.expand_motif("[AB]{1,40}")) == 100
+    assert B.expand_motif("[AB") == ["A", "B"] and B.expand_motif("A-[B]{}C{2") == ["ABCC"] and B.expand_motif("-") == [] == B.expand_motif("A{3,2}")
 
 
 def test_claim_parents(spark):

@@ -50,3 +50,21 @@ def test_rows(spark):
     blocks = sorted(map(tuple, P.split_names(df.drop("cell"), "news_id", "invester", block_chars=1).collect()))
     assert blocks == got
     assert P.split_numbers(df.limit(0), "news_id", "invester").count() == 0
+
+
+def test_blocks_of_the_dictionary(spark):
+    cells = ['"Smith, Jones";X', '"Foo, Bar";X', "Smith, Jones; Foo, Bar", "Foo, Bar, Smith, Jones", "Smith, Jones, Foo"]
+    df = spark.createDataFrame(list(enumerate(cells)), "news_id bigint, invester string")
+    small, large = (sorted(map(tuple, P.split_names(df, "news_id", "invester", block_chars=n).collect())) for n in (1, 32_000_000))
+    assert small == large
+    assert [r[2] for r in small if r[0] == 2] == ["Smith, Jones", "Foo, Bar"] and [r[2] for r in small if r[0] == 4] == ["Smith, Jones", "Foo"]
+
+
+def test_long_ranges(spark):
+    cells = ["1-999999999999", "7; 1-999999999999; 9", "2-25003, 5", "25002-1", "0-3", "0-0", "3-0"]
+    df = spark.createDataFrame(list(enumerate(cells)), "k bigint, c string")
+    got = P.split_numbers(df, "k", "c").collect()
+    by = {k: [r.val for r in sorted((r for r in got if r.row_id == k), key=lambda r: r.pos)] for k in range(len(cells))}
+    assert by == {0: [], 1: ["7", "9"], 2: [*map(str, range(2, 25004)), "5"], 3: [str(x) for x in range(25002, 0, -1)], 4: ["1", "2", "3"], 5: [], 6: ["3", "2", "1"]}
+    assert all(sorted(r.pos for r in got if r.row_id == k) == list(range(1, len(v) + 1)) for k, v in by.items())
+    assert [r.v for r in df.orderBy("k").select(P.first_number(F.col("c")).alias("v")).collect()] == [None, 7, 2, 25002, 1, None, 3]

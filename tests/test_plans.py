@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.plans import aggregates as A
 from tessella.plans.query import Op, Page, Query, get_page, inner_hits, order_columns, page_after, where
-from tessella.plans.runtime import broadcast_if_small, cut, let, release
+from tessella.plans.runtime import broadcast_if_small, cut, let, release, spread
 
 
 def plan(df):
@@ -69,3 +69,18 @@ def test_runtime(spark):
     assert "BroadcastHint" not in df._jdf.queryExecution().analyzed().toString()
     assert broadcast_if_small(df, 1)._jdf.queryExecution().analyzed().toString().find("broadcast") == -1
     assert df.select(let(F.col("id") + 1, lambda x: x * x).alias("y")).agg(F.sum("y")).first()[0] == sum((i + 1) ** 2 for i in range(10))
+
+
+def test_spread_runs_nothing_ahead(spark):
+    """What stands before ``spread`` is computed once, in the action."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(1000).mapInPandas(count, "id bigint").groupBy((F.col("id") % 7).alias("g")).count()
+    dealt = spread(df)
+    assert seen.value == 0
+    assert dealt.count() == 7 and seen.value == 1000
