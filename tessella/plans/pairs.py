@@ -1,10 +1,14 @@
-"""Pairs of different members of a group, by an equi-join whose hot groups are dealt over tasks."""
+"""Equi-joins whose hot keys are dealt over tasks: of two tables, and of the members of a group with each other."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.plans.runtime import broadcast_if_small
+
+#: Rows of one key that one task of ``split_join`` takes on its left side.
+KEY_BLOCK = 20_000
 #: Members of one group that one task takes on its left side.
 GROUP_BLOCK = 2000
 
@@ -17,3 +21,19 @@ def pairs_within(members: DataFrame, group: str, key: str, as_a: str, as_b: str)
     left = kept.select("g", F.col("k").alias("a"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
     right = kept.select("g", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     return left.join(right, ["g", "block"]).where("a < b").select(F.col("a").alias(as_a), F.col("b").alias(as_b)).distinct()
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", block: int = KEY_BLOCK) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, inner or left; a key with over ``block`` left rows is dealt over tasks, its right rows going to each.
+
+    Only the hot keys are gathered beside: at most one for each ``block`` rows.
+    A null key meets nothing, and doesn't gather its rows in one task.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"split_join does not do {how}")
+    sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = sizes.select(key, F.ceil(F.col("n") / block).cast("int").alias("__blocks"))
+    row = F.xxhash64(*[F.col(c) for c in left.columns if not left.schema[c].dataType.simpleString().startswith("map")])
+    dealt = left.join(broadcast_if_small(hot), key, "left").withColumn("__block", F.pmod(row, F.when(F.col(key).isNull(), 1 << 20).otherwise(F.coalesce("__blocks", F.lit(1)))).cast("int")).drop("__blocks")
+    copied = right.where(F.col(key).isNotNull()).join(broadcast_if_small(hot), key, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))).drop("__blocks")
+    return dealt.join(copied, [key, "__block"], how).drop("__block")
