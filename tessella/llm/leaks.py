@@ -1,17 +1,17 @@
 """Evaluation passages inside training text (problem 9).
 
-Method: winnowing. Of every text only the least k-gram hash of each window of w
-k-grams is kept; fingerprints of corpus and evaluation items are joined, and
-each hit is extended to the whole sentence. Every shared span of k + w - 1
-tokens is found. With one token in ten changed, the longest untouched run of a
-sentence of ten tokens or more has at least five, which sets k and w.
-
-The evaluation side is a stated query set: it is cut into blocks of bounded
-size, and each block's index travels to the corpus, which isn't shuffled.
+Method: winnowing. Of every text, on both sides, only the least k-gram hash of
+each window of w k-grams is kept; the fingerprints of corpus and evaluation
+items are joined, and each hit is extended to the whole sentence. Every shared
+span of k + w - 1 tokens shares a fingerprint. With one token in ten changed,
+the longest untouched run of a sentence of ten tokens or more has at least
+five, which sets k and w; how many fingerprints a sentence must share follows
+from the same count and thins the candidates before they are extended.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.sentences import split_sentences
 from tessella.llm.skeleton import skeleton
-from tessella.plans.runtime import spread
+from tessella.plans.pairs import split_join
+from tessella.plans.runtime import broadcast_if_small, cut, spread
 
 K, W = 4, 2
-#: Characters of evaluation text in one broadcast block.
-BLOCK_CHARS = 20_000_000
+#: Bits of the sieve of the items' fingerprints: of fixed size, it only keeps corpus fingerprints that meet nothing from being shuffled.
+SIEVE_BITS = 1 << 24
+#: Candidate sentences of one document that are extended in one row.
+CANDIDATES = 512
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _MARKS = re.compile(r"[^\w\s]|_")
 _WORD = re.compile(r"\w")
@@ -98,38 +101,29 @@ def winnow(tokens: list[str], k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
     return grams[at], at
 
 
-class Index:
-    """The fingerprints of the sentences of one kind (words or characters) of a block of items."""
+class Sentence:
+    """A sentence of an item, ready to be sought in token lists."""
 
-    def __init__(self, sentences: list[tuple[int, list[str]]]):
-        self.items = [item for item, _ in sentences]
-        self.tokens = [tokens for _, tokens in sentences]
-        self.sets = [frozenset(tokens) for tokens in self.tokens]
-        self.short = defaultdict(list)  # of fewer than k + w - 1 tokens: as a whole
-        post = defaultdict(list)
-        for s, tokens in enumerate(self.tokens):
-            if len(tokens) < K + W - 1:
-                self.short[tuple(tokens)].append(s)
-                continue
-            # Every k-gram of the item is kept, so that a fingerprint of the corpus hits wherever the spans agree.
-            hashes, at = winnow(tokens, K, 1)
-            for h, p in zip(hashes.tolist(), at.tolist()):
-                post[h].append((s, p))
-        self.keys = np.array(sorted(post), np.uint64)
-        self.post = [post[int(k)] for k in self.keys]
-        self.masks = [None] * len(self.tokens)
-
-    def mask(self, s: int) -> dict[str, int]:
-        if self.masks[s] is None:
-            m: dict[str, int] = defaultdict(int)
-            for i, token in enumerate(self.tokens[s]):
-                m[token] |= 1 << i
-            self.masks[s] = dict(m)
-        return self.masks[s]
-
-    def distance(self, s: int, window: list[str]) -> int:
-        """The least edit distance of sentence s and any span of the window, bit-parallel."""
-        m, masks = len(self.tokens[s]), self.mask(s)
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.spare = tokens, len(tokens) // 10
+        self.set = frozenset(tokens)
+        self.masks: dict[str, int] = defaultdict(int)
+        for i, token in enumerate(tokens):
+            self.masks[token] |= 1 << i
+
+    @property
+    def least_shared(self) -> int:
+        """How many fingerprints a text that holds the sentence shares with it at least.
+
+        Of its n - K - W + 2 windows each changed token spoils K + W - 1 at
+        most, and a fingerprint is the choice of W windows at most.
+        """
+        n = len(self.tokens)
+        return max(1, -(-(n - K - W + 2 - (K + W - 1) * self.spare) // W))
+
+    def distance(self, window: list[str]) -> int:
+        """The least edit distance of the sentence and any span of the window, bit-parallel."""
+        m, masks = len(self.tokens), self.masks
         full, top = (1 << m) - 1, 1 << (m - 1)
         pv, mv, score, best = full, 0, m, m
         for token in window:
@@ -150,97 +144,152 @@ class Index:
             mv = ph & xv
         return best
 
-    def found(self, tokens: list[str]) -> set[int]:
-        """The items of which the token list has a sentence."""
-        out: set[int] = set()
-        for n in {len(x) for x in self.short}:
-            for i in range(len(tokens) - n + 1):
-                for s in self.short.get(tuple(tokens[i : i + n]), ()):
-                    out.add(self.items[s])
-        if len(self.keys) == 0:
-            return out
-        hashes, at = winnow(tokens)
-        if len(hashes) == 0:
-            return out
-        where = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[where] == hashes)
-        ways: dict[int, set[int]] = defaultdict(set)
-        for x in hit.tolist():
-            p = int(at[x])
-            for s, q in self.post[where[x]]:
-                ways[s].add(p - q)
-        for s, starts in ways.items():
-            if self.items[s] in out:
+    def held_at(self, tokens: list[str], starts: list[int]) -> bool:
+        """Whether the token list holds the sentence near one of the places where a hit lets it start."""
+        n, spare, done = len(self.tokens), self.spare, -1 << 60
+        for start in sorted(starts):
+            if start + n + spare <= done:
                 continue
-            n = len(self.tokens[s])
-            spare = n // 10
-            done = -1 << 60
-            for start in sorted(starts):
-                if start + n + spare <= done:
-                    continue
-                lo, hi = max(0, start - spare), start + n + 2 * spare + 1
-                done = hi
-                window = tokens[lo:hi]
-                if len(self.sets[s].intersection(window)) < len(self.sets[s]) - spare:
-                    done = start + n  # the next start may lie better
-                    continue
-                if self.distance(s, window) <= spare:
-                    out.add(self.items[s])
-                    break
-        return out
-
-
-def _block_index(items: list[tuple[int, str]]) -> tuple[Index, Index]:
-    words, characters = [], []
-    for item, text in items:
-        for sentence in item_sentences(text):
-            p = plain(sentence)
-            if not _WORD.search(p):
+            window = tokens[max(0, start - spare) : start + n + 2 * spare + 1]
+            if len(self.set.intersection(window)) < len(self.set) - spare:
+                done = start + n  # the next start may lie better
                 continue
-            if len(_CJK.findall(p)) * 4 >= len(p):
-                characters.append((item, characters_of(p)))
-            else:
-                words.append((item, words_of(p)))
-    return Index([x for x in words if x[1]]), Index([x for x in characters if x[1]])
+            if self.distance(window) <= spare:
+                return True
+            done = start + n + 2 * spare + 1
+        return False
+
+
+#: The kinds of tokens, with the seed of their hashes.
+WORDS, CHARACTERS = 0, 1
+
+
+def fingerprints(tokens: list[str], kind: int, short: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (signed) and positions of a text's fingerprints; for sentences too short for winnowing, all grams of the lengths ``short`` beside."""
+    hashes, at = winnow(tokens)
+    parts, places = [hashes], [at]
+    for n in sorted(short):
+        more, where = winnow(tokens, n, 1)
+        parts.append(more ^ np.uint64((n << 8) * 0x51ED2701))
+        places.append(where)
+    out = np.concatenate(parts) ^ np.uint64(kind * 0x2545F4914F6CDD1D)
+    return out.view(np.int64), np.concatenate(places)
+
+
+def sentence_fingerprints(tokens: list[str], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of an item's sentence; one of fewer than K + W - 1 tokens has itself as its one."""
+    n = len(tokens)
+    if n >= K + W - 1:
+        return fingerprints(tokens, kind)
+    hashes, at = fingerprints(tokens, kind, frozenset({n}))
+    return hashes[-1:], at[-1:]
+
+
+def tokens_of(sentence: str) -> tuple[int, list[str]] | None:
+    """Kind and tokens of an item's sentence; None without words. East Asian sentences go by characters."""
+    p = plain(sentence)
+    if not _WORD.search(p):
+        return None
+    kind = CHARACTERS if len(_CJK.findall(p)) * 4 >= len(p) else WORDS
+    tokens = characters_of(p) if kind == CHARACTERS else words_of(p)
+    return (kind, tokens) if tokens else None
+
+
+def _sieve(prints: DataFrame) -> np.ndarray:
+    """One bit for each value that the low bits of the items' fingerprints have: SIEVE_BITS / 64 numbers at most."""
+    bits = prints.select(F.pmod(F.col("hash"), F.lit(SIEVE_BITS)).alias("bit"))
+    words = bits.groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set"))
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    for row in words.collect():
+        out[row.w] = row.set
+    return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(key, item_key)``: documents that hold a full sentence of an item, one word (East Asian: character) in ten apart.
 
     Null, empty and wordless texts and items match nothing; rows with null
-    keys are left out; repeated rows count once. Items are the query set: they
-    are taken to the driver in blocks of ``BLOCK_CHARS`` characters at most
-    (and at least one item), each block meeting all documents.
+    keys are left out; repeated rows count once. Sentences that stand in
+    several items are sought once. Of the corpus, fingerprints that pass the
+    items' sieve are shuffled, and the texts of documents with candidates.
     """
     spark = documents.sparkSession
-    schema = f"{key} {documents.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}"
-    corpus = spread(documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key), F.col(text).alias("__text")))
-    queries = items.where(F.col(item_key).isNotNull() & (F.length(item_text) > 0)).select(item_key, item_text)
-
-    def meet(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(_block_index(block))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, characters = shared.value
-            for batch in batches:
-                rows = []
-                for doc, body in zip(batch.iloc[:, 0], batch["__text"]):
-                    p = plain(body)
-                    got = words.found(words_of(p)) if words.tokens else set()
-                    if characters.tokens and _CJK.search(p):
-                        got |= characters.found(characters_of(p))
-                    rows += [(doc, item) for item in got]
-                yield pd.DataFrame(rows, columns=[key, item_key])
-
-        return corpus.mapInPandas(run, schema)
-
-    out, block, size = None, [], 0
-    for row in queries.toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= BLOCK_CHARS:
-            out = meet(block) if out is None else out.unionByName(meet(block))
-            block, size = [], 0
-    if block or out is None:
-        out = meet(block) if out is None else out.unionByName(meet(block))
-    return out.distinct()
+    kinds = {"doc": documents.schema[key].dataType.simpleString(), "item": items.schema[item_key].dataType.simpleString()}
+    corpus = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("doc"), F.col(text).alias("body"))
+    asked = items.where(F.col(item_key).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_key).alias("item"), F.col(item_text).alias("body"))
+
+    def cut_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, body in zip(batch["item"], batch["body"]):
+                for sentence in item_sentences(body):
+                    if found := tokens_of(sentence):
+                        kind, tokens = found
+                        joined = " ".join(tokens)
+                        rows.append((item, hashlib.md5(f"{kind} {joined}".encode()).hexdigest(), kind, joined))
+            yield pd.DataFrame(rows, columns=["item", "sid", "kind", "tokens"])
+
+    owners = cut(spread(asked).mapInPandas(cut_items, f"item {kinds['item']}, sid string, kind int, tokens string"))
+    sentences = cut(owners.groupBy("sid").agg(F.first("kind").alias("kind"), F.first("tokens").alias("tokens")))
+
+    def print_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for sid, kind, joined in zip(batch["sid"], batch["kind"], batch["tokens"]):
+                tokens = joined.split(" ")
+                need = Sentence(tokens).least_shared
+                rows += [(int(h), sid, int(q), need) for h, q in zip(*sentence_fingerprints(tokens, kind))]
+            yield pd.DataFrame(rows, columns=["hash", "sid", "q", "need"])
+
+    prints = cut(spread(sentences).mapInPandas(print_items, "hash bigint, sid string, q int, need int"))
+    sieve = spark.sparkContext.broadcast(_sieve(prints))
+    lengths = sentences.select("kind", F.size(F.split("tokens", " ")).alias("n")).where(F.col("n") < K + W - 1).distinct().collect()
+    short = tuple(frozenset(r.n for r in lengths if r.kind == kind) for kind in (WORDS, CHARACTERS))
+    present = frozenset(r.kind for r in sentences.select("kind").distinct().collect())
+
+    def print_corpus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(sieve.value.view(np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            owner, hashes, places = [], [], []
+            for i, body in enumerate(batch["body"]):
+                p = plain(body)
+                for kind in present:
+                    if kind == CHARACTERS and not _CJK.search(p):
+                        continue
+                    h, at = fingerprints(characters_of(p) if kind == CHARACTERS else words_of(p), kind, short[kind])
+                    hit = np.flatnonzero(bits[h & (SIEVE_BITS - 1)])
+                    if len(hit):
+                        owner.append(np.full(len(hit), i))
+                        hashes.append(h[hit])
+                        places.append(at[hit])
+            if owner:
+                yield pd.DataFrame({"doc": batch["doc"].to_numpy()[np.concatenate(owner)], "hash": np.concatenate(hashes), "pos": np.concatenate(places)})
+
+    met = cut(spread(corpus).mapInPandas(print_corpus, f"doc {kinds['doc']}, hash bigint, pos int"))
+    hits = split_join(met, prints, "hash").groupBy("doc", "sid").agg(F.collect_set(F.col("pos") - F.col("q")).alias("starts"), F.size(F.collect_set("q")).alias("shared"), F.first("need").alias("need"))
+    hits = cut(hits.where("shared >= need").select("doc", "sid", "starts"))
+    # A document's candidates in rows of bounded size, with its text.
+    parts = hits.groupBy("doc").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("parts"))
+    several = hits.join(sentences, "sid").join(parts, "doc").groupBy("doc", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("sid", "kind", "tokens", "starts")).alias("candidates"))
+    rows = corpus.join(broadcast_if_small(cut(several)), "doc").select("doc", "body", "candidates")
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Sentence] = {}
+        for batch in batches:
+            out = []
+            for doc, body, candidates in zip(batch["doc"], batch["body"], batch["candidates"]):
+                p, tokens = plain(body), {}
+                for c in candidates:
+                    kind = c["kind"]
+                    if kind not in tokens:
+                        tokens[kind] = characters_of(p) if kind == CHARACTERS else words_of(p)
+                    if c["sid"] not in known:
+                        if len(known) > 20_000:
+                            known.clear()
+                        known[c["sid"]] = Sentence(c["tokens"].split(" "))
+                    if known[c["sid"]].held_at(tokens[kind], list(c["starts"])):
+                        out.append((doc, c["sid"]))
+            yield pd.DataFrame(out, columns=["doc", "sid"])
+
+    held = spread(rows).mapInPandas(extend, f"doc {kinds['doc']}, sid string").distinct()
+    return split_join(owners.select("sid", "item"), held, "sid").select(F.col("doc").alias(key), F.col("item").alias(item_key)).distinct()

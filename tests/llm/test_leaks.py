@@ -35,11 +35,18 @@ def test_empty(spark):
     assert L.leaks(d, i).count() == 0 and L.leaks(i.selectExpr("item_id as doc_id", "text"), d.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
-def test_blocks_agree(spark, monkeypatch):
-    docs, items = [(1, SENTENCE), (2, OTHER)], [(1, SENTENCE), (2, OTHER)]
+def test_bounds_agree(spark, monkeypatch):
+    """Neither the sieve's size nor the split of hot keys and of candidates changes the result."""
+    docs, items = [(1, SENTENCE), (2, OTHER), (3, f"{OTHER} {SENTENCE}")], [(1, SENTENCE), (2, OTHER), (3, f"{SENTENCE} Yes."), (4, "Yes.")]
     whole = found(spark, docs, items)
-    monkeypatch.setattr(L, "BLOCK_CHARS", 10)
-    assert found(spark, docs, items) == whole == [(1, 1), (2, 2)]
+    for name, value in (("SIEVE_BITS", 64), ("CANDIDATES", 1)):
+        monkeypatch.setattr(L, name, value)
+    monkeypatch.setattr(L.split_join, "__defaults__", ("inner", 1))
+    assert found(spark, docs, items) == whole == [(1, 1), (1, 3), (2, 2), (3, 1), (3, 2), (3, 3)]
+
+
+def test_short_sentences(spark):
+    assert found(spark, [(1, "He said: no change, then."), (2, "change no"), (3, "no"), (4, "无变化。")], [(1, "No change."), (2, "NO!"), (3, "无变化")]) == [(1, 1), (1, 2), (2, 2), (3, 2), (4, 3)]
 
 
 def test_against_brute_force():
@@ -63,7 +70,13 @@ def test_against_brute_force():
             k = rng.randrange(len(t))
             t[k : k + 1] = rng.choice([[], ["new"], [t[k], "more"]])
         tokens = [rng.choice(vocabulary) for _ in range(20)] + t + [rng.choice(vocabulary) for _ in range(20)]
-        assert bool(L.Index([(1, s)]).found(tokens)) == (brute(s, tokens) <= len(s) // 10)
+        sentence = L.Sentence(s)
+        post = {}
+        for h, q in zip(*L.sentence_fingerprints(s, L.WORDS)):
+            post.setdefault(int(h), []).append(int(q))
+        hits = [(int(p) - q, q) for h, p in zip(*L.fingerprints(tokens, L.WORDS)) for q in post.get(int(h), ())]
+        got = len({q for _, q in hits}) >= sentence.least_shared and sentence.held_at(tokens, [x for x, _ in hits])
+        assert got == (brute(s, tokens) <= len(s) // 10)
 
 
 def test_winnowing_guarantee():
