@@ -93,8 +93,13 @@ def winnow(tokens: list[str], k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
         for j in range(k):
             grams = (grams ^ (grams >> np.uint64(29))) * _MIX + one[j : j + n]
         grams ^= grams >> np.uint64(32)
-    if n <= w:
+    if w == 1:
+        at = np.arange(n)
+    elif n <= w:
         at = np.array([int(np.argmin(grams))])
+    elif w == 2:
+        at = np.arange(n - 1) + (grams[1:] <= grams[:-1])
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     else:
         windows = np.lib.stride_tricks.sliding_window_view(grams, w)
         at = np.unique(np.arange(len(windows)) + w - 1 - np.argmin(windows[:, ::-1], axis=1))

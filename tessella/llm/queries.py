@@ -28,6 +28,10 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "patent_claim"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_groups(table(spark, d, "patent_claim"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.repairs(table(spark, d, "title_page"))
 
@@ -60,7 +64,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.look_alike_classes(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p2_classes": p2_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {
     "p2_found": r"""
     with recursive t as (

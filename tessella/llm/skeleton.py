@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from tessella.plans.runtime import spread
+from tessella.plans.pairs import split_join
+from tessella.plans.runtime import cut, spread
 
 # Letters of other scripts with the shape of a Latin letter.
 LOOK_ALIKES = {
@@ -37,6 +38,14 @@ SAME_SHAPE_BLOCKS = ((0x2E80, 0x2FDF), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFF
 INVISIBLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
 
+class _Prototypes(dict):
+    """A character without a prototype stands for itself; remembered, as a lookup that fails costs most of the time."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = same = chr(point)
+        return same
+
+
 @functools.lru_cache(1)
 def prototypes() -> dict[int, str]:
     """The look-alike table, by code point: built from rules, then the fixed values."""
@@ -66,7 +75,7 @@ def prototypes() -> dict[int, str]:
         table[cp] = ""
     for char, form in LOOK_ALIKES.items():
         table[ord(char)] = form
-    return {cp: "".join(LOOK_ALIKES.get(x, x) for x in form) for cp, form in table.items() if form != chr(cp)}
+    return _Prototypes({cp: "".join(LOOK_ALIKES.get(x, x) for x in form) for cp, form in table.items() if form != chr(cp)})
 
 
 _PLAIN_CONTROLS = "".join(map(chr, [*range(10), *range(11, 32), 127]))
@@ -117,13 +126,26 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
     Exact copies are no pair of each other. Null texts pair with nothing; an
     empty text pairs with texts of invisible characters only. Repeated keys
-    count once. Groups without two different texts are dropped after a
-    map-side aggregation; a hot group's left side is dealt over several tasks.
+    count once. Texts are read once, and go on as two hashes in a written
+    table. Groups without two different texts are dropped after a map-side
+    aggregation; a hot group's left side is dealt over several tasks.
     """
-    rows = spread(documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)).select(F.col(key).alias("k"), F.md5(skeleton_column(text)).alias("s"), F.md5(F.col(text)).alias("t")).distinct()
+    rows = cut(spread(documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)).select(F.col(key).alias("k"), F.md5(skeleton_column(text)).alias("s"), F.md5(F.col(text)).alias("t")).distinct())
     mixed = rows.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("s", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
     kept = rows.join(mixed, "s")
     left = kept.select("s", F.col("k").alias("a"), F.col("t").alias("ta"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
     right = kept.select("s", F.col("k").alias("b"), F.col("t").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     pairs = left.join(right, ["s", "block"]).where("a < b and ta <> tb")
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).distinct()
+
+
+def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, class_id, texts, members)`` of each document that looks like another one: the least key of its class, the class's different texts and its documents.
+
+    The membership beside ``look_alike_pairs``: its size is that of the
+    corpus, however large a class is. Exact copies are members too; classes
+    of one text only are left out, null texts and null keys belong to none.
+    """
+    rows = cut(spread(documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)).select(F.col(key).alias("k"), F.md5(skeleton_column(text)).alias("s"), F.md5(F.col(text)).alias("t")).distinct())
+    texts = rows.groupBy("s", "t").agg(F.count_distinct("k").alias("n"), F.min("k").alias("lo")).groupBy("s").agg(F.count("*").alias("texts"), F.sum("n").alias("members"), F.min("lo").alias("class_id")).where("texts > 1")
+    return split_join(rows.select("k", "s").distinct(), texts, "s").select(F.col("k").alias(key), "class_id", "texts", "members")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.components import components
-from tessella.plans.pairs import pairs_within
+from tessella.plans.pairs import pairs_within, split_join
 
 #: The splits with their shares, in order.
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -45,6 +45,13 @@ def tied_codes(records: DataFrame, code: str = "patent_code", esid: str = "esid"
     return pairs_within(_codes(records, code, esid), "component", "code", "code_a", "code_b")
 
 
+def tied_groups(records: DataFrame, code: str = "patent_code", esid: str = "esid") -> DataFrame:
+    """``(code, class_id, links)`` of each comparable code that is tied to another one: its component, and with how many others it must share a split."""
+    codes = _codes(records, code, esid)
+    sizes = codes.groupBy("component").agg((F.count("*") - 1).alias("links"))
+    return split_join(codes, sizes, "component").select("code", F.col("component").alias("class_id"), "links")
+
+
 def assign_splits(records: DataFrame, key: str = "claim_id", code: str = "patent_code", esid: str = "esid", shares: tuple = SHARES) -> DataFrame:
     """``(key, split)`` of every row; rows tied by code or esid, directly or through others, share a split.
 
@@ -56,11 +63,10 @@ def assign_splits(records: DataFrame, key: str = "claim_id", code: str = "patent
     """
     codes = _codes(records, code, esid)
     rows = records.select(F.col(key), comparable_code(code).alias("c"), comparable_esid(esid).alias("e"))
-    rows = rows.join(codes.withColumnRenamed("code", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
+    # Hot codes, and rows without a code or an esid, are dealt over tasks.
+    rows = split_join(rows, codes.withColumnRenamed("code", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     by_esid = rows.where("g is not null and e is not null").groupBy("e").agg(F.min("g").alias("eg"))
-    # Rows with a null esid get a key of their own for the join, so that they don't meet in one task.
-    rows = rows.withColumn("e", F.when(F.col("g").isNull(), F.col("e")))
-    rows = rows.withColumn("je", F.coalesce("e", F.concat(F.lit("#"), F.xxhash64(key).cast("string")))).join(by_esid.withColumnRenamed("e", "je"), "je", "left")
+    rows = split_join(rows.withColumn("e", F.when(F.col("g").isNull(), F.col("e"))), by_esid, "e", "left")
     own = F.concat(F.lit("#row "), F.coalesce(F.col(key).cast("string"), F.lit("")))
     rows = rows.select(key, F.coalesce(F.col("g"), F.col("eg"), F.concat(F.lit("#e "), F.col("e")), own).alias("g"))
     groups = rows.groupBy("g").agg(F.count("*").alias("w"))

@@ -1,6 +1,6 @@
 import unicodedata
 
-from tessella.llm.skeleton import canonical_text, look_alike_pairs, prototypes, skeleton
+from tessella.llm.skeleton import canonical_text, look_alike_classes, look_alike_pairs, prototypes, skeleton
 
 
 def test_same_look():
@@ -28,6 +28,8 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
     assert sorted(map(tuple, look_alike_pairs(df).collect())) == [(1, 2), (2, 3), (5, 6)]
     assert look_alike_pairs(df.limit(0)).count() == 0
+    assert sorted(map(tuple, look_alike_classes(df).collect())) == [(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3), (5, 5, 2, 2), (6, 5, 2, 2)]
+    assert look_alike_classes(df.limit(0)).count() == 0
     clash = df.selectExpr("doc_id", "text", "n as k", "n as s", "n as t", "n as a", "n as blocks")
     assert look_alike_pairs(clash).count() == 3
 

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from tessella.llm.splits import assign_splits, tied_codes
+from tessella.llm.splits import assign_splits, tied_codes, tied_groups
 
 
 def test_tied(spark):
@@ -8,6 +8,8 @@ def test_tied(spark):
     df = spark.createDataFrame(rows, "claim_id bigint, patent_code string, esid string").withColumnRenamed("x", "y")
     assert sorted(map(tuple, tied_codes(df).collect())) == [("B2", "C3"), ("B2", "CN1A"), ("C3", "CN1A")]
     assert tied_codes(df.limit(0)).count() == 0
+    groups = tied_groups(df).collect()
+    assert {(r.code, r.links) for r in groups} == {("B2", 2), ("C3", 2), ("CN1A", 2)} and len({r.class_id for r in groups}) == 1
 
 
 def test_splits_hold_together(spark):
