@@ -2,12 +2,15 @@
 
 Method: composite text density. Every DOM node gets its characters per tag,
 adjusted for links; a node's density sum is that of its children; the subtree
-of the greatest sum is the body, and the least density on its path to the page's
-body is the threshold under which blocks inside are dropped. Blocks that say
-themselves what they are (by-lines, pointers, offers to the reader and the like)
-and runs of teasers carry no characters for the density. What an article can say
-as well (a question, the first person, a word such as "cookie") counts only
-outside the run of its sentences or in a container for comments and notices.
+of the greatest sum is the body, and the least density on its path to the
+page's body is the threshold under which boxes inside are dropped.
+
+No list of words takes part. What stands in one box with the article (by-lines,
+tags, pointers, offers) is told by what density says of all pages: blocks amid
+the sentences of the densest subtrees, and blocks outside of them, are counted
+by their masked word sequences. A block whose sequences stand amid articles
+rarely, or often outside of them, carries no characters for the density of its
+own page, which is then weighed again. Lists of links are told by structure.
 """
 
 from __future__ import annotations
@@ -15,64 +18,40 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.dom import Node, parse, walk
-from tessella.plans.runtime import spread
-
-# What the blocks around an article say, in English, German, French and Chinese.
-CUES = [
-    # advertising
-    r"^(advertisement|sponsored|promoted|anzeige|werbung|publicité|annonce|广告|推广)\b", r"^(jetzt entdecken|découvrez comment|discover how)\b", r"限时优惠|立减|优惠券",
-    # pointers to other articles
-    r"^(see also|read also|read more|read next|also read|more on this|related|lesen sie auch|mehr dazu|siehe auch|lire aussi|à lire aussi|voir aussi|相关阅读|延伸阅读|另见|参见|另请参阅|推荐阅读)\s*[:：]",
-    # tags
-    r"^(filed under|tags?|topics?|keywords?|schlagwörter|schlagworte|themen|mots-clés|étiquettes|关键词|关键字|标签)\s*[:：]",
-    # by-lines and dates
-    r"^(by|von|par)\s+\S.{0,60}\d{4}", r"^(by|von|par)\s+(\w\.\s*)+\w+$", r"^(作者|来源|记者|编辑|责编|文)\s*[:：/]", r"^(published|updated|posted|last updated|stand|veröffentlicht|aktualisiert|publié|mis à jour|发布时间|更新时间)\b.{0,60}\d", r"\bupdated? \d+ \w+ ago\b", r"^[^.。!?]{0,30}\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?.{0,20}$",
-    # sharing and comments as links
-    r"^(share|tweet|print|e-?mail|copy link|save for later|save|like|follow us|teilen|drucken|merken|speichern|partager|imprimer|enregistrer|分享到?|打印|收藏|点赞|复制链接)$", r"^\d+ (comments?|kommentare?|commentaires?)$", r"^评论\s*[（(]\d+[)）]$", r"^link (kopieren)$|^copier le lien$",
-    # newsletters and subscriptions
-    r"\bin your inbox\b|^sign up (for|to)\b|^subscribe\b|^(join|follow) more than\b|\bwho read\b.+\beach (day|week|month)\b|\bfree articles? left\b", r"^abonnieren\b|lesen uns jede|\bfreie artikel\b", r"nous lisent|articles gratuits|^abonnez", r"扫码|交流群|免费阅读|开通会员",
-    # legal lines
-    r"©|all rights reserved|alle rechte vorbehalten|tous droits réservés|版权所有|未经授权", r"^reproduction without|^forward-looking statements\b|本站内容仅供参考", r"\bis published by\b|^verlag\s|^édité par\b|运营\s+地址",
-    # consent
-    r"\bsmall files on your (computer|device)\b|\bpartners may store\b|\b(withdraw|change) your choice\b", r"ihre auswahl|modifier votre choix|撤回授权|合作方会在您的设备",
-    # where one is
-    r"^(you are here|当前位置|sie sind hier|vous êtes ici)\b", r"^[^.。]{1,30}\s[›»>]\s[^.。]{1,40}", r"^(home|start|accueil|首页)\s*[/>›»]",
-    # notes on the author
-    r"^(about the author|über (den|die) autor|à propos de l.auteur|关于作者|作者简介)", r"^(\w\.\s*)+\w+ (has covered|writes|covers|schreibt|berichtet|suit|couvre)\b", r"记者，(长期|主要)?关注",
-    # comments by readers
-    r"^[\w.]{1,15}[-_]?\d{2,}\s*[:：]\s", r"^(great|nice) (piece|article|read)\b|^写得",
-]
-# What offers, notices and consent are about; an article can be about it too.
-OFFERS = re.compile(r"newsletter|rundbrief|lettre gratuite|公众号|\bwhite ?paper\b|livre blanc|白皮书|\bcookies?\b|privacy (policy|settings)|datenschutz|paramètres de confidentialité|缓存文件|隐私政策|\bnot medical advice\b|ersetzen nicht den besuch|ne remplacent pas l.avis", re.IGNORECASE)
-# Speaking to the reader, as offers do and news don't.
-ADDRESS = re.compile(r"\b(you|your|our|we|this (web)?site)\b|\b(Sie|Ihr|Ihre[nmrs]?|wir|unser\w*|dieser Website)\b|\b(vous|votre|vos|nous|notre|nos|ce site)\b|^\w+ez\b|^(download|get|read|lade?n?|jetzt)\b|您|你|本站|我们|^(下载|点击|关注|阅读|免费)")
-_CLAUSE = r"(?:^|[.!?,;:…]\s+|\b(?:and|but|that|as|if|when|because|what|so|than|where|while|since|how|why|que|et|mais|si|quand|donc)\s+)"
-# The first person of a reader's comment, outside quotation; neither the numeral I nor the German "je" is one.
-FIRST_PERSON = re.compile(_CLAUSE + r"I(?:['’]\w+|\s+[a-z]+)|\b[Mm]y\b|\b(me|mine)\b|\b([Ii]ch|[Mm]ir|[Mm]ich|[Mm]eine?[nmrs]?)\b|" + _CLAUSE + r"[Jj](?:['’]|e\s+(?!nach|mehr|weniger|zur?\b|[a-zäöü]+er\b)[a-zà-ÿ])|\b([Mm]oi|[Mm]on|[Mm]es)\b|(?<!自)我(?!们|国|院)")
-# What else readers' comments say or ask.
-REMARK = re.compile(r"^the author clearly\b|\bgood news for\b|\bbonne nouvelle\b|\bgute nachricht|好消息了|[?？]$", re.IGNORECASE)
-# Containers, by tag, class or id, that hold no article text.
-ASIDE = re.compile(r"comment|kommentar|newsletter|cookie|consent|sidebar|promo|subscri|disclaimer", re.IGNORECASE)
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Headings over lists of other articles.
-LIST_HEADINGS = re.compile(
-    r"^(related( stories| articles| news| posts)?|latest( news| stories)?|most (read|popular)|editors?['’]?s? picks?|you (may|might) also like|recommended|trending|more (stories|news|from .*)|mehr zum thema|neueste beiträge|meistgelesen|weitere artikel|das könnte sie (auch )?interessieren|à lire aussi|dernières nouvelles|les plus lus|sur le même sujet|vous aimerez aussi|相关阅读|相关文章|最新资讯|最新文章|猜你喜欢|热门文章|热门推荐|推荐阅读|延伸阅读)\s*[:：]?$",
-    re.IGNORECASE,
-)
+from tessella.plans.runtime import cut, spread
+
+#: Buckets of the hashed word sequences: the size of what the corpus says, whatever the corpus.
+BUCKETS = 1 << 19
+#: Times that the corpus is counted and the pages are weighed again.
+ROUNDS = 2
+#: Share of a sequence's blocks amid articles under which it speaks against an article, and of those outside of them over which it does.
+AMID, OUTSIDE = 0.2, 0.4
+#: What is added to the first score; the score under which a block goes; that for list items and cells, whose words tell less.
+LEAN, LEAST, LEAST_LISTED = 0.2, 0.0, -1.0
+#: Occurrences from which a sequence counts, and from which a whole block's does alone.
+SEEN, SEEN_WHOLE = 3, 6
+#: Share of a block's sequences that the corpus must know to judge it.
+KNOWN = 0.4
+#: Share of the threshold under which a box inside the body is dropped: the path's own density is that of far larger subtrees.
+THIN = 0.2
+#: Width in Latin letters from which a link may be a title, from which a text may be a sentence; blocks before the first sentence among which the headline is.
+TITLE_WIDTH, SENTENCE_WIDTH, HEADLINE_WITHIN = 38, 25, 12
 _BUTTONS = frozenset({"button", "option", "label", "input"})
 _INLINE_BOXES = frozenset("ul ol dl li dt dd table tbody thead tr figure blockquote b i em strong a span p h1 h2 h3 h4 h5 h6".split())
-_CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_QUOTED = re.compile(r"[\"“„«「].*[\"”“»」]")
-
-
-_CUES = [re.compile(cue, re.IGNORECASE) for cue in CUES]
-_COMMENTS = _CUES[-2:]
+_BOXES = frozenset("div aside section nav footer".split())
+_EAST = "぀-ヿ㐀-鿿"
+_CJK = re.compile(rf"[{_EAST}]")
+_TOKEN = re.compile(rf"[{_EAST}]|[^\W\d_{_EAST}]+|\d+(?:[.,:/-]\d+)*|[^\w\s]")
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
 
 
 def _width(text: str) -> int:
@@ -80,51 +59,22 @@ def _width(text: str) -> int:
     return len(text) + 2 * len(_CJK.findall(text))
 
 
-def is_boilerplate(text: str) -> bool:
-    """Whether a block says itself that it is no part of an article."""
-    return any(c.search(text) for c in _CUES) or (bool(OFFERS.search(text) and ADDRESS.search(text)) and _width(text) <= 250)
-
-
-def is_remark(text: str) -> bool:
-    """Whether a block may be a reader's comment; an article's own text can say the same."""
-    return not _QUOTED.search(text) and bool(FIRST_PERSON.search(text) or REMARK.search(text))
-
+@dataclass
+class Page:
+    """A page as lists: its nodes in document order (0 is the root), and of its blocks the nodes with what density needs."""
 
-def _aside(node: Node) -> bool:
-    """Whether a container of a block says that it holds no article text."""
-    while node is not None:
-        if node.tag in ("aside", "footer", "form") or (node.tag not in ("html", "body") and ASIDE.search(f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}")):
-            return True
-        node = node.parent
-    return False
-
-
-class _Block:
-    __slots__ = ("node", "number", "text", "link", "box", "in_list", "out", "heading")
-
-    def __init__(self, node: Node, number: int):
-        self.node, self.number = node, number
-        own, linked = _own_text(node)
-        self.text = " ".join(own.split())
-        up = node
-        while up is not None and up.tag != "a":
-            up = up.parent
-        self.link = bool(self.text) and (up is not None or linked >= 0.8 * len("".join(self.text.split())))
-        box = node.parent
-        self.in_list = node.tag in ("td", "th") or (node.tag == "li" and box.tag in ("ul", "ol"))
-        while box.parent is not None and box.tag in _INLINE_BOXES:
-            box = box.parent
-        self.box = box
-        self.heading = False
-        self.out = False
+    parents: list[int] = field(default_factory=list)
+    tags: list[str] = field(default_factory=list)
+    chars: list[int] = field(default_factory=list)
+    nodes: list[int] = field(default_factory=list)
+    numbers: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    links: list[bool] = field(default_factory=list)
+    bare: list[bool] = field(default_factory=list)
 
-    @property
-    def title_like(self) -> bool:
-        return self.link and _width(self.text) >= 38 and self.text[-1:] not in ".。!！" and not self.in_list
 
-    @property
-    def sentence(self) -> bool:
-        return not self.link and (self.text.rstrip("\"”»」)）")[-1:] in ".。!！" and _width(self.text) >= 25)
+_PAGE = "parents array<int>, tags array<string>, chars array<int>, nodes array<int>, numbers array<int>, texts array<string>, links array<boolean>, bare array<boolean>"
+_FIELDS = [x.split()[0] for x in _PAGE.split(", ")]
 
 
 def _own_text(node: Node) -> tuple[str, int]:
@@ -145,206 +95,364 @@ def _own_text(node: Node) -> tuple[str, int]:
     return "".join(out), linked
 
 
-def _mark(blocks: list[_Block], site: set[str]) -> None:
-    """Marks blocks that can't be of the article: by what they say, and as members of teaser or navigation runs."""
-    for b in blocks:
-        b.heading = bool(LIST_HEADINGS.match(b.text))
-        b.out = not b.text or b.node.tag in _BUTTONS or b.heading or is_boilerplate(b.text) or b.text.casefold() in site
-    n = len(blocks)
-    # Lists of other articles under their heading: links, each with one summary at most.
-    i = 0
-    while i < n:
-        if not blocks[i].heading:
-            i += 1
-            continue
-        box, j, links = blocks[i].box, i + 1, 0
-        while j < n and blocks[j].box is box and (blocks[j].link or (links and blocks[j - 1].link)) and not (blocks[j].node.tag == "h1"):
-            links += blocks[j].link
-            blocks[j].out = True
-            j += 1
-        i = max(j, i + 1)
-    # Runs of titles of other articles without a heading (index pages): title, summary, title, ...
-    i = 0
-    while i < n:
-        if not blocks[i].title_like:
-            i += 1
+def read_page(html: str | None) -> Page:
+    """The lists of a page; null, empty and unreadable pages have no blocks."""
+    page = Page()
+    if not html:
+        return page
+    root = parse(html)
+    order = [root, *walk(root)]
+    place = {id(x): i for i, x in enumerate(order)}
+    title = _TITLE.search(html)
+    site = " ".join(title.group(1).split()).casefold() if title else ""
+    for i, x in enumerate(order):
+        page.parents.append(place[id(x.parent)] if x.parent is not None else -1)
+        page.tags.append(x.tag)
+        page.chars.append(sum(len("".join(t.split())) for t in x.content if isinstance(t, str)))
+        n = x.attrs.get("data-n", "").strip()
+        if not (n.isascii() and n.isdigit()) or len(n) > 9:
             continue
-        last, j, summaries = i, i + 1, False
-        while j < n and j - last <= 2 and blocks[j].box is blocks[i].box:
-            if blocks[j].title_like:
-                summaries |= j - last == 2
-                last = j
-            j += 1
-        if last > i or any(x.out for x in blocks[max(0, i - 1) : i]):
-            if summaries and last + 1 < n and blocks[last + 1].box is blocks[i].box and not blocks[last + 1].link:
-                last += 1
-            for x in blocks[i : last + 1]:
-                x.out = True
-        i = last + 1
-    # Navigation: three or more short links in a row; a short link between blocks that are out.
-    i = 0
-    while i < n:
-        j = i
-        while j < n and blocks[j].link and _width(blocks[j].text) < 38:
-            j += 1
-        if j - i >= 3 or (j > i and all(x.out for x in blocks[max(0, i - 1) : i]) and (j == n or blocks[j].out)):
-            listed = blocks[i].in_list and any(x.box is blocks[i].box and x.in_list and not x.link and not x.out and x.node.parent is blocks[i].node.parent for x in blocks)
-            box = blocks[i].box
-            amid = any(x.box is box and x.sentence and not x.out for x in blocks[:i]) and any(x.box is box and not x.link and not x.out for x in blocks[j:])
-            if not listed and not (amid and all(x.in_list for x in blocks[i:j])):
-                for x in blocks[i:j]:
-                    x.out = True
-        i = max(j, i + 1)
-
-
-def _mark_outside(blocks: list[_Block]) -> None:
-    """Marks what may be a comment or an offer outside the runs of the article's sentences, or in a container for such.
-
-    A comment stands in a row of blocks that are out, behind the first sentence: two or
-    more in the page's last row, three in another, or a sure comment. One of them comes
-    before it, or a sure comment follows, or it speaks in the first person in an article
-    that doesn't. Before the first sentence and in the last row, offers go. Headings stay.
-    """
-    text = [not b.out and b.node.tag not in _HEADINGS for b in blocks]
-    remark = [x and is_remark(b.text) for x, b in zip(text, blocks)]
-    offer = [x and bool(OFFERS.search(b.text)) for x, b in zip(text, blocks)]
-    sure = [b.out and any(c.search(b.text) for c in _COMMENTS) for b in blocks]
-    firm = [i for i, b in enumerate(blocks) if b.sentence and not b.out and not remark[i] and not offer[i]]
-    for i, b in enumerate(blocks):
-        b.out |= (remark[i] or offer[i]) and _aside(b.node)
-    rows, i = [], 0
-    while firm and i < len(blocks):
-        j = i
-        while j < len(blocks) and (blocks[j].out or remark[j] or offer[j]):
-            j += 1
-        if j > i:
-            n = sum(b.out for b in blocks[i:j])
-            rows.append((i, j, i > firm[0] and (any(sure[i:j]) or n >= (2 if i > firm[-1] else 3))))
-        i = j + 1
-    personal = any(not outside and remark[k] and FIRST_PERSON.search(blocks[k].text) for i, j, outside in rows for k in range(i, j))
-    for i, j, outside in rows:
-        parted = False
-        for k in range(i, j):
-            b = blocks[k]
-            if offer[k] and (i < firm[0] or i > firm[-1]):
-                b.out = True
-            elif remark[k] and outside:
-                b.out |= parted or any(sure[k + 1 : k + 2]) or (not personal and bool(FIRST_PERSON.search(b.text)))
-            parted |= b.out
-
-
-class _Density:
-    """Composite text density of every node, by one walk from the leaves."""
-
-    def __init__(self, root: Node, dropped: set[int], body: Node):
-        order = [root, *walk(root)]
-        self.chars, self.tags, self.link_chars, self.link_tags = {}, {}, {}, {}
-        for x in reversed(order):
-            gone = id(x) in dropped
-            c = 0 if gone else sum(len("".join(t.split())) for t in x.content if isinstance(t, str))
-            t, lc, lt = 0, 0, 0
-            for y in x.children:
-                c += 0 if gone else self.chars[id(y)]
-                t += 1 + self.tags[id(y)]
-                lc += 0 if gone else self.link_chars[id(y)]
-                lt += self.link_tags[id(y)] + (y.tag == "a")
-            if x.tag == "a":
-                lc = c
-            self.chars[id(x)], self.tags[id(x)], self.link_chars[id(x)], self.link_tags[id(x)] = c, t, lc, lt
-        bc, blc = max(1, self.chars[id(body)]), self.link_chars[id(body)]
-        self.value: dict[int, float] = {}
-        for x in order:
-            c, t, lc, lt = self.chars[id(x)], max(1, self.tags[id(x)]), max(1, self.link_chars[id(x)]), max(1, self.link_tags[id(x)])
-            if c == 0:
-                self.value[id(x)] = 0.0
+        own, linked = _own_text(x)
+        text = " ".join(own.split())
+        up = x
+        while up is not None and up.tag != "a":
+            up = up.parent
+        page.nodes.append(i)
+        page.numbers.append(int(n))
+        page.texts.append(text)
+        page.links.append(bool(text) and (up is not None or linked >= 0.8 * len("".join(text.split()))))
+        # Bare of an article's text whatever it says: nothing, a button, the site's name.
+        page.bare.append(not text or x.tag in _BUTTONS or text.casefold() == site)
+    return page
+
+
+class _Hashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = value = xxhash.xxh64_intdigest(token)
+        return value
+
+
+_HASHES = _Hashes()
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sequences(text: str) -> tuple[np.ndarray, int]:
+    """Buckets of the sequences of one to three words of a block, digits masked, and of its last ones; and the bucket of the whole."""
+    tokens = []
+    for t in _TOKEN.findall(text):
+        if t[0].isdigit():
+            t = "#" if re.fullmatch(r"\d+(?:[.,]\d+)?", t) else re.sub(r"\d+", "#", t)
+        tokens.append(_HASHES[t.lower()])
+    if not tokens:
+        return np.empty(0, np.int64), 0
+    one = np.array(tokens, np.uint64)
+    with np.errstate(over="ignore"):
+        parts, h = [one], one
+        for _ in range(2):
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MIX + one[len(one) - len(h) + 1 :]
+            parts.append(h)
+        parts += [x[-1:] ^ np.uint64(0x5851F42D4C957F2D) for x in parts[:2]]
+        out = np.concatenate(parts)
+        out ^= out >> np.uint64(31)
+    whole = xxhash.xxh64_intdigest(one.tobytes(), 1)
+    return np.unique((out & np.uint64(BUCKETS - 1)).astype(np.int64)), whole & (BUCKETS - 1)
+
+
+@dataclass
+class Corpus:
+    """What the pages' densities say of each bucket: log odds of standing amid articles, of standing inside, of being a title elsewhere; 0 where unseen."""
+
+    amid: np.ndarray
+    inside: np.ndarray
+    title: np.ndarray
+    seen: np.ndarray  # bit 0: amid counts, bit 1: inside counts, bit 2: inside counts for a whole block
+
+    @staticmethod
+    def of(counts: pd.DataFrame) -> Corpus:
+        full = {c: np.zeros(BUCKETS) for c in _COUNTS}
+        for c in _COUNTS:
+            full[c][counts["bucket"].to_numpy()] = counts[c].to_numpy()
+        pos, neg, ins, outs, tit = (full[c] for c in _COUNTS)
+        amid = np.log((pos + 0.25) / (neg + 0.75)) - math.log(AMID / (1 - AMID))
+        inside = np.log((ins + 0.75) / (outs + 0.25)) - math.log((1 - OUTSIDE) / OUTSIDE)
+        title = np.log((tit + 0.5) / (pos + np.maximum(0, neg - tit) + 0.5))
+        seen = (pos + neg >= SEEN).astype(np.uint8) | ((ins + outs >= SEEN) << 1).astype(np.uint8) | ((ins + outs >= SEEN_WHOLE) << 2).astype(np.uint8)
+        return Corpus(amid.astype(np.float32), inside.astype(np.float32), title.astype(np.float32), seen)
+
+    def score(self, buckets: np.ndarray, whole: int) -> float:
+        """How much the corpus speaks for a block as part of an article; 0 if it knows too few of its sequences to say anything."""
+        seen = self.seen[buckets]
+        if not self.seen[whole] & 4 and np.count_nonzero(seen & 1) < KNOWN * len(buckets):
+            return 0.0
+        a, b = buckets[(seen & 1) > 0], buckets[(seen & 2) > 0]
+        first = self.amid[a].sum() / (len(a) + 1) if len(a) else 0.0
+        if self.seen[whole] & 4:
+            second = self.inside[whole]
+        else:
+            second = self.inside[b].sum() / (len(b) + 1) if len(b) else 0.0
+        return float(min(first + LEAN, second))
+
+    def title_score(self, buckets: np.ndarray) -> float:
+        """How much a block reads like the titles by which other pages link articles."""
+        a = buckets[(self.seen[buckets] & 1) > 0]
+        return float(self.title[a].mean()) if len(a) else -9.0
+
+
+_COUNTS = ("pos", "neg", "ins", "outs", "tit")
+
+
+class _Layout:
+    """A page's blocks with what its structure says of them."""
+
+    def __init__(self, page: Page):
+        self.page, self.n = page, len(page.nodes)
+        tags, parents = page.tags, page.parents
+        self.tag = [tags[x] for x in page.nodes]
+        self.width = [_width(t) for t in page.texts]
+        self.box, self.listed = [], []
+        for x in page.nodes:
+            up = parents[x]
+            self.listed.append(tags[x] in ("td", "th") or (tags[x] == "li" and up >= 0 and tags[up] in ("ul", "ol")))
+            while up > 0 and parents[up] >= 0 and tags[up] in _INLINE_BOXES:
+                up = parents[up]
+            self.box.append(up)
+        ends = [t.rstrip("\"”»」)）")[-1:] for t in page.texts]
+        self.title_like = [l and w >= TITLE_WIDTH and t[-1:] not in ".。!！" and not li for l, w, t, li in zip(page.links, self.width, page.texts, self.listed)]
+        self.sentence = [not l and e != "" and e in ".。!！?？" and w >= SENTENCE_WIDTH for l, e, w in zip(page.links, ends, self.width)]
+
+    def runs(self, out: list[bool]) -> list[bool]:
+        """``out`` with the lists of links: under a short heading, titles in a row with their summaries, navigation."""
+        out, page, n, box = list(out), self.page, self.n, self.box
+        i = 0
+        while i < n:
+            if page.links[i] or self.sentence[i] or self.listed[i] or self.tag[i] == "h1":
+                i += 1
                 continue
-            free = max(1, c - self.link_chars[id(x)])
-            base = math.log(c / free * self.link_chars[id(x)] + blc / bc * c + math.e)
-            self.value[id(x)] = c / t * math.log(max(1.0, c / lc * t / lt) + base - 1) / math.log(max(base, 1.0) + math.e - 1)
-        self.total = {id(x): sum(self.value[id(y)] for y in x.children) for x in order}
+            j, links = i + 1, 0
+            while j < n and box[j] == box[i] and (page.links[j] or (links and page.links[j - 1])) and self.tag[j] != "h1":
+                links += page.links[j] and self.width[j] >= 20
+                j += 1
+            if links >= 2:
+                out[i:j] = [True] * (j - i)
+                i = j
+            else:
+                i += 1
+        i = 0
+        while i < n:
+            if not self.title_like[i]:
+                i += 1
+                continue
+            last, j, summaries = i, i + 1, False
+            while j < n and j - last <= 2 and box[j] == box[i]:
+                if self.title_like[j]:
+                    summaries |= j - last == 2
+                    last = j
+                j += 1
+            if last > i or (i > 0 and out[i - 1]):
+                if summaries and last + 1 < n and box[last + 1] == box[i] and not page.links[last + 1]:
+                    last += 1
+                out[i : last + 1] = [True] * (last + 1 - i)
+            i = last + 1
+        i = 0
+        while i < n:
+            j = i
+            while j < n and page.links[j] and self.width[j] < TITLE_WIDTH:
+                j += 1
+            if j - i >= 3 or (j > i and (i == 0 or out[i - 1]) and (j == n or out[j])):
+                up = page.parents[page.nodes[i]]
+                listed = self.listed[i] and any(box[k] == box[i] and self.listed[k] and not page.links[k] and not out[k] and page.parents[page.nodes[k]] == up for k in range(n))
+                amid = any(box[k] == box[i] and self.sentence[k] and not out[k] for k in range(i)) and any(box[k] == box[i] and not page.links[k] and not out[k] for k in range(j, n))
+                if not listed and not (amid and all(self.listed[i:j])):
+                    out[i:j] = [True] * (j - i)
+            i = max(j, i + 1)
+        return out
+
+    def dense(self, out: list[bool]) -> list[bool]:
+        """The blocks that the page's densest subtree holds when those that are out carry no characters."""
+        page = self.page
+        parents, tags, m = page.parents, page.tags, len(page.parents)
+        if self.n == 0:
+            return []
+        gone = [False] * m
+        for x, o in zip(page.nodes, out):
+            gone[x] = o
+        chars, count, link_chars, link_tags = [0 if g else c for g, c in zip(gone, page.chars)], [0] * m, [0] * m, [0] * m
+        for x in range(m - 1, -1, -1):
+            if tags[x] == "a":
+                link_chars[x] = chars[x]
+            up = parents[x]
+            if up >= 0:
+                count[up] += 1 + count[x]
+                link_tags[up] += link_tags[x] + (tags[x] == "a")
+                if not gone[up]:
+                    chars[up] += chars[x]
+                    link_chars[up] += link_chars[x]
+        body = next((x for x in range(m) if tags[x] == "body"), 0)
+        part = link_chars[body] / max(1, chars[body])
+        value, total = [0.0] * m, [0.0] * m
+        for x in range(m):
+            c = chars[x]
+            if c:
+                t, lc, lt = max(1, count[x]), max(1, link_chars[x]), max(1, link_tags[x])
+                base = math.log(c / max(1, c - link_chars[x]) * link_chars[x] + part * c + math.e)
+                value[x] = c / t * math.log(max(1.0, c / lc * t / lt) + base - 1) / math.log(max(base, 1.0) + math.e - 1)
+                if parents[x] >= 0:
+                    total[parents[x]] += value[x]
+        best = max((x for x in range(m) if tags[x] not in _INLINE_BOXES), key=total.__getitem__, default=0)
+        if not total or total[best] <= 0:
+            return [False] * self.n
+        # The threshold: the least density on the way from the body of the page to the subtree.
+        threshold, x = value[best], best
+        while x != body and parents[x] >= 0:
+            threshold = min(threshold, value[x])
+            x = parents[x]
+        numbered = set(page.nodes)
+        held = [False] * m
+        for x in range(best, m):
+            up = parents[x]
+            thin = x != best and tags[x] in _BOXES and x not in numbered and value[x] < THIN * threshold
+            held[x] = x == best or (up >= best and held[up] and not thin)
+        return [held[x] and not o for x, o in zip(page.nodes, out)]
+
+
+class _Reading:
+    """Which blocks of a page are its article's, as far as structure, density and the corpus say."""
+
+    def __init__(self, page: Page, corpus: Corpus | None):
+        self.page, self.layout = page, _Layout(page)
+        layout = self.layout
+        self.sequences = [sequences(t) for t in page.texts]
+        self.linked = layout.runs(page.bare)
+        if corpus is None:
+            self.kept = layout.dense(self.linked)
+        else:
+            scores = [corpus.score(*s) for s in self.sequences]
+            self.kept = layout.dense(layout.runs([o or s < (LEAST_LISTED if li else LEAST) for o, s, li in zip(page.bare, scores, layout.listed)]))
+        self.core = [i for i in range(layout.n) if self.kept[i] and layout.sentence[i]]
+        if not self.core:
+            self.kept = [False] * layout.n
+        elif corpus is not None:
+            self._headline(corpus)
+
+    def _headline(self, corpus: Corpus) -> None:
+        """The headline: before the first sentence, a top heading or what reads most like titles elsewhere; the article begins with it."""
+        page, layout, ways = self.page, self.layout, []
+        for i in range(max(0, self.core[0] - HEADLINE_WITHIN), self.core[0]):
+            if not page.links[i] and not page.bare[i] and (layout.tag[i] == "h1" or not layout.sentence[i]):
+                ways.append((layout.tag[i] == "h1", corpus.title_score(self.sequences[i][0]), i))
+        ways = [w for w in ways if w[0] or w[1] > -1.0]
+        if ways:
+            at = max(ways)[2]
+            self.kept = [False] * at + [True] + self.kept[at + 1 :]
+
+    def counts(self) -> Iterator[tuple[np.ndarray, tuple[int, int, int, int, int]]]:
+        """Buckets of each block with what it adds to their counts.
+
+        Amid an article is what stands after its first and before its last but
+        one sentence, inside what stands between its first and its last one;
+        outside what is neither, and no list of links.
+        """
+        page, core = self.page, self.core
+        first, last = (core[0], core[-1]) if core else (self.layout.n, -1)
+        late = core[-2] if len(core) >= 4 else -1
+        for i, (buckets, whole) in enumerate(self.sequences):
+            if not page.texts[i]:
+                continue
+            amid, inside = first < i < late and self.kept[i], first <= i <= last
+            outside = not inside and not self.linked[i] and not page.links[i]
+            yield np.append(buckets, whole), (amid, not amid, inside, outside, page.links[i] and self.layout.width[i] >= TITLE_WIDTH)
 
+    def numbers(self) -> list[int]:
+        return sorted({n for n, k in zip(self.page.numbers, self.kept) if k})
 
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
+    def text(self) -> str:
+        return "\n".join(t for t, k in zip(self.page.texts, self.kept) if k)
 
 
-def article_blocks(html: str | None) -> list[int]:
-    """The numbers (``data-n``) of the blocks of a page's own article, in document order.
+def article_blocks(html: str | None, corpus: Corpus | None = None) -> list[int]:
+    """The numbers (``data-n``) of the blocks of a page's own article, ascending.
 
     Null, empty and unreadable pages, and index pages without an article of
-    their own, have none.
+    their own, have none. Without a corpus, structure and density alone decide.
     """
-    if not html:
-        return []
-    root = parse(html)
-    nodes = list(walk(root))
-    blocks = [_Block(x, int(x.attrs["data-n"])) for x in nodes if x.attrs.get("data-n", "").strip().isdigit()]
-    if not blocks:
-        return []
-    body = next((x for x in nodes if x.tag == "body"), root)
-    title = _TITLE.search(html)
-    site = {" ".join(title.group(1).split()).casefold()} if title else set()
-    _mark(blocks, site)
-    _mark_outside(blocks)
-    dropped = {id(b.node) for b in blocks if b.out}
-    density = _Density(root, dropped, body)
-    candidates = [x for x in (root, *nodes) if x.tag not in _INLINE_BOXES]
-    best = max(candidates, key=lambda x: density.total[id(x)], default=root)
-    if density.total[id(best)] <= 0:
-        return []
-    # The threshold: the least density on the way from the body of the page to the subtree.
-    threshold, x = density.value[id(best)], best
-    while x is not None and x is not body and x.parent is not None:
-        threshold = min(threshold, density.value[id(x)])
-        x = x.parent
-    inside = {id(best)} | {id(x) for x in walk(best)}
-    thin = {id(x) for x in walk(best) if x.tag in ("div", "aside", "section", "nav", "footer") and "data-n" not in x.attrs and density.value[id(x)] < 0.2 * threshold}
-    kept = []
-    for b in blocks:
-        if b.out or id(b.node) not in inside:
-            continue
-        x = b.node.parent
-        while x is not None and id(x) in inside and id(x) not in thin:
-            x = x.parent
-        if x is not None and id(x) in thin:
-            continue
-        kept.append(b)
-    if len(kept) < 2 or not any(b.sentence for b in kept):
-        return []
-    return sorted({b.number for b in kept})
+    return _Reading(read_page(html), corpus).numbers()
 
 
-def article_text(html: str | None) -> str | None:
+def article_text(html: str | None, corpus: Corpus | None = None) -> str | None:
     """The text of a page's own article, a block a line; null for a null page, empty where there is none."""
-    if html is None:
-        return None
-    numbers = set(article_blocks(html))
-    out = []
-    if numbers:
-        for x in walk(parse(html)):
-            n = x.attrs.get("data-n", "").strip()
-            if n.isdigit() and int(n) in numbers:
-                out.append(" ".join(_own_text(x)[0].split()))
-    return "\n".join(out)
-
-
-def pages_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``(page_id, block_n)`` of the numbered blocks of each page's own article; rows with a null key fall out."""
+    return None if html is None else _Reading(read_page(html), corpus).text()
+
+
+def _pages(batch: pd.DataFrame) -> Iterator[Page]:
+    for row in zip(*(batch[c] for c in _FIELDS)):
+        yield Page(*(x.tolist() for x in row))
+
+
+def _read(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The pages' lists, written once: a page is parsed a single time."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [read_page(h) for h in batch["html"]]
+            yield pd.DataFrame({"key": batch["key"], "missing": batch["html"].isna(), **{c: pd.Series([getattr(p, c) for p in read], dtype=object) for c in _FIELDS}})
+
+    return cut(spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html"))).mapInPandas(run, f"key {kind}, missing boolean, {_PAGE}"))
+
+
+def learn(read: DataFrame, rounds: int = ROUNDS) -> Corpus | None:
+    """What all pages' densities say of word sequences; each round weighs the pages by what the one before found.
+
+    The counts are added up where they arise; what is gathered has BUCKETS rows at most.
+    """
+    spark, corpus = read.sparkSession, None
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(corpus)
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            known = shared.value
+            sums = {c: np.zeros(BUCKETS, np.int64) for c in _COUNTS}
+            for batch in batches:
+                for page in _pages(batch):
+                    for buckets, added in _Reading(page, known).counts():
+                        for c, x in zip(_COUNTS, added):
+                            if x:
+                                sums[c][buckets] += 1
+            some = np.flatnonzero(sum(sums.values()))
+            yield pd.DataFrame({"bucket": some, **{c: x[some] for c, x in sums.items()}})
+
+        counts = read.mapInPandas(count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+        corpus = Corpus.of(counts.where(F.col("pos") + F.col("neg") >= SEEN).toPandas())
+    return corpus
+
+
+def pages_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
+    """``(page_id, block_n)`` of the numbered blocks of each page's own article; rows with a null key fall out.
+
+    ``rounds`` 0 leaves out what the corpus says: structure and density of the page alone.
+    """
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, block_n int"
+    read = _read(pages.where(F.length(html) > 0), key, html)
+    shared = pages.sparkSession.sparkContext.broadcast(learn(read, rounds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(k, n) for k, h in zip(batch.iloc[:, 0], batch["html"]) for n in article_blocks(h)], columns=[key, "block_n"])
+            yield pd.DataFrame([(k, n) for k, page in zip(batch["key"], _pages(batch)) for n in _Reading(page, shared.value).numbers()], columns=[key, "block_n"])
 
-    rows = spread(pages.where(F.col(key).isNotNull() & (F.length(html) > 0)).select(key, F.col(html).alias("html")))
-    return rows.mapInPandas(run, schema)
+    return read.where("key is not null").mapInPandas(run, schema)
 
 
-def pages_to_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def pages_to_text(pages: DataFrame, key: str = "page_id", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
     """``(page_id, text)``: the article's text of each page (see ``article_text``)."""
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, text string"
+    read = _read(pages, key, html)
+    shared = pages.sparkSession.sparkContext.broadcast(learn(read, rounds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch.iloc[:, 0], "text": pd.Series([article_text(h) for h in batch["html"]], dtype=object)})
+            texts = [None if m else _Reading(page, shared.value).text() for m, page in zip(batch["missing"], _pages(batch))]
+            yield pd.DataFrame({key: batch["key"], "text": pd.Series(texts, dtype=object)})
 
-    return spread(pages.select(key, F.col(html).alias("html"))).mapInPandas(run, schema)
+    return read.mapInPandas(run, schema)
