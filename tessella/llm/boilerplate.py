@@ -61,7 +61,7 @@ def _width(text: str) -> int:
 
 @dataclass
 class Page:
-    """A page as lists: its nodes in document order (0 is the root), and of its blocks the nodes with what density needs."""
+    """A page as lists: its nodes in document order (0 is the root), of its blocks the nodes with what density needs, and their word sequences' buckets one after the other."""
 
     parents: list[int] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
@@ -71,9 +71,12 @@ class Page:
     texts: list[str] = field(default_factory=list)
     links: list[bool] = field(default_factory=list)
     bare: list[bool] = field(default_factory=list)
+    sequences: list[int] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
+    wholes: list[int] = field(default_factory=list)
 
 
-_PAGE = "parents array<int>, tags array<string>, chars array<int>, nodes array<int>, numbers array<int>, texts array<string>, links array<boolean>, bare array<boolean>"
+_PAGE = "parents array<int>, tags array<string>, chars array<int>, nodes array<int>, numbers array<int>, texts array<string>, links array<boolean>, bare array<boolean>, sequences array<int>, ends array<int>, wholes array<int>"
 _FIELDS = [x.split()[0] for x in _PAGE.split(", ")]
 
 
@@ -123,6 +126,7 @@ def read_page(html: str | None) -> Page:
         page.links.append(bool(text) and (up is not None or linked >= 0.8 * len("".join(text.split()))))
         # Bare of an article's text whatever it says: nothing, a button, the site's name.
         page.bare.append(not text or x.tag in _BUTTONS or text.casefold() == site)
+    page.sequences, page.ends, page.wholes = sequences(page.texts)
     return page
 
 
@@ -135,29 +139,42 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def sequences(text: str) -> tuple[np.ndarray, int]:
-    """Buckets of the sequences of one to three words of a block, digits masked, and of its last ones; and the bucket of the whole."""
-    tokens = []
-    for t in _TOKEN.findall(text):
-        if t[0].isdigit():
-            t = "#" if re.fullmatch(r"\d+(?:[.,]\d+)?", t) else re.sub(r"\d+", "#", t)
-        tokens.append(_HASHES[t.lower()])
-    if not tokens:
-        return np.empty(0, np.int64), 0
+_MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+_NUMBER, _DIGITS = re.compile(r"\d+(?:[.,]\d+)?"), re.compile(r"\d+")
+
+
+def sequences(texts: list[str]) -> tuple[list[int], list[int], list[int]]:
+    """Buckets of the sequences of one to three words of each block, digits masked, and of its last ones: all blocks' after each other, where each block's end, and the bucket of each whole."""
+    tokens, sizes = [], []
+    for text in texts:
+        before = len(tokens)
+        for t in _TOKEN.findall(text):
+            if t[0].isdigit():
+                t = "#" if t.isdecimal() or _NUMBER.fullmatch(t) else _DIGITS.sub("#", t)
+            tokens.append(_HASHES[t.lower()])
+        sizes.append(len(tokens) - before)
     one = np.array(tokens, np.uint64)
+    last = np.cumsum(sizes, dtype=np.int64)
+    wholes = [xxhash.xxh64_intdigest(one[e - n : e].tobytes(), 1) & (BUCKETS - 1) for e, n in zip(last.tolist(), sizes)]
+    if not tokens:
+        return [], [0] * len(texts), wholes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    filled = np.flatnonzero(np.array(sizes) > 0)
     with np.errstate(over="ignore"):
-        parts, h = [one], one
-        for _ in range(2):
-            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MIX + one[len(one) - len(h) + 1 :]
-            parts.append(h)
-        parts += [x[-1:] ^ np.uint64(0x5851F42D4C957F2D) for x in parts[:2]]
-        out = np.concatenate(parts)
-        out ^= out >> np.uint64(31)
-    whole = xxhash.xxh64_intdigest(one.tobytes(), 1)
-    return np.unique((out & np.uint64(BUCKETS - 1)).astype(np.int64)), whole & (BUCKETS - 1)
+        h, parts, owners = one, [one, one[last[filled] - 1] ^ _LAST], [owner, filled]
+        for n in (2, 3):
+            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MIX + one[n - 1 :]
+            inside = np.flatnonzero(owner[: len(h)] == owner[n - 1 :])
+            parts.append(h[inside])
+            owners.append(owner[inside])
+            if n == 2:
+                several = filled[np.array(sizes)[filled] > 1]
+                parts.append(h[last[several] - 2] ^ _LAST)
+                owners.append(several)
+        h = np.concatenate(parts)
+        h ^= h >> np.uint64(31)
+    keys = np.unique(np.concatenate(owners) * BUCKETS + (h & np.uint64(BUCKETS - 1)).astype(np.int64))
+    return (keys & (BUCKETS - 1)).tolist(), np.searchsorted(keys, np.arange(1, len(sizes) + 1) * BUCKETS).tolist(), wholes
 
 
 @dataclass
@@ -181,23 +198,23 @@ class Corpus:
         seen = (pos + neg >= SEEN).astype(np.uint8) | ((ins + outs >= SEEN) << 1).astype(np.uint8) | ((ins + outs >= SEEN_WHOLE) << 2).astype(np.uint8)
         return Corpus(amid.astype(np.float32), inside.astype(np.float32), title.astype(np.float32), seen)
 
-    def score(self, buckets: np.ndarray, whole: int) -> float:
-        """How much the corpus speaks for a block as part of an article; 0 if it knows too few of its sequences to say anything."""
-        seen = self.seen[buckets]
-        if not self.seen[whole] & 4 and np.count_nonzero(seen & 1) < KNOWN * len(buckets):
-            return 0.0
-        a, b = buckets[(seen & 1) > 0], buckets[(seen & 2) > 0]
-        first = self.amid[a].sum() / (len(a) + 1) if len(a) else 0.0
-        if self.seen[whole] & 4:
-            second = self.inside[whole]
-        else:
-            second = self.inside[b].sum() / (len(b) + 1) if len(b) else 0.0
-        return float(min(first + LEAN, second))
+    def scores(self, page: Page) -> tuple[list[float], list[float]]:
+        """Of each block how much the corpus speaks for it as part of an article, 0 if it knows too few of its sequences to say anything; and how much it reads like the titles by which other pages link articles."""
+        buckets, ends, wholes = np.array(page.sequences, np.int64), np.array(page.ends, np.int64), np.array(page.wholes, np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(x, dtype=np.float64)])
+            return upto[ends] - upto[starts]
 
-    def title_score(self, buckets: np.ndarray) -> float:
-        """How much a block reads like the titles by which other pages link articles."""
-        a = buckets[(self.seen[buckets] & 1) > 0]
-        return float(self.title[a].mean()) if len(a) else -9.0
+        seen, whole = self.seen[buckets], (self.seen[wholes] & 4) > 0
+        some, within = (seen & 1) > 0, (seen & 2) > 0
+        known = sums(some)
+        first = sums(self.amid[buckets] * some) / (known + 1)
+        second = np.where(whole, self.inside[wholes], sums(self.inside[buckets] * within) / (sums(within) + 1))
+        judged = whole | (known >= KNOWN * (ends - starts))
+        title = np.where(known > 0, sums(self.title[buckets] * some) / np.maximum(known, 1), -9.0)
+        return np.where(judged, np.minimum(first + LEAN, second), 0.0).tolist(), title.tolist()
 
 
 _COUNTS = ("pos", "neg", "ins", "outs", "tit")
@@ -323,46 +340,46 @@ class _Reading:
     def __init__(self, page: Page, corpus: Corpus | None):
         self.page, self.layout = page, _Layout(page)
         layout = self.layout
-        self.sequences = [sequences(t) for t in page.texts]
         self.linked = layout.runs(page.bare)
-        if corpus is None:
+        if corpus is None or not page.nodes:
             self.kept = layout.dense(self.linked)
         else:
-            scores = [corpus.score(*s) for s in self.sequences]
+            scores, self.titles = corpus.scores(page)
             self.kept = layout.dense(layout.runs([o or s < (LEAST_LISTED if li else LEAST) for o, s, li in zip(page.bare, scores, layout.listed)]))
         self.core = [i for i in range(layout.n) if self.kept[i] and layout.sentence[i]]
         if not self.core:
             self.kept = [False] * layout.n
         elif corpus is not None:
-            self._headline(corpus)
+            self._headline()
 
-    def _headline(self, corpus: Corpus) -> None:
+    def _headline(self) -> None:
         """The headline: before the first sentence, a top heading or what reads most like titles elsewhere; the article begins with it."""
         page, layout, ways = self.page, self.layout, []
         for i in range(max(0, self.core[0] - HEADLINE_WITHIN), self.core[0]):
             if not page.links[i] and not page.bare[i] and (layout.tag[i] == "h1" or not layout.sentence[i]):
-                ways.append((layout.tag[i] == "h1", corpus.title_score(self.sequences[i][0]), i))
+                ways.append((layout.tag[i] == "h1", self.titles[i], i))
         ways = [w for w in ways if w[0] or w[1] > -1.0]
         if ways:
             at = max(ways)[2]
             self.kept = [False] * at + [True] + self.kept[at + 1 :]
 
-    def counts(self) -> Iterator[tuple[np.ndarray, tuple[int, int, int, int, int]]]:
-        """Buckets of each block with what it adds to their counts.
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all blocks, and of each of them what it adds to the counts, a bit each.
 
         Amid an article is what stands after its first and before its last but
         one sentence, inside what stands between its first and its last one;
         outside what is neither, and no list of links.
         """
-        page, core = self.page, self.core
+        page, core, flags = self.page, self.core, []
         first, last = (core[0], core[-1]) if core else (self.layout.n, -1)
         late = core[-2] if len(core) >= 4 else -1
-        for i, (buckets, whole) in enumerate(self.sequences):
-            if not page.texts[i]:
-                continue
+        for i, text in enumerate(page.texts):
             amid, inside = first < i < late and self.kept[i], first <= i <= last
             outside = not inside and not self.linked[i] and not page.links[i]
-            yield np.append(buckets, whole), (amid, not amid, inside, outside, page.links[i] and self.layout.width[i] >= TITLE_WIDTH)
+            flags.append(0 if not text else (1 if amid else 2) | 4 * inside | 8 * outside | 16 * (page.links[i] and self.layout.width[i] >= TITLE_WIDTH))
+        flags = np.array(flags, np.uint8)
+        sizes = np.diff(np.array([0, *page.ends]))
+        return np.array(page.sequences + page.wholes, np.int64), np.concatenate([np.repeat(flags, sizes), flags])
 
     def numbers(self) -> list[int]:
         return sorted({n for n, k in zip(self.page.numbers, self.kept) if k})
@@ -415,11 +432,11 @@ def learn(read: DataFrame, rounds: int = ROUNDS) -> Corpus | None:
             known = shared.value
             sums = {c: np.zeros(BUCKETS, np.int64) for c in _COUNTS}
             for batch in batches:
-                for page in _pages(batch):
-                    for buckets, added in _Reading(page, known).counts():
-                        for c, x in zip(_COUNTS, added):
-                            if x:
-                                sums[c][buckets] += 1
+                found = [_Reading(page, known).counts() for page in _pages(batch) if page.nodes]
+                if found:
+                    buckets, flags = (np.concatenate(x) for x in zip(*found))
+                    for bit, c in enumerate(_COUNTS):
+                        sums[c] += np.bincount(buckets[(flags >> bit) & 1 > 0], minlength=BUCKETS)
             some = np.flatnonzero(sum(sums.values()))
             yield pd.DataFrame({"bucket": some, **{c: x[some] for c, x in sums.items()}})
 

@@ -5,8 +5,10 @@ canonical forms; a variant goes to the candidate of greatest posterior, which
 is the candidate's frequency times the likelihood that typing it gave the
 variant: typos, abbreviations, initials, nicknames, dropped and moved parts.
 Candidates come from an equi-join on deletion neighbourhoods of the rare part
-of a name, one or two letters deep, and on its sorted tokens: any two forms that
-the likelihood links share a key. One mistyped character in a Chinese name of
+of a name, one or two letters deep, on its sorted tokens, and on each of its
+tokens with the initial of another: any two forms that the likelihood links
+share a key. Which of two unknown tokens is the given name is told by the other
+spelling's initials, not by a list; the list only knows nicknames. One mistyped character in a Chinese name of
 six or more, before the last two, links it if the canonical form is frequent
 enough (``supported``).
 """
@@ -14,9 +16,11 @@ enough (``supported``).
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from tessella.llm.skeleton import skeleton
 from tessella.operators.components import components
 from tessella.operators.packed import split_names
-from tessella.plans.pairs import pairs_within
+from tessella.plans.pairs import pairs_within, split_join
 from tessella.plans.runtime import cut, spread
 
 # Given names and their short forms.
@@ -55,6 +59,8 @@ _FULL = {nick: {full for full, v in NICKNAMES.items() if nick in v.split()} for
 TYPO, SHORTENED, INITIAL, NICKNAME, FUSED, MOVED, LEGAL_LOST, LEGAL_OTHER, WORD_LOST, EXTRA_INITIAL, STRANGE, LEAST = -3.5, -2.5, -2.0, -2.0, -2.0, -0.5, -0.5, -3.0, -2.0, -1.0, -20.0, -10.0
 #: A variant is left alone unless one candidate has this share of the posterior.
 LEAST_SHARE = 0.6
+#: Stems with one key that one task compares with all others of the key.
+KEY_BLOCK = 500
 #: Rare parts of more letters are sought by halves: their pairs of letters would be too many.
 LONG = 24
 
@@ -155,10 +161,28 @@ def parse(form: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...],
 
 
 def complete(form: str) -> int:
-    """Whether a form can stand for an entity: it says more than the rare part."""
+    """How well a form can stand for an entity: with words beside the rare part best, with two rare tokens better than with initials."""
     if _CJK.search(form):
         return len(form)
-    return int(bool(parse(form)[1]))
+    rare, words, _, _ = parse(form)
+    return 2 if words else int(len(rare) > 1)
+
+
+def _of_organisation(words: tuple[str, ...]) -> bool:
+    return any((_word(w) or "") in ORGANISATION_WORDS for w in words)
+
+
+def _told_by_initials(rare: tuple[str, ...], words: tuple[str, ...], other: tuple[str, ...], initials: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Rare tokens and words of a name when the other spelling has initials for some of its rare tokens: those are given names, and count as words."""
+    spare = len(rare) - len(other)
+    if spare < 1 or not other or not initials:
+        return rare, words
+    ways = []
+    for given in itertools.combinations(range(len(rare)), spare):
+        if not Counter(rare[i][0] for i in given) - Counter(x[0] for x in initials):
+            rest = tuple(t for i, t in enumerate(rare) if i not in given)
+            ways.append((_edits("".join(rest), "".join(other), 2), rest, tuple(rare[i] for i in given)))
+    return (min(ways)[1], words + min(ways)[2]) if ways else (rare, words)
 
 
 def _token_cost(v: str, c: str) -> float:
@@ -197,6 +221,9 @@ def likelihood(variant: str, canonical: str) -> float:
         return STRANGE  # initials and legal forms alone tell nobody
     if any(len(t) > 1 for t in ci) and not any(len(t) > 1 for t in vi):
         return likelihood(canonical, variant)  # an acronym on the other side: the same channel backwards
+    if not _of_organisation(vw) and not _of_organisation(cw):
+        cr, cw = _told_by_initials(cr, cw, vr, vi)
+        vr, vw = _told_by_initials(vr, vw, cr, ci)
     total = 0.0
     # The rare part, as one string: typos, fused and hyphenated parts.
     a, b = "".join(vr), "".join(cr)
@@ -267,9 +294,17 @@ def supported(variant: str, canonical: str, score: float, n_variant: int, n_cano
 
 
 def stems(form: str) -> set[str]:
-    """What a form is sought by: its rare part as written, with typos, and its rare tokens in order of the alphabet, as they are."""
-    rare = () if _CJK.search(form) else parse(form)[0]
-    return {"".join(rare) or form} | ({"~" + "".join(sorted(rare))} if len(rare) > 1 else set())
+    """What a form is sought by: its rare part as written, with typos, its rare tokens in order of the alphabet, as they are, and for a name of no organisation what is left of it when one or more tokens shrink to their initials."""
+    if _CJK.search(form):
+        return {form}
+    rare, words, initials, _ = parse(form)
+    out = {"".join(rare) or form} | ({"~" + "".join(sorted(rare))} if len(rare) > 1 else set())
+    if not _of_organisation(words):
+        out |= {f"{t}@{x[0]}" for t in rare for x in initials} if len(rare) == 1 else {f"{t}@{x[0]}" for i, t in enumerate(rare) for x in (*rare[:i], *rare[i + 1 :])}
+        if len(rare) > 2 or (len(rare) > 1 and initials):
+            # Of three tokens one may shrink, too: what is left, written together.
+            out |= {f"{''.join(rare[:i] + rare[i + 1 :])}@{t[0]}" for i, t in enumerate(rare)} | {f"{''.join(rare)}@{x[0]}" for x in initials}
+    return out
 
 
 def _deleted(text: str, most: int) -> set[str]:
@@ -294,6 +329,9 @@ def stem_keys(stem: str) -> set[int]:
             parts |= {stem[:i] + "_" + stem[i + 1 :] for i in range(n - 2)}
     elif stem.startswith("~"):
         parts = {stem}
+    elif "@" in stem:
+        rest, mark, initial = stem.rpartition("@")
+        parts = {x + mark + initial for x in (_deleted(rest, 1 if len(rest) < 7 else 2) if len(rest) <= LONG else {rest})}
     else:
         parts = _deleted(stem, 1 if n < 7 else 2) if n <= LONG + 2 else {stem}
         if n > LONG:
@@ -354,12 +392,12 @@ def attribute(names: DataFrame) -> DataFrame:
     keyed = cut(spread(stem).mapInPandas(keys, "stem string, key bigint"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("stems")).where("stems > 1").select("key")
     keyed = cut(keyed.join(shared, "key"))
-    met = keyed.withColumnRenamed("stem", "sv").join(keyed.withColumnRenamed("stem", "sc"), "key").where("sv < sc").select("sv", "sc").distinct()
+    met = split_join(keyed.withColumnRenamed("stem", "sv"), keyed.withColumnRenamed("stem", "sc"), "key", block=KEY_BLOCK).where("sv < sc").select("sv", "sc").distinct()
     met = cut(spread(met).mapInPandas(near, "sv string, sc string"))
     met = met.unionByName(met.select(F.col("sc").alias("sv"), F.col("sv").alias("sc"))).unionByName(stem.select(F.col("stem").alias("sv"), F.col("stem").alias("sc")))
     variants = sought.select(F.col("stem").alias("sv"), F.col("form").alias("v"), F.col("n").alias("nv"), F.struct("rank", "n", "form").alias("rv"))
     canonicals = sought.select(F.col("stem").alias("sc"), F.col("form").alias("c"), F.col("n").alias("nc"), F.struct("rank", "n", "form").alias("rc"))
-    pairs = spread(variants.join(met, "sv").join(canonicals, "sc").where("rc > rv").select("v", "nv", "c", "nc").distinct())
+    pairs = spread(split_join(split_join(variants, met, "sv"), canonicals, "sc").where("rc > rv").select("v", "nv", "c", "nc").distinct())
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

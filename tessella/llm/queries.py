@@ -36,6 +36,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.repairs(table(spark, d, "title_page"))
 
 
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "title_page"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.unnamed_languages(table(spark, d, "news_body"), table(spark, d, "documents"))
 
@@ -68,7 +72,7 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p2_classes": p2_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p2_splits": p2_splits, "p2_classes": p2_classes, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_entities": p7_entities, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {
     "p2_found": r"""
     with recursive t as (

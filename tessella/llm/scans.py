@@ -3,8 +3,9 @@
 Method: words are grouped by a skeleton of confusable glyphs; in a group the
 frequent forms that the neighbouring words support replace the rare ones.
 Running lines are found at the edges of pages by masking digits and comparing
-the pages of a file; the rest is reflowed, words broken at line and page ends
-being joined by what the corpus knows.
+the pages of a file; the rest is reflowed by windows over
+the pages of a file, words broken at line and page ends being joined by what
+the corpus knows. ``repairs`` lists what is wrong, ``paragraphs`` gives the text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.runtime import cut, spread
@@ -29,11 +30,13 @@ _STROKES = str.maketrans({g: strokes for table in (ONE_STROKE, MORE_STROKES) for
 RATIO, RATIO_NOISE, RATIO_SURE, RATIO_SHORT = 4.0, 1.0, 60.0, 30.0
 #: Words that a worker may be told to be sound: only to keep rows from moving, of no effect on the result.
 TRUSTED_WORDS = 50_000
+#: Page numbers of a file that one task orders.
+PAGE_SLICE = 1024
 _CJK = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(rf"[^\s{_CJK}，。、；：！？（）【】《》]+")
 _LETTER = re.compile(rf"[^\W\d_{_CJK}]")
 _EDGE = ".,;:()[]{}\"'„“”‚‘’«»‹›?…–—*"
-_NUM = r"[0-9lIi|!oOSsBbZz]{1,5}"
+_NUM = r"[0-9lIi|!oOSsBbZz]{1,9}"
 _NUMBER_LINE = re.compile(rf"^[\W_]*(?:(?:page|seite|p\.|s\.|第)\s*)?(?P<v>{_NUM}|[ivxlc]{{1,6}})\s*(?:页)?\s*(?:(?:of|von|/|\|)\s*{_NUM}|共\s*{_NUM}\s*页)?[\W_]*$", re.IGNORECASE)
 _NUMBER_NEAR = re.compile(rf"^(?:(?P<a>{_NUM})\s{{2,}}(?P<x>\S.*)|(?P<y>.*\S)\s{{2,}}(?P<b>{_NUM}))$")
 _ONLY_NUMBERS = re.compile(r"^[\s\d.,%±=<>/()nNpP+-]*$")
@@ -234,6 +237,30 @@ def _skeleton_column(word: Column) -> Column:
     return out
 
 
+def next_pages(numbers: DataFrame) -> DataFrame:
+    """``(pdf, number, next)`` of distinct page numbers of files: the next one that is there, however far, null for the last.
+
+    Windows run over slices of PAGE_SLICE numbers, and over the slices' first pages.
+    """
+    rows = numbers.select("pdf", "number", F.floor(F.col("number") / PAGE_SLICE).alias("slice")).distinct()
+    later = F.lead("first").over(Window.partitionBy("pdf").orderBy("slice"))
+    ahead = rows.groupBy("pdf", "slice").agg(F.min("number").alias("first")).select("pdf", "slice", later.alias("later"))
+    following = F.lead("number").over(Window.partitionBy("pdf", "slice").orderBy("number"))
+    return rows.withColumn("following", following).join(ahead, ["pdf", "slice"]).select("pdf", "number", F.coalesce("following", "later").alias("next"))
+
+
+def before(rows: DataFrame, value: Column, into: str) -> DataFrame:
+    """``rows`` of pages with the last ``value`` that isn't null of the pages before in their file, by the same slices."""
+    rows = rows.withColumn("v", value).withColumn("slice", F.floor(F.col("number") / PAGE_SLICE))
+    order = ["number", "page_id"]
+    inside = F.last("v", ignorenulls=True).over(Window.partitionBy("pdf", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    last = rows.where("v is not null").groupBy("pdf", "slice").agg(F.max_by("v", F.struct(*order)).alias("lv"))
+    slices = rows.select("pdf", "slice").distinct().join(last, ["pdf", "slice"], "left")
+    carried = F.last("lv", ignorenulls=True).over(Window.partitionBy("pdf").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select("pdf", "slice", carried.alias("carried"))
+    return rows.withColumn("in", inside).join(slices, ["pdf", "slice"]).withColumn(into, F.coalesce("in", "carried")).drop("v", "in", "carried", "slice")
+
+
 def repairs(pages: DataFrame) -> DataFrame:
     """``(field, page_id, line_no, kind, word)`` of what is to be repaired in ``text`` and ``data``.
 
@@ -241,10 +268,15 @@ def repairs(pages: DataFrame) -> DataFrame:
     with misread characters; ``drop``: a running line. Null and empty texts
     need nothing. A page goes on in the next one of its file that isn't blank.
     """
+    return findings(pages).select("field", "page_id", "line_no", "kind", "word").distinct()
+
+
+def findings(pages: DataFrame) -> DataFrame:
+    """``repairs`` with ``was``, the form that a misread word has in the text, and ``crossing``, whether a word goes on in the next page."""
     drops = cut(running_lines(pages))
     by_page = drops.groupBy("page_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
     source = pages.where(F.col("page_id").isNotNull()).select("page_id", F.coalesce("pdf_name", F.concat(F.lit("#"), F.col("page_id").cast("string"))).alias("pdf_name"), F.coalesce("page_number", F.lit(0)).alias("page_number"), "text", "data")
-    texts = source.where(F.length("text") > 0).join(by_page, "page_id", "left").select("page_id", "pdf_name", "page_number", F.lit("text").alias("field"), F.col("text").alias("body"), "dropped")
+    texts = source.where(F.col("text").rlike(r"\S")).join(by_page, "page_id", "left").select("page_id", "pdf_name", "page_number", F.lit("text").alias("field"), F.col("text").alias("body"), "dropped")
     figures = source.where(F.length("data") > 0).select("page_id", "pdf_name", "page_number", F.lit("data").alias("field"), F.col("data").alias("body"), F.lit(None).cast("array<int>").alias("dropped"))
     fields = spread(texts.unionByName(figures))
 
@@ -263,18 +295,11 @@ def repairs(pages: DataFrame) -> DataFrame:
 
     # Broken at the end of a page: the next page of the file that has text.
     firsts = edges.where("kind = 'first'").groupBy("pdf", "number").agg(F.min(F.when(F.col("a") != "", F.col("a"))).alias("tail"))
-    last_page = source.groupBy(F.col("pdf_name").alias("pdf")).agg(F.max("page_number").alias("last"))
-    waiting = edges.where("kind = 'open'").select("page_id", "pdf", "number", "line_no", "a").join(last_page, "pdf").withColumn("at", F.col("number") + 1).where("at <= last")
-    crossing = None
-    while not waiting.isEmpty():
-        met = cut(waiting.join(firsts.select("pdf", F.col("number").alias("at"), "tail", F.lit(True).alias("there")), ["pdf", "at"], "left"))
-        got = met.where("there and tail is not null").select("page_id", "pdf", "at", "line_no", "a", F.col("tail").alias("b"))
-        crossing = got if crossing is None else crossing.unionByName(got)
-        waiting = met.where("there is null").select("page_id", "pdf", "number", "line_no", "a", "last", (F.col("at") + 1).alias("at")).where("at <= last")
+    ahead = next_pages(firsts).where("next is not null").join(firsts.select("pdf", F.col("number").alias("next"), "tail"), ["pdf", "next"]).where("tail is not null")
+    crossing = cut(edges.where("kind = 'open'").select("page_id", "pdf", "number", "line_no", "a").join(ahead, ["pdf", "number"]).select("page_id", "pdf", F.col("next").alias("at"), "line_no", "a", F.col("tail").alias("b")))
     # A page's first token is a whole word unless the page before left one open.
     begun = edges.where("kind = 'first' and a <> '' and line_no > 0")
-    if crossing is not None:
-        begun = begun.join(crossing.select("pdf", F.col("at").alias("number")).distinct(), ["pdf", "number"], "left_anti")
+    begun = begun.join(crossing.select("pdf", F.col("at").alias("number")).distinct(), ["pdf", "number"], "left_anti")
     bare = lambda x: F.lower(F.regexp_replace(x, r"^[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+|[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+$", ""))
     masked = lambda x: F.regexp_replace(x, r"\d+", "#")
     begun = begun.select("field", "page_id", "line_no", bare(F.col("a")).alias("word"), F.lit("").alias("left"), F.col("c").alias("right"), (F.col("b") == "broken").alias("part"))
@@ -322,9 +347,8 @@ def repairs(pages: DataFrame) -> DataFrame:
 
     seen = cut(fields.mapInPandas(emit, _O_SCHEMA))
 
-    broken = seen.where("kind = 'broken'").select("field", "page_id", "line_no", "a", "b")
-    if crossing is not None:
-        broken = broken.unionByName(crossing.select(F.lit("text").alias("field"), "page_id", "line_no", "a", "b"))
+    broken = seen.where("kind = 'broken'").select("field", "page_id", "line_no", "a", "b", F.lit(False).alias("crossing"))
+    broken = broken.unionByName(crossing.select(F.lit("text").alias("field"), "page_id", "line_no", "a", "b", F.lit(True).alias("crossing")))
 
     occurrences = seen.where("kind = 'word'").select("field", "page_id", "line_no", F.col("a").alias("word"), F.col("b").alias("left"), F.col("c").alias("right"))
     occurrences = occurrences.unionByName(begun.drop("part"))
@@ -342,12 +366,12 @@ def repairs(pages: DataFrame) -> DataFrame:
     # The word's own occurrences support it in both directions; they don't count.
     sound = (F.col("nc") >= RATIO_SURE * F.col("n")) | noisy(F.col("word")) | (F.col("sc") > F.col("sw") - 2) | ((F.col("n") == 1) & (F.col("nc") >= 8))
     fixed = weighed.where(sound).groupBy("field", "page_id", "line_no", "word", "left", "right").agg(F.max_by("c", F.struct("sc", "nc", "c")).alias("fixed"))
-    misread = fixed.select("field", "page_id", "line_no", F.lit("char").alias("kind"), F.col("fixed").alias("word"))
+    misread = fixed.select("field", "page_id", "line_no", F.lit("char").alias("kind"), F.col("fixed").alias("word"), F.col("word").alias("was"), F.lit(False).alias("crossing"))
 
     # Broken words: with or without the hyphen, whichever the corpus has more of, misread or not.
     tail = bare(F.col("b"))
     head = F.lower(F.regexp_replace(F.col("a"), r"^[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+", ""))
-    forms = broken.select("field", "page_id", "line_no", head.alias("h"), tail.alias("t")).distinct()
+    forms = broken.select("field", "page_id", "line_no", "crossing", head.alias("h"), tail.alias("t")).distinct()
     forms = forms.withColumns({"x": F.concat("h", "t"), "y": F.concat("h", F.lit("-"), "t")})
     known = vocabulary.select("word", "n")
     best = tops.where("topn is not null").select("s", "top", "topn")
@@ -357,6 +381,129 @@ def repairs(pages: DataFrame) -> DataFrame:
         forms = forms.withColumns({f"w{form}": F.when(trust, F.col(form)).otherwise(F.col(f"t{form}")), f"c{form}": F.greatest(F.coalesce(f"n{form}", F.lit(0)), F.coalesce(f"m{form}", F.lit(0)))})
     forms = forms.join(known.select(F.col("word").alias("h"), F.col("n").alias("nh")), "h", "left").join(known.select(F.col("word").alias("t"), F.col("n").alias("nt")), "t", "left")
     own_hyphen = (F.col("cy") > F.col("cx")) | ((F.col("cx") == 0) & (F.col("cy") == 0) & ((F.col("nh") >= 3) & (F.col("nt") >= 3) | F.col("t").rlike(r"^\d") | F.col("h").rlike(r"\d$")))
-    joined = forms.select("field", "page_id", "line_no", F.lit("join").alias("kind"), F.when(F.coalesce(own_hyphen, F.lit(False)), F.col("wy")).otherwise(F.col("wx")).alias("word")).where("word <> ''")
-    dropped = drops.select(F.lit("text").alias("field"), "page_id", "line_no", F.lit("drop").alias("kind"), F.lit("").alias("word"))
+    joined = forms.select("field", "page_id", "line_no", F.lit("join").alias("kind"), F.when(F.coalesce(own_hyphen, F.lit(False)), F.col("wy")).otherwise(F.col("wx")).alias("word"), F.lit("").alias("was"), "crossing").where("word <> ''")
+    dropped = drops.select(F.lit("text").alias("field"), "page_id", "line_no", F.lit("drop").alias("kind"), F.lit("").alias("word"), F.lit("").alias("was"), F.lit(False).alias("crossing"))
     return misread.unionByName(joined).unionByName(dropped).distinct()
+
+
+# ------------------------------------------------------------------ paragraphs
+
+_SENTENCE_END = re.compile(r"[.!?。！？…][\"'”’»」』)）]*$")
+
+
+def _like(form: str, token: str) -> str:
+    """A repaired form, in small letters, written as the token it replaces: in capitals, with a capital, or small; its edges stay."""
+    lead = len(token) - len(token.lstrip(_EDGE))
+    core = token.strip(_EDGE)
+    letters = [x for x in core if x.isalpha()]
+    if len(letters) > 1 and sum(x.isupper() for x in letters) * 2 > len(letters):
+        form = form.upper()
+    elif core[:1].isupper():
+        form = form[:1].upper() + form[1:]
+    return token[:lead] + form + token[lead + len(core) :]
+
+
+def reflow(text: str | None, dropped: set[int], misread: dict[tuple[int, str], str], joins: dict[int, str], handed: str | None = None, hands_on: bool = False) -> tuple[list[str], bool]:
+    """The paragraphs of a page's text, repaired, and whether the last one is open at the end.
+
+    ``joins`` has the whole word of a line whose last word goes on in the next
+    line. ``handed`` is the whole word that the page before began: it takes the
+    place of the first one. With ``hands_on`` the last word goes to the next
+    page and is left out. A line ends a paragraph if the next line's first word
+    would still have fitted in, or a blank line follows.
+    """
+    lines = [(i, x.strip()) for i, x in enumerate(_lines(text), 1) if i not in dropped]
+    wide = max((_width(x) for _, x in lines), default=0)
+    paragraphs: list[str] = []
+    open_, pending = False, handed  # the word that the next line's first token is part of
+    full = [k for k, (_, x) in enumerate(lines) if x]
+    for k, (i, line) in enumerate(lines):
+        if not line:
+            open_ = open_ and k > full[-1] if full else False
+            continue
+        tokens = list(re.finditer(r"\S+", line))
+        out, at = [], 0
+        for n, m in enumerate(tokens):
+            token, last = m.group(), n == len(tokens) - 1
+            out.append(line[at : m.start()] if n else "")
+            at = m.end()
+            if n == 0 and pending is not None:
+                edge = len(token.rstrip(_EDGE))
+                token, pending = pending + token[edge:], None
+            elif last and token[-1] in HYPHENS and (i in joins or (hands_on and k == full[-1])):
+                if i in joins:
+                    pending = _like(joins[i], token[:-1])
+                out.append("")
+                continue
+            else:
+                token = _TOKEN.sub(lambda t: _like(misread[i, _bare(t.group())], t.group()) if (i, _bare(t.group())) in misread else t.group(), token)
+            out.append(token)
+        said = "".join(out).rstrip()
+        if open_ and paragraphs:
+            blank = "" if not said or not paragraphs[-1] or (re.match(rf"[{_CJK}，。、；：]", said) and re.search(rf"[{_CJK}，。、；：]$", paragraphs[-1])) else " "
+            paragraphs[-1] += blank + said
+        else:
+            paragraphs.append(said)
+        # Does the paragraph go on in the next line?
+        after = next((lines[j][1] for j in full if j > k), None)
+        if pending is not None or after is None:
+            open_ = True
+        else:
+            word = 2 if re.match(rf"[{_CJK}]", after) else _width(after.split()[0])
+            open_ = _width(line) + 1 + word > wide - 2
+    opened = bool(paragraphs) and open_ and (hands_on or not _SENTENCE_END.search(paragraphs[-1]))
+    return [x for x in paragraphs if x] if not opened else [x for x in paragraphs[:-1] if x] + paragraphs[-1:], opened
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """``(field, pdf_name, page_id, para_no, text)``: the continuous paragraphs of ``text`` and ``data``, by the page and place where each begins.
+
+    Running lines are gone, words are repaired and joined, a paragraph that a
+    page leaves open goes on in the next page of its file that isn't blank.
+    Pages delivered twice count once (the least page_id); null and blank fields
+    have no paragraphs; rows with a null key fall out.
+    """
+    source = pages.where(F.col("page_id").isNotNull()).select("page_id", F.coalesce("pdf_name", F.concat(F.lit("#"), F.col("page_id").cast("string"))).alias("pdf"), F.coalesce("page_number", F.lit(0)).alias("number"), "pdf_name", "text", "data")
+    same = source.groupBy("pdf", "number", F.md5(F.coalesce("text", F.lit(""))).alias("t"), F.md5(F.coalesce("data", F.lit(""))).alias("d")).agg(F.min("page_id").alias("page_id")).select("page_id")
+    found = cut(findings(pages))
+    kept = cut(source.join(same.distinct(), "page_id", "left_semi").dropDuplicates(["page_id"]))
+    fixes = found.groupBy("field", "page_id").agg(F.collect_list(F.struct("line_no", "kind", "word", "was", "crossing")).alias("fixes"))
+    texts = kept.where(F.col("text").rlike(r"\S")).select("page_id", "pdf", "number", F.lit("text").alias("field"), F.col("text").alias("body"))
+    figures = kept.where(F.col("data").rlike(r"\S")).select("page_id", "pdf", "number", F.lit("data").alias("field"), F.col("data").alias("body"))
+    # The word that a page begins and the next one ends is handed on.
+    begun = found.where("crossing").join(kept.select("page_id", "pdf", "number"), "page_id").groupBy("pdf", "number").agg(F.max("word").alias("handed"))
+    handed = begun.join(next_pages(texts), ["pdf", "number"]).where("next is not null").select("pdf", F.col("next").alias("number"), F.lit("text").alias("field"), "handed")
+    rows = texts.unionByName(figures).join(fixes, ["field", "page_id"], "left").join(handed, ["pdf", "number", "field"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                dropped, misread, joins, hands_on = set(), {}, {}, False
+                for x in row.fixes if row.fixes is not None else ():
+                    if x["kind"] == "drop":
+                        dropped.add(x["line_no"])
+                    elif x["kind"] == "char":
+                        misread[x["line_no"], x["was"]] = x["word"]
+                    elif x["crossing"]:
+                        hands_on = True
+                    else:
+                        joins[x["line_no"]] = x["word"]
+                got, opened = reflow(row.body, dropped, misread, joins, None if pd.isna(row.handed) else row.handed, hands_on)
+                out += [(row.field, row.pdf, row.number, row.page_id, n, len(got), opened and row.field == "text", t) for n, t in enumerate(got, 1)]
+            yield pd.DataFrame(out, columns=["field", "pdf", "number", "page_id", "para_no", "n", "opened", "text"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    pieces = cut(spread(rows).mapInPandas(run, f"field string, pdf string, number int, page_id {kind}, para_no int, n int, opened boolean, text string"))
+    # Where a page's first paragraph began: on the last page before that has a beginning of its own at its end.
+    sheets = pieces.where("field = 'text' and para_no = 1").select("pdf", "number", "page_id", "n", "opened")
+    sheets = before(sheets, F.col("opened"), "goes_on").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+    own = F.when((F.col("n") > 1) | ~F.col("goes_on"), F.struct(F.col("page_id").alias("p"), F.col("n").alias("k")))
+    anchors = before(sheets, own, "anchor").where("goes_on").select("page_id", F.lit("text").alias("field"), F.lit(1).alias("para_no"), "anchor")
+    placed = pieces.join(anchors, ["field", "page_id", "para_no"], "left").withColumn("a", F.coalesce("anchor", F.struct(F.col("page_id").alias("p"), F.col("para_no").alias("k"))))
+    whole = placed.groupBy("field", "pdf", F.col("a.p").alias("page_id"), F.col("a.k").alias("para_no")).agg(F.array_sort(F.collect_list(F.struct("number", F.col("page_id").alias("page"), "para_no", "text"))).alias("x"))
+    east = rf"[{_CJK}，。、；：]"
+    join = lambda a, b: F.when(F.rlike(a, F.lit(east + "$")) & F.rlike(b, F.lit("^" + east)), F.concat(a, b)).otherwise(F.trim(F.concat(a, F.lit(" "), b)))
+    text = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.element_at("x", 1)["text"], lambda done, y: join(done, y["text"]))
+    named = F.when(~F.startswith("pdf", F.lit("#")), F.col("pdf"))
+    return whole.select("field", named.alias("pdf_name"), "page_id", "para_no", text.alias("text")).where("text <> ''")
