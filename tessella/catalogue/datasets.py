@@ -60,7 +60,7 @@ def q_balance_geometric(t: Tables) -> DataFrame:
     return D.balance(t("part").select("p_partkey", "p_size"), "p_size", "p_partkey", how="geometric")
 
 
-@query("q_balance_levels", "R12 R13 R14 R35")
+@query("q_balance_levels", "R12 R13 R14 R35", "with s as (select o_orderpriority, o_orderstatus = 'P' as empty, count(*) as n from orders group by 1, 2), t as (select o_orderpriority, empty, max(n) over (partition by o_orderpriority) as hi, min(n) over (partition by o_orderpriority) as lo from s) select o_orderpriority, empty, cast(case when hi < 5.0 * lo then hi else round((hi + lo) / 2) end as bigint) as n from t")
 def q_balance_levels(t: Tables) -> DataFrame:
     d = t("orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "P").alias("empty"))
     return D.balance_two_levels(d, "o_orderpriority", "empty", "o_orderkey").groupBy("o_orderpriority", "empty").agg(F.count("*").alias("n"))
@@ -116,7 +116,7 @@ def q_validate(t: Tables) -> DataFrame:
     return D.validate(t("documents"), ["text"], ["n_chars"])
 
 
-@query("q_clean_claims", "R27")
+@query("q_clean_claims", "R27", r"with n as (select main_id, claim_num from patent_claim group by 1, 2 having count(*) = 1), c as (select c.*, regexp_extract(claim_text, '^([0-9]*)', 1) as lead from patent_claim c join n on c.main_id = n.main_id and c.claim_num = n.claim_num where claim_text is not null) select claim_id, main_id, claim_num, case when lead = '' then claim_num || '. ' || claim_text else claim_text end as claim_text from c where (lead = '' or lead = cast(claim_num as varchar)) and (coalesce(claim_class_pre <> 'D', true) or trim(coalesce(claim_ref_pre, ''), ' ') <> '')")
 def q_clean_claims(t: Tables) -> DataFrame:
     return D.clean_claims(t("patent_claim")).select("claim_id", "main_id", "claim_num", "claim_text")
 
@@ -151,7 +151,7 @@ def q_triplets(t: Tables) -> DataFrame:
     return D.triplets(pairs, edges, "anchor", "positive", names)
 
 
-@query("q_hierarchy_negatives", "R33")
+@query("q_hierarchy_negatives", "R33", "select term, name, max(label) as label from (select 'n' || n_nationkey as term, n_name as name, 1 as label from nation union all select 'r' || r_regionkey, r_name, 1 from region union all select 'r' || n_regionkey, n_name, 0 from nation) group by 1, 2")
 def q_hierarchy_negatives(t: Tables) -> DataFrame:
     edges = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     names = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("term"), F.col("n_name").alias("name")).unionByName(t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("term"), F.col("r_name").alias("name")))

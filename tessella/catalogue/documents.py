@@ -94,7 +94,7 @@ def q_before_tables(t: Tables) -> DataFrame:
     return D.before_tables(p, "page_id", "text", "rows")
 
 
-@query("q_first_fields", "D04 C02 C03")
+@query("q_first_fields", "D04 C02 C03", r"with f as (select doc_id, 'trial' as field, regexp_extract_all(text, 'TRX-[0-9]{8}') as v from documents union all select doc_id, 'dose', case when regexp_matches(text, '[0-9]+ mg') then regexp_extract_all(text, '[0-9]+ mg') else regexp_extract_all(text, '[0-9]+毫克') end from documents) select doc_id, field, array_to_string(v, '|') as values from f where len(v) > 0")
 def q_first_fields(t: Tables) -> DataFrame:
     found = D.first_fields(t("documents"), "doc_id", "text", {"trial": [r"TRX-\d{8}"], "dose": [r"\d+ mg", r"\d+毫克"]})
     return found.select("doc_id", "field", F.array_join("values", "|").alias("values"))

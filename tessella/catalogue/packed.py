@@ -63,6 +63,20 @@ def p6_found(t: Tables) -> DataFrame:
 @query(
     "p6_descendants",
     "G03",
+    r"""
+    with recursive c as (
+      select upper(regexp_replace(patent_code, '[\s 　\-‐-―]', '', 'g')) as code, claim_num, claim_id,
+        list_filter(regexp_extract_all(regexp_replace(translate(lower(claim_ref_pre), '０１２３４５６７８９', '0123456789'), '\s', ' ', 'g'), '\d+'), lambda x: cast(x as bigint) >= 1) as nums
+      from patent_claim where patent_code is not null and claim_num is not null),
+    n as (select code, claim_num, try_cast(arg_min(nums, claim_id)[1] as integer) as parent from (select code, claim_num, claim_id, coalesce(nums, []) as nums from c) group by 1, 2),
+    l as (select n.*, p.claim_num as there from n left join n p on p.code = n.code and p.claim_num = n.parent),
+    walk as (
+      select code, claim_num, [claim_num] as path from l where there is null
+      union all
+      select l.code, l.claim_num, list_append(w.path, l.claim_num) from walk w join l on l.code = w.code and l.there = w.claim_num),
+    steps as (select code, claim_num, path, unnest(range(1, len(path))) as pos from walk)
+    select code, path[pos] as ancestor, claim_num as descendant, cast(len(path) - pos as integer) as steps from steps
+    """,
 )
 def p6_descendants(t: Tables) -> DataFrame:
     """``(code, ancestor, descendant, steps)`` of all claims that lie on or below no circle."""

@@ -148,9 +148,9 @@ def q_wildcard(t: Tables) -> DataFrame:
     return t("part").where(where(Op.WILDCARD, "p_name", "ro").column()).select("p_partkey", "p_name")
 
 
-@query("q_in_wildcard", "P13", "select p_partkey from part where contains(p_type, 'STEEL') or contains(p_type, '100%')")
+@query("q_in_wildcard", "P13", "select p_partkey from part where contains(p_name, 'ring') or contains(p_name, 'ue b')")
 def q_in_wildcard(t: Tables) -> DataFrame:
-    return t("part").where(where(Op.IN_WILDCARD, "p_type", "STEEL", "100%").column()).select("p_partkey")
+    return t("part").where(where(Op.IN_WILDCARD, "p_name", "ring", "ue b").column()).select("p_partkey")
 
 
 @query("q_not_wildcard", "P14", "select news_id from finance_news where not coalesce(contains(company, '医'), false)")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalogue.registry import Tables, query
+from tessella.catalogue.similarity import HEAD_ORDER
 from tessella.functions.text import remove_controls
 from tessella.operators import documents as D
 from tessella.operators import inference as I
@@ -89,13 +94,23 @@ def q_versions(t: Tables) -> DataFrame:
     return I.VERSIONS["v1"](t("region")).select("r_regionkey", "r_name")
 
 
-@query("q_head_changes", "Z02 V12")
+_GROUP = "case when coalesce(company <> '' and round <> '' and amount <> '', false) then company || chr(1) || round || chr(1) || amount else chr(2) || e end"
+_LATE = "news_id % 2 = 1"
+
+
+@query(
+    "q_head_changes",
+    "Z02 V12",
+    f"""with n as (select *, lpad(cast(news_id as varchar), 12, '0') as e from finance_news), g as (select *, {_GROUP} as grp, coalesce({_LATE}, false) as late from n),
+    b as (select e, first_value(e) over (partition by grp order by {HEAD_ORDER}) as was from g where not late), a as (select e, first_value(e) over (partition by grp order by {HEAD_ORDER}) as head from g)
+    select a.e as esid, a.head, b.was from a join b on a.e = b.e where a.head <> b.was""",
+)
 def q_head_changes(t: Tables) -> DataFrame:
-    """Heads after a late batch: news whose head is another one than before it."""
+    """Heads after a late batch (every other news): news whose head is another one than before it."""
     from tessella.operators.similar import elect_heads
 
     n = t("finance_news").withColumn("esid", F.lpad(F.col("news_id").cast("string"), 12, "0"))
-    before = elect_heads(n.where("news_id % 10 <> 0")).select("esid", F.col("head").alias("was"))
+    before = elect_heads(n.where(f"not coalesce({_LATE}, false)")).select("esid", F.col("head").alias("was"))
     return elect_heads(n).select("esid", "head").join(before, "esid").where("head <> was")
 
 
@@ -148,13 +163,32 @@ def q_list_files(t: Tables) -> DataFrame:
     return S.list_files(t.spark, t.directory, "nation.parquet").agg(F.least(F.count("*"), F.lit(1)).cast("int").alias("n_tables"))
 
 
-@query("q_batches", "S03 S07", "select count(*) as seen from nation")
+@query("q_batches", "S03 S07", "select count(*) as seen, cast(sum(o_orderkey) as bigint) as keys from orders")
 def q_batches(t: Tables) -> DataFrame:
-    def see(batches) -> None:
-        for _ in batches:
-            pass
+    keys = t.spark.sparkContext.accumulator(0)
 
-    return t.spark.createDataFrame([(S.for_each_partition(t("nation"), see),)], "seen bigint")
+    def see(batches) -> None:
+        for batch in batches:
+            keys.add(int(batch["o_orderkey"].sum()))
+
+    seen = S.for_each_partition(t("orders").select("o_orderkey"), see)
+    return t.spark.createDataFrame([(seen, keys.value)], "seen bigint, keys bigint")
+
+
+@query("q_unzip", "S31 S30", "select n_nationkey, n_name from nation")
+def q_unzip(t: Tables) -> DataFrame:
+    """Archives in archives, as they come from a download: packed here, unpacked below the shared folder, read by extension."""
+    packed = scratch(t.spark).removeprefix("file:")
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("sub/nations.csv", t("nation").select("n_nationkey", "n_name").toPandas().to_csv(index=False, header=False, sep="|"))
+    Path(packed).mkdir(parents=True)
+    with zipfile.ZipFile(f"{packed}/outer.zip", "w") as z:
+        z.writestr("inner.zip", inner.getvalue())
+        z.writestr("readme.txt", "no table")
+    S.unzip(packed, f"{packed}/out")
+    files = [r.path for r in S.list_files(t.spark, f"{packed}/out", "*.csv").select("path").collect()]
+    return t.spark.read.schema("n_nationkey bigint, n_name string").option("sep", "|").csv(files)
 
 
 @query("q_resumed_slices", "Z04", "select o_orderkey, o_totalprice * 2 as doubled from orders")

@@ -77,10 +77,13 @@ def q_dedup_contain(t: Tables) -> DataFrame:
     return V.contained_titles(t("finance_news"), "news_id", "title")
 
 
-@query("q_trigram_overlap", "V15 T06", "select news_id, false as blocked from finance_news where title is not null and 1 = 0 union all select news_id, true from finance_news where title is not null")
+@query("q_trigram_overlap", "V15 T06", "with w as (select p_partkey, string_split(lower(p_name || ' of ' || replace(p_brand, '#', '') || ' with ' || p_type), ' ') as t from part), g as (select p_partkey, list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) as g from w) select a.p_partkey, list_has_any(a.g, b.g) as blocked from g a join g b on b.p_partkey = a.p_partkey + 1")
 def q_trigram_overlap(t: Tables) -> DataFrame:
-    n = t("finance_news").where("title is not null")
-    return n.select("news_id", V.blocks_trigram(F.col("title"), F.concat(F.lit("x "), "title")).alias("blocked"))
+    """Whether each part's description shares a trigram with the next part's."""
+    described = F.concat_ws(" ", "p_name", F.lit("of"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.lit("with"), "p_type")
+    p = t("part").select("p_partkey", described.alias("d"))
+    following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("d").alias("e"))
+    return p.join(following, "p_partkey").select("p_partkey", V.blocks_trigram(F.col("d"), F.col("e")).alias("blocked"))
 
 
 @query("q_minhash", "V09 V15")
@@ -89,7 +92,7 @@ def q_minhash(t: Tables) -> DataFrame:
 
 
 _RANK = "case resource " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(V.SOURCES)) + " end"
-_HEAD_ORDER = f"coalesce(try_cast(is_publish as integer), 0) desc, coalesce(try_cast(is_new as integer), 1) asc, {_RANK} asc nulls last, publish_date asc nulls last, e"
+HEAD_ORDER = f"coalesce(try_cast(is_publish as integer), 0) desc, coalesce(try_cast(is_new as integer), 1) asc, {_RANK} asc nulls last, publish_date asc nulls last, e"
 
 
 def _news(t: Tables) -> DataFrame:
@@ -97,7 +100,7 @@ def _news(t: Tables) -> DataFrame:
     return t("finance_news").withColumn("esid", F.lpad(F.col("news_id").cast("string"), 12, "0"))
 
 
-@query("q_head_election", "W01 V12", f"with n as (select *, lpad(cast(news_id as varchar), 12, '0') as e, case when coalesce(company <> '' and round <> '' and amount <> '', false) then company || chr(1) || round || chr(1) || amount else chr(2) || lpad(cast(news_id as varchar), 12, '0') end as g from finance_news) select e as esid, first_value(e) over w as head, first_value(e) over w = e as is_head from n window w as (partition by g order by {_HEAD_ORDER})")
+@query("q_head_election", "W01 V12", f"with n as (select *, lpad(cast(news_id as varchar), 12, '0') as e, case when coalesce(company <> '' and round <> '' and amount <> '', false) then company || chr(1) || round || chr(1) || amount else chr(2) || lpad(cast(news_id as varchar), 12, '0') end as g from finance_news) select e as esid, first_value(e) over w as head, first_value(e) over w = e as is_head from n window w as (partition by g order by {HEAD_ORDER})")
 def q_head_election(t: Tables) -> DataFrame:
     return V.elect_heads(_news(t)).select("esid", "head", "is_head")
 
@@ -105,7 +108,7 @@ def q_head_election(t: Tables) -> DataFrame:
 @query(
     "q_fold_week", "V12 J15 W01",
     f"""with n as (select *, lpad(cast(news_id as varchar), 12, '0') as e from finance_news), q as (select e as article_id, publish_date as d, nullif(company, '') as qc, nullif(round, '') as qr, nullif(amount, '') as qa from n where news_id % 20 = 0 and publish_date is not null),
-    f as (select article_id, e, row_number() over (partition by article_id order by {_HEAD_ORDER}) as r from q join n on n.publish_date between d - 604800000 and d + 86400000 and (qc is null or qc = company) and (qr is null or coalesce(qr = round, false)) and (qa is null or coalesce(qa = amount, false)) and coalesce(label <> '非相关', true) and coalesce(is_new <> '-1', true))
+    f as (select article_id, e, row_number() over (partition by article_id order by {HEAD_ORDER}) as r from q join n on n.publish_date between d - 604800000 and d + 86400000 and (qc is null or qc = company) and (qr is null or coalesce(qr = round, false)) and (qa is null or coalesce(qa = amount, false)) and coalesce(label <> '非相关', true) and coalesce(is_new <> '-1', true))
     select q.article_id, coalesce(f.e, q.article_id) as head, coalesce(f.e, q.article_id) = q.article_id as is_head from q left join f on f.article_id = q.article_id and f.r = 1""",
 )
 def q_fold_week(t: Tables) -> DataFrame:

@@ -169,10 +169,12 @@ def q_fraction_windows(t: Tables) -> DataFrame:
     return _docs(t).where("text is not null").select("doc_id", F.posexplode(T.fraction_windows(F.col("text"), 300)).alias("pos", "c")).select("doc_id", "pos", F.md5("c").alias("h"))
 
 
-@query("q_chunk_entities", "K11 C22", "with w as (select doc_id, substring(text, 1, 400) as chunk from documents where text is not null) select doc_id, array_to_string(list_filter(['placebo', 'gene therapy', 'asthma', 'phase'], lambda e: contains(chunk, e)), '|') as found from w")
+@query("q_chunk_entities", "K11 C22", "with w as (select doc_id, pos, substring(text, cast(pos * 400 + 1 as bigint), 400) as chunk from (select doc_id, text, unnest(range(greatest(1, cast(ceil(length(text) / 400) as bigint)))) as pos from documents where text is not null)) select doc_id, pos, array_to_string(list_filter(['placebo', 'gene therapy', 'asthma', 'phase'], lambda e: contains(chunk, e)), '|') as found from w")
 def q_chunk_entities(t: Tables) -> DataFrame:
     words = F.array(*map(F.lit, ("placebo", "gene therapy", "asthma", "phase")))
-    return _docs(t).where("text is not null").select("doc_id", F.array_join(T.entities_inside(F.substring("text", 1, 400), words), "|").alias("found"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / 400).cast("int") - 1)), lambda i: F.substring(F.col("text"), i * 400 + 1, F.lit(400)))
+    pieces = _docs(t).where("text is not null").select("doc_id", F.posexplode(chunks).alias("pos", "chunk"))
+    return pieces.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.array_join(T.entities_inside(F.col("chunk"), words), "|").alias("found"))
 
 
 @query("q_chunk_merge", "K12 K13 K20", "with e as (select user_id, list(distinct event_type order by event_type) as parts from events group by 1) select user_id, array_to_string(list_filter(parts, lambda x: x <> 'view'), '|') as merged from e")
@@ -222,7 +224,15 @@ def q_table_map(t: Tables) -> DataFrame:
     return rows.select("c_nationkey", F.get(X.table_lookup(table, "^auto"), F.lit(0)).alias("automobile")).where("automobile is not null")
 
 
-@query("q_claim_refs", "C06 F12")
+@query(
+    "q_claim_refs",
+    "C06 F12",
+    r"""
+    with p as (select claim_id, claim_text as t, '(?i)claims?\s+(\d+)\s*(?:-|–|to|through)\s*(\d+)|权利要求(\d+)\s*[-–~～至到]\s*(\d+)' as f, '(?i)claims?\s+(\d+(?:\s*(?:,|or|and|或|和|、)\s*\d+)*)|权利要求(\d+(?:\s*(?:,|or|and|或|和|、)\s*(?:权利要求)?\d+)*)' as l from patent_claim where claim_text is not null),
+    g as (select claim_id, try_cast(regexp_extract(t, f, 1) || regexp_extract(t, f, 3) as integer) as lo, try_cast(regexp_extract(t, f, 2) || regexp_extract(t, f, 4) as integer) as hi, list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(t, l, 1) || regexp_extract(t, l, 2), '\d+'), lambda x: cast(x as integer)))) as listed from p)
+    select claim_id, array_to_string(case when lo is not null and hi is not null then range(least(lo, hi), greatest(lo, hi) + 1) else listed end, ',') as refs from g
+    """,
+)
 def q_claim_refs(t: Tables) -> DataFrame:
     return t("patent_claim").where("claim_text is not null").select("claim_id", F.array_join(F.transform(X.claim_parents(F.col("claim_text")), lambda x: x.cast("string")), ",").alias("refs"))
 
@@ -239,7 +249,7 @@ def q_values_to_ranges(t: Tables) -> DataFrame:
     return listed.select("l_orderkey", X.values_to_ranges(F.col("n")).alias("ranges"))
 
 
-@query("q_document_number", "C09 C11")
+@query("q_document_number", "C09 C11", r"select news_id, nullif(regexp_extract('<p>' || title || '</p><p>药监〔2021〕' || news_id || '号</p>', '>\s*([^<>]{1,20}[〔\[（(]\d{4}[〕\]）)]\s*\d+\s*号)\s*<', 1), '') as number, string_split(concat_ws('||', resource, round, amount), '||')[2] as second from finance_news")
 def q_document_number(t: Tables) -> DataFrame:
     html = F.concat(F.lit("<p>"), "title", F.lit("</p><p>药监〔2021〕"), F.col("news_id").cast("string"), F.lit("号</p>"))
     return t("finance_news").select("news_id", X.document_number(html).alias("number"), X.part(F.concat_ws("||", "resource", "round", "amount"), "||", 2).alias("second"))
@@ -281,10 +291,9 @@ def q_valid_date(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", X.valid_date(d).alias("ok"))
 
 
-@query("q_combination_key", "C17 C37", "select o_orderkey, 'US' || left(cast(o_orderkey * 1000 as varchar), length(cast(o_orderkey * 1000 as varchar)) - 1) || 'A' as combo, cast(1988 + 5 as varchar) || lpad(cast(o_orderkey as varchar), 6, '0') as western from orders where o_orderkey < 1000000")
+@query("q_combination_key", "C17 C37", "select o_orderkey, 'US' || left(cast(o_orderkey * 1000 as varchar), length(cast(o_orderkey * 1000 as varchar)) - 1) || 'A' as combo, cast(1988 + 5 as varchar) || lpad(cast(o_orderkey as varchar), 6, '0') as western from orders")
 def q_combination_key(t: Tables) -> DataFrame:
-    o = t("orders").where("o_orderkey < 1000000")
-    return o.select("o_orderkey", X.combination_key(F.lit("US"), (F.col("o_orderkey") * 1000).cast("string")).alias("combo"), X.western_number(F.concat(F.lit("平05-"), F.col("o_orderkey").cast("string"))).alias("western"))
+    return t("orders").select("o_orderkey", X.combination_key(F.lit("US"), (F.col("o_orderkey") * 1000).cast("string")).alias("combo"), X.western_number(F.concat(F.lit("平05-"), F.col("o_orderkey").cast("string"))).alias("western"))
 
 
 @query("q_softmax", "C18", "select vec_id, round(exp(embedding[1]) / (exp(embedding[1]) + exp(embedding[2]) + exp(embedding[3])), 6) as p from embeddings")

@@ -12,6 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.pairs import GROUP_BLOCK, split_join
+from tessella.plans.runtime import cut
+
 
 def draw(key: Column | str, seed: int = 0) -> Column:
     """A draw as 32 hexadecimal digits."""
@@ -137,14 +140,15 @@ def hard_negatives(hits: DataFrame, positives: DataFrame, query: str, item: str,
 
 
 def soft_labels(df: DataFrame, entity: str) -> DataFrame:
-    """``df`` with ``label`` = 1 / number of rows of the entity."""
-    return df.withColumn("label", 1 / F.count("*").over(Window.partitionBy(entity)))
+    """``df`` with ``label`` = 1 / number of rows of the entity; null for a null entity."""
+    sizes = df.groupBy(entity).agg((1 / F.count("*")).alias("label"))
+    return split_join(df, sizes, entity, "left")
 
 
 def positive_pairs(names: DataFrame, entity: str, name: str) -> DataFrame:
     """``(entity, a, b)``: all pairs of different names of one entity, ascending; the pairs are the result asked for."""
     a, b = names.select(entity, F.col(name).alias("a")).distinct(), names.select(entity, F.col(name).alias("b")).distinct()
-    return a.join(b, entity).where("a < b").select(entity, "a", "b")
+    return split_join(a, b, entity, block=GROUP_BLOCK).where("a < b").select(entity, "a", "b")
 
 
 def fake_pairs(queries: DataFrame, dictionary: DataFrame, positives: DataFrame, query: str, entry: str) -> DataFrame:
@@ -164,7 +168,11 @@ def label_map(df: DataFrame, label: str, by_frequency: bool = True) -> DataFrame
     """``(label, number)`` from 0, by falling frequency then name, or by name."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     order = [F.desc("n"), F.asc(label)] if by_frequency else [F.asc(label)]
-    return counts.select(label, (F.row_number().over(Window.orderBy(*order)) - 1).alias("number"))
+    # Sorted over tasks; a row's number is that of its task's first row and its place there.
+    placed = cut(counts.orderBy(*order).select(label, F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i")))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    begin = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))
+    return placed.join(F.broadcast(begin), "__p").select(label, (F.col("__b") + F.col("__i")).cast("int").alias("number"))
 
 
 def validate(df: DataFrame, texts: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
@@ -208,8 +216,9 @@ def hierarchy_negatives(names: DataFrame, closed: DataFrame, aunt_rows: DataFram
 
 def settle_contradictions(df: DataFrame, text: str, label: str) -> DataFrame:
     """Texts that carry different labels are labelled 1 throughout."""
-    w = Window.partitionBy(text)
-    return df.withColumn(label, F.when(F.min(label).over(w) != F.max(label).over(w), F.lit(1)).otherwise(F.col(label)))
+    torn = df.groupBy(text).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi")).where("__lo <> __hi").select(text, F.lit(True).alias("__torn"))
+    out = split_join(df, torn, text, "left")
+    return out.withColumn(label, F.when(F.col("__torn"), F.lit(1)).otherwise(F.col(label))).select(*df.columns)
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

@@ -170,11 +170,14 @@ def clean_content_labels(labels: Column, title: Column, unwanted: Sequence[str]
 def best_synonym(names: DataFrame, synonyms: DataFrame, key: str, name: str, term: str = "term", synonym: str = "name") -> DataFrame:
     """``(key, term, ratio)``: the term whose synonym has the greatest edit ratio to the name, ties by term.
 
-    The names are the stated query set; the dictionary's size is checked before
-    it is broadcast to them.
+    Each different name is rated once, however often it stands; the
+    dictionary's size is checked before it is broadcast to the names. A null
+    name has no ratio.
     """
+    from tessella.plans.pairs import split_join
     from tessella.plans.runtime import broadcast_if_small
 
-    pairs = names.select(key, name).join(broadcast_if_small(synonyms.select(F.col(term).alias("term"), F.col(synonym).alias("__s"))), F.lit(True))
+    pairs = names.select(name).distinct().join(broadcast_if_small(synonyms.select(F.col(term).alias("term"), F.col(synonym).alias("__s"))), F.lit(True))
     rated = pairs.withColumn("ratio", F.round(extract.edit_ratio_column(F.col(name), F.col("__s")), 6))
-    return rated.groupBy(key).agg(F.min_by(F.struct("term", "ratio"), F.struct(-F.col("ratio"), F.col("term"))).alias("x")).select(key, "x.term", "x.ratio")
+    best = rated.groupBy(name).agg(F.min_by(F.struct("term", "ratio"), F.struct(-F.col("ratio"), F.col("term"))).alias("x"))
+    return split_join(names.select(key, name), best, name, "left").select(key, "x.term", "x.ratio")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessella.operators.components import components
+from tessella.plans.pairs import pairs_within, split_join
 from tessella.plans.query import tokens
 from tessella.plans.runtime import let, spread
 
@@ -275,9 +276,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
     """``(key, class_id, links)``: classes of texts whose word 5-gram sets have a Jaccard similarity of ``least`` or more.
 
     Exact copies are folded first, so a hot text is one row. MinHash bands give
-    candidates: texts of a band are linked to the band's least text only where
-    the exact similarity holds, and pairs within a band are compared through an
-    equi-join whose hot buckets are dealt out. A pair at 0.8 meets with
+    candidates: all different texts of a band are compared, through an equi-join
+    whose hot buckets are dealt out, and linked where the exact similarity holds. A pair at 0.8 meets with
     probability 1 - (1 - 0.8^4)^24 > 0.9999. ``links`` counts the different
     texts at ``least`` or more. Texts without words stand alone.
     """
@@ -286,8 +286,6 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
     sets = sets.withColumn("h", F.when(F.size("s") > 0, F.xxhash64(F.array_sort("s"))))
     folded = sets.where("h is not null").groupBy("h").agg(F.min("k").alias("head"), F.min_by("s", "k").alias("s"))
     members = spread(folded.select("head", "s")).select("head", F.explode(_band_hashes(bands, rows)("s")).alias("b"))
-    from tessella.plans.pairs import pairs_within
-
     pairs = pairs_within(members, "b", "head", "a", "b")
     left, right = folded.select(F.col("head").alias("a"), F.col("s").alias("sa")), folded.select(F.col("head").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -323,9 +321,13 @@ def elect_heads(news: DataFrame, keys: Sequence[str] = ("company", "round", "amo
     """``news`` with ``head`` (the id of its group's head) and ``is_head``; rows that lack a key are heads of their own."""
     known = functools.reduce(lambda a, b: a & b, [F.coalesce(F.col(k) != "", F.lit(False)) for k in keys])
     group = F.when(known, F.concat_ws("\u0001", *keys)).otherwise(F.concat(F.lit("\u0002"), F.col("esid")))
-    w = Window.partitionBy("__g").orderBy(*head_order(sources))
-    out = news.withColumn("__g", group).withColumn("head", F.first("esid").over(w))
-    return out.withColumn("is_head", F.col("head") == F.col("esid")).drop("__g")
+    # The least by the order, found where the rows lie: a hot group is no window of one task.
+    rank, late = source_rank(F.col("resource"), sources), F.lit(2**63 - 1).cast("bigint")
+    order = F.struct((-F.coalesce(F.col("is_publish").try_cast("int"), F.lit(0))).alias("a"), F.coalesce(F.col("is_new").try_cast("int"), F.lit(1)).alias("b"), F.coalesce(rank.cast("bigint"), late).alias("c"), F.coalesce(F.col("publish_date").cast("bigint"), late).alias("d"), F.col("esid").alias("e"))
+    marked = news.withColumn("__g", group)
+    heads = marked.groupBy("__g").agg(F.min(order)["e"].alias("head"))
+    out = split_join(marked, heads, "__g").select(*news.columns, "head")
+    return out.withColumn("is_head", F.col("head") == F.col("esid"))
 
 
 def fold_candidates(requests: DataFrame, history: DataFrame, back: int = 7, ahead: int = 1) -> DataFrame:

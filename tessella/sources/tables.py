@@ -97,7 +97,7 @@ def xml_rows(spark: SparkSession, path: str, tag: str, schema: str | StructType
     """
     reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true")
     files = [r[0] for r in list_files(spark, path).select("path").orderBy("path").collect()][skip:] if skip else [path]
-    df = (reader.schema(schema) if schema else reader).load(",".join(files))
+    df = (reader.schema(schema) if schema else reader).load(files)
     if into:
         df.write.mode("overwrite").option("maxRecordsPerFile", per_file).option("compression", "gzip").option("header", True).csv(into)
     return df

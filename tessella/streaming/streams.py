@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -61,7 +63,10 @@ _STATE_SCHEMA = "ids array<string>, dates array<bigint>, ranks array<string>, cl
 
 
 def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's news against those of the week before: the cluster of the first match, or a new one; the head is the one of the least rank so far."""
+    """One key's news against those of the week before: the cluster of the first match, or a new one; the head is the one of the least rank so far.
+
+    A better head that comes later withdraws the one before: that one's row comes out again, without headship.
+    """
     if state.hasTimedOut:
         state.remove()
         return
@@ -73,13 +78,16 @@ def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
                 continue
             near = [i for i, d in enumerate(dates) if abs(d - row.publish_date) < _WEEK]
             cluster = clusters[near[0]] if near else row.esid
+            before = min(((r, x, d) for r, x, c, d in zip(ranks, ids, clusters, dates) if c == cluster), default=None)
             ids.append(row.esid)
             dates.append(int(row.publish_date))
             ranks.append(row.rank)
             clusters.append(cluster)
             seen.add(row.esid)
-            head = min((r, x) for r, x, c in zip(ranks, ids, clusters) if c == cluster)[1]
-            out.append((row.esid, int(row.publish_date), cluster, head == row.esid))
+            leads = before is None or (row.rank, row.esid) < before[:2]
+            out.append((row.esid, int(row.publish_date), cluster, leads))
+            if leads and before is not None:
+                out.append((before[1], before[2], cluster, False))
     # What is two weeks older than the newest can't match again: state stays bounded by a key's fortnight.
     newest = max(dates, default=0)
     kept = [i for i, d in enumerate(dates) if newest - d < 2 * _WEEK]
@@ -95,9 +103,15 @@ def rank_text(sources: Sequence[str] = SOURCES) -> Column:
 
 
 def fold_stream(news: DataFrame, keys: Sequence[str] = ("company", "round", "amount"), late: str = "7 days") -> DataFrame:
-    """``(esid, publish_date, cluster, is_head)`` of a stream of news (columns of the folding record): state per key, a week's window, late data up to ``late``."""
+    """``(esid, publish_date, cluster, is_head)`` of a stream of news (columns of the folding record): state per key, a week's window, late data up to ``late``.
+
+    Rows are changes: of several of one esid the last counts, as a head that a
+    later one outranks comes out again with ``is_head`` false. News that lack
+    one of the keys, null or empty, are clusters of their own.
+    """
     timed = news.where(F.col("publish_date").isNotNull() & F.col("esid").isNotNull()).withColumn("time", F.timestamp_millis("publish_date")).withColumn("rank", rank_text()).withWatermark("time", late)
-    group = F.concat_ws("\u0001", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
+    known = functools.reduce(lambda a, b: a & b, [F.coalesce(F.col(k) != "", F.lit(False)) for k in keys])
+    group = F.when(known, F.concat_ws("\u0001", *keys)).otherwise(F.concat(F.lit("\u0002"), F.col("esid")))
     return timed.withColumn("key", group).select("key", "esid", "publish_date", "rank", "time").groupBy("key").applyInPandasWithState(_fold_group, CLUSTER_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -30,6 +30,24 @@ def test_fold(spark, tmp_path):
     assert got["b"][1] and not got["c"][1]
 
 
+def test_fold_withdraws_heads(spark, tmp_path):
+    """A better head that comes later leaves one head; news without all keys stay alone, as in the batch form."""
+    rows = [[news("a", 0), news("n", 0, company=None), news("m", 1, company="")], [news("z", 2, resource="医药魔方"), news("o", 2, company=None)]]
+    for batch in rows:
+        spark.createDataFrame(batch, NEWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = Z.fold_stream(Z.file_stream(spark, str(tmp_path / "in"), NEWS, per_trigger=1))
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda df, i: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {}
+    for esid, _, cluster, head in seen:
+        last[esid] = (cluster, head)
+    assert last["a"][0] == last["z"][0] and [x for x in ("a", "z") if last[x][1]] == ["z"]
+    assert all(last[x] == (x, True) for x in "nmo")
+    batch = {r.esid: r.is_head for r in elect_heads(spark.createDataFrame(sum(rows, []), NEWS)).collect()}
+    assert batch == {k: v[1] for k, v in last.items()}
+
+
 def test_windows_stream_equals_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, start + dt.timedelta(minutes=7 * i), f"u{i % 3}") for i in range(60)]
