@@ -11,14 +11,14 @@ the corpus knows. ``repairs`` lists what is wrong, ``paragraphs`` gives the text
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.runtime import cut, spread
+from tessella.plans.pairs import split_join
+from tessella.plans.runtime import broadcast_if_small, cut, spread
 
 # Hyphens at the end of a line.
 HYPHENS = "-‐‑­¬"
@@ -28,8 +28,6 @@ MORE_STROKES = {"ii": "nuúùûüñ", "iii": "m", "vv": "w", "ci": "d", "ti": "
 _STROKES = str.maketrans({g: strokes for table in (ONE_STROKE, MORE_STROKES) for strokes, glyphs in table.items() for g in glyphs})
 #: A form must be so many times as frequent as the one it replaces; with signs inside the word, and from the ratio on which context is not asked.
 RATIO, RATIO_NOISE, RATIO_SURE, RATIO_SHORT = 4.0, 1.0, 60.0, 30.0
-#: Words that a worker may be told to be sound: only to keep rows from moving, of no effect on the result.
-TRUSTED_WORDS = 50_000
 #: Page numbers of a file that one task orders.
 PAGE_SLICE = 1024
 _CJK = "぀-ヿ㐀-鿿"
@@ -219,13 +217,15 @@ def _mask(token: str) -> str:
     return re.sub(r"\d+", "#", _bare(token))
 
 
-def _word_rows(batch: pd.DataFrame) -> Iterator[tuple]:
-    for p, f, n, field, text, dropped in zip(batch["page_id"], batch["pdf_name"], batch["page_number"], batch["field"], batch["body"], batch["dropped"]):
-        yield int(p), f, int(n), field, _tokens(text, set() if dropped is None else {int(x) for x in dropped}, field == "text")
+#: A field's tokens as parallel arrays: unbroken words, broken ones, the head left open at the end, the first token held back.
+_TOKENS_SCHEMA = "field string, page_id bigint, pdf string, number int, lines array<int>, words array<string>, lefts array<string>, rights array<string>, at array<int>, heads array<string>, tails array<string>, o_line int, o_head string, f_line int, f_token string, f_part string, f_right string"
 
 
-_V_SCHEMA = "word string, other string, n bigint"
-_O_SCHEMA = "kind string, page_id bigint, pdf string, number int, field string, line_no int, a string, b string, c string"
+def _token_row(page: int, pdf: str, number: int, field: str, text: str, dropped: object) -> tuple:
+    words, broken, opened, first = _tokens(text, set() if dropped is None else {int(x) for x in dropped}, field == "text")
+    lines, plain, lefts, rights = (list(x) for x in zip(*words)) if words else ([], [], [], [])
+    at, heads, tails = (list(x) for x in zip(*broken)) if broken else ([], [], [])
+    return (field, page, pdf, number, lines, plain, lefts, rights, at, heads, tails, *(opened or (None, None)), *(first or (0, "", "", "")))
 
 
 def _skeleton_column(word: Column) -> Column:
@@ -280,48 +280,34 @@ def findings(pages: DataFrame) -> DataFrame:
     figures = source.where(F.length("data") > 0).select("page_id", "pdf_name", "page_number", F.lit("data").alias("field"), F.col("data").alias("body"), F.lit(None).cast("array<int>").alias("dropped"))
     fields = spread(texts.unionByName(figures))
 
-    columns = [x.split()[0] for x in _O_SCHEMA.split(", ")]
+    columns = [x.split()[0] for x in _TOKENS_SCHEMA.split(", ")]
 
-    def edge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p, f, n, field, (_, _, opened, first) in _word_rows(batch):
-                if opened:
-                    rows.append(("open", p, f, n, field, opened[0], opened[1], "", ""))
-                rows.append(("first", p, f, n, field, *(first or (0, "", "", ""))))
-            yield pd.DataFrame(rows, columns=columns)
+            rows = [_token_row(int(p), f, int(n), field, text, dropped) for p, f, n, field, text, dropped in zip(batch["page_id"], batch["pdf_name"], batch["page_number"], batch["field"], batch["body"], batch["dropped"])]
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({"o_line": "Int32", "f_line": "Int32"})
 
-    edges = cut(fields.where("field = 'text'").mapInPandas(edge, _O_SCHEMA))
+    # One pass in Python; all that follows reads its arrays.
+    tokens = cut(fields.mapInPandas(tokenise, _TOKENS_SCHEMA))
+    edges = tokens.where("field = 'text'")
 
     # Broken at the end of a page: the next page of the file that has text.
-    firsts = edges.where("kind = 'first'").groupBy("pdf", "number").agg(F.min(F.when(F.col("a") != "", F.col("a"))).alias("tail"))
+    firsts = edges.groupBy("pdf", "number").agg(F.min(F.when(F.col("f_token") != "", F.col("f_token"))).alias("tail"))
     ahead = next_pages(firsts).where("next is not null").join(firsts.select("pdf", F.col("number").alias("next"), "tail"), ["pdf", "next"]).where("tail is not null")
-    crossing = cut(edges.where("kind = 'open'").select("page_id", "pdf", "number", "line_no", "a").join(ahead, ["pdf", "number"]).select("page_id", "pdf", F.col("next").alias("at"), "line_no", "a", F.col("tail").alias("b")))
+    crossing = cut(edges.where("o_head is not null").select("page_id", "pdf", "number", F.col("o_line").alias("line_no"), F.col("o_head").alias("a")).join(ahead, ["pdf", "number"]).select("page_id", "pdf", F.col("next").alias("at"), "line_no", "a", F.col("tail").alias("b")))
     # A page's first token is a whole word unless the page before left one open.
-    begun = edges.where("kind = 'first' and a <> '' and line_no > 0")
+    begun = edges.where("f_token <> '' and f_line > 0").select("field", "page_id", "pdf", "number", F.col("f_line").alias("line_no"), F.col("f_token").alias("a"), F.col("f_part").alias("b"), F.col("f_right").alias("c"))
     begun = begun.join(crossing.select("pdf", F.col("at").alias("number")).distinct(), ["pdf", "number"], "left_anti")
     bare = lambda x: F.lower(F.regexp_replace(x, r"^[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+|[.,;:()\[\]{}\"'„“”‚‘’«»‹›?…–—*]+$", ""))
     masked = lambda x: F.regexp_replace(x, r"\d+", "#")
     begun = begun.select("field", "page_id", "line_no", bare(F.col("a")).alias("word"), F.lit("").alias("left"), F.col("c").alias("right"), (F.col("b") == "broken").alias("part"))
-    whole = begun.where(~F.col("part") & F.col("word").rlike(r"\p{L}"))
+    whole = begun.where(~F.col("part") & F.col("word").rlike(r"\p{L}")).drop("part")
+    running = tokens.select("field", "page_id", F.explode(F.arrays_zip("lines", "words", "lefts", "rights")).alias("x")).select("field", "page_id", F.col("x.lines").alias("line_no"), F.col("x.words").alias("word"), F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"))
     pair = lambda l, r: F.struct(l.alias("word"), r.cast("string").alias("other"))
     after = F.when(F.col("right") != "", pair(masked(F.col("word")), F.concat(F.lit("\t"), "right")))
-    begun_counts = whole.select(F.explode(F.array_compact(F.array(pair(F.col("word"), F.lit(None)), pair(F.lit(""), masked(F.col("word"))), after))).alias("x")).select("x.word", "x.other", F.lit(1).cast("bigint").alias("n"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words: Counter = Counter()
-            pairs: Counter = Counter()
-            for *_, (found, _, _, _) in _word_rows(batch):
-                for _, word, left, right in found:
-                    words[word] += 1
-                    pairs[left, _mask(word)] += 1
-                    if right:
-                        pairs[_mask(word), "\t" + right] += 1
-            rows = [(w, None, n) for w, n in words.items()] + [(a, b, n) for (a, b), n in pairs.items()]
-            yield pd.DataFrame(rows, columns=["word", "other", "n"])
-
-    counted = cut(fields.mapInPandas(count, _V_SCHEMA).unionByName(begun_counts).groupBy("word", "other").agg(F.sum("n").alias("n")))
+    said = running.unionByName(whole).select(F.explode(F.array_compact(F.array(pair(F.col("word"), F.lit(None)), pair(F.col("left"), masked(F.col("word"))), after))).alias("x"))
+    counted = cut(said.groupBy("x.word", "x.other").agg(F.count("*").alias("n")))
     vocabulary = counted.where("other is null").select("word", "n").withColumn("s", _skeleton_column(F.col("word")))
     # (left, right) as one key; a right neighbour is kept apart by its mark.
     context = counted.where("other is not null").select(F.col("word").alias("l"), F.col("other").alias("r"), "n")
@@ -332,28 +318,12 @@ def findings(pages: DataFrame) -> DataFrame:
     short = F.length("word") <= 3
     enough = F.col("nc") >= F.col("n") * F.when(noisy(F.col("word")), F.lit(RATIO_NOISE)).when(short, F.lit(RATIO_SHORT)).otherwise(F.lit(RATIO))
     ways = cut(several.select("s", "word", "n").join(strong, "s").where((F.col("word") != F.col("c")) & enough & F.col("word").rlike(r"..")).select("word", "n", "c", "nc"))
-    doubted = ways.select("word").distinct()
-    trusted_rows = vocabulary.where("n >= 3").join(doubted, "word", "left_anti").orderBy(F.desc("n"), "word").limit(TRUSTED_WORDS).select("word").collect()
-    trusted = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in trusted_rows))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sound = trusted.value
-        for batch in batches:
-            rows = []
-            for p, f, n, field, (words, broken, _, _) in _word_rows(batch):
-                rows += [("word", p, f, n, field, line, w, left, right) for line, w, left, right in words if w not in sound]
-                rows += [("broken", p, f, n, field, line, a, b, "") for line, a, b in broken]
-            yield pd.DataFrame(rows, columns=columns)
-
-    seen = cut(fields.mapInPandas(emit, _O_SCHEMA))
-
-    broken = seen.where("kind = 'broken'").select("field", "page_id", "line_no", "a", "b", F.lit(False).alias("crossing"))
+    broken = tokens.select("field", "page_id", F.explode(F.arrays_zip("at", "heads", "tails")).alias("x")).select("field", "page_id", F.col("x.at").alias("line_no"), F.col("x.heads").alias("a"), F.col("x.tails").alias("b"), F.lit(False).alias("crossing"))
     broken = broken.unionByName(crossing.select(F.lit("text").alias("field"), "page_id", "line_no", "a", "b", F.lit(True).alias("crossing")))
 
-    occurrences = seen.where("kind = 'word'").select("field", "page_id", "line_no", F.col("a").alias("word"), F.col("b").alias("left"), F.col("c").alias("right"))
-    occurrences = occurrences.unionByName(begun.drop("part"))
-
-    doubtful = occurrences.join(ways, "word")
+    # Only words that another form may replace go on; a frequent one of them is dealt over tasks.
+    occurrences = running.unionByName(begun.drop("part"))
+    doubtful = split_join(occurrences.join(broadcast_if_small(ways.select("word").distinct()), "word", "left_semi"), ways, "word")
 
     def support(df: DataFrame, form: str, into: str) -> DataFrame:
         before = context.where(~F.startswith("r", F.lit("\t"))).select(F.col("l").alias("left"), F.col("r").alias("m"), F.col("n").alias("x1"))
