@@ -10,6 +10,7 @@ record's main language.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ BUCKETS, DIMENSIONS, ORDERS = 1 << 17, 12, (1, 2, 3, 4)
 #: Characters whose subwords are held at once.
 PIECE_CHARS = 1_000_000
 EPOCHS, LEAST_STEPS, RATE, BATCH = 6, 1500, 12.0, 64
+#: The same for the first model, which only tells wrong labels from right ones.
+FIRST_EPOCHS, FIRST_STEPS = 3, 500
 #: Confidence under which a sentence gets no language, and under which not even its record's main language.
 LEAST, LEAST_MAIN = 0.6, 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -112,7 +115,7 @@ class Model:
         return scores / scores.sum(1, keepdims=True)
 
 
-def _descend(sentences: list[str], targets: np.ndarray, classes: int, seed: int) -> np.ndarray:
+def _descend(sentences: list[str], targets: np.ndarray, classes: int, seed: int, least_epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> np.ndarray:
     """Trains embeddings and output layer; their product."""
     rng = np.random.default_rng(seed)
     embedding = (rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
@@ -124,7 +127,7 @@ def _descend(sentences: list[str], targets: np.ndarray, classes: int, seed: int)
     del owners, order
     usable = np.flatnonzero(np.diff(starts) > 0)
     per_epoch = len(usable) // BATCH + 1
-    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    epochs = max(least_epochs, -(-least_steps // per_epoch))
     steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
         rng.shuffle(usable)
@@ -141,9 +144,13 @@ def _descend(sentences: list[str], targets: np.ndarray, classes: int, seed: int)
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), targets[batch]] -= 1
-            back = p @ output.T
+            back = (p @ output.T).astype(np.float32) * np.float32(8 * rate) / sizes[:, None].astype(np.float32)
             output -= rate * (hidden.T @ p)
-            np.subtract.at(embedding, b, (rate * np.repeat(back / sizes[:, None], sizes, 0)).astype(np.float32) * 8)
+            # Subwords of one bucket are added up first: a sparse update touches each bucket once.
+            order = np.argsort(b, kind="stable")
+            b = b[order]
+            heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            embedding[b[heads]] -= np.add.reduceat(back[np.repeat(np.arange(len(batch)), sizes)[order]], heads, 0)
     return embedding @ output
 
 
@@ -151,20 +158,37 @@ def _unaccented(text: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", text) if not unicodedata.combining(x))
 
 
+#: Models that this process has trained, by their sample: a second query over the same rows needn't train again.
+_TRAINED: dict[str, Model | None] = {}
+MODELS_KEPT = 4
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
-    """A model from (code, sentence) rows with noisy codes; None if they name fewer than two languages."""
+    """A model from (code, sentence) rows with noisy codes; None if they name fewer than two languages.
+
+    The same rows and seed give the same model, so it is kept by their digest.
+    """
+    digest = hashlib.md5(repr((seed, rows)).encode()).hexdigest()
+    if digest not in _TRAINED:
+        while len(_TRAINED) >= MODELS_KEPT:
+            _TRAINED.pop(next(iter(_TRAINED)))
+        _TRAINED[digest] = _fit(rows, seed)
+    return _TRAINED[digest]
+
+
+def _fit(rows: list[tuple[str, str]], seed: int) -> Model | None:
     rows = [(c, s) for c, s in rows if has_words(s)]
     languages = sorted({c for c, _ in rows})
     if len(languages) < 2:
         return None
     number = {c: i for i, c in enumerate(languages)}
 
-    def train(pairs: list[tuple[str, str]]) -> Model:
+    def train(pairs: list[tuple[str, str]], *least: int) -> Model:
         # Every other sentence comes without accents too.
         more = pairs + [(c, _unaccented(s)) for c, s in pairs[::2] if not s.isascii() and not _EAST.search(s) and c != "ru"]
-        return Model(languages, _descend([s for _, s in more], np.array([number[c] for c, _ in more]), len(languages), seed))
+        return Model(languages, _descend([s for _, s in more], np.array([number[c] for c, _ in more]), len(languages), seed, *least))
 
-    first = train(rows)
+    first = train(rows, FIRST_EPOCHS, FIRST_STEPS)
     p = first.probabilities([s for _, s in rows])
     agreed = [x for x, q, best in zip(rows, p[np.arange(len(rows)), [number[c] for c, _ in rows]], p.argmax(1)) if languages[best] == x[0] and q > 0.5]
     rng = np.random.default_rng(seed)
