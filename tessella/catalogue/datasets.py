@@ -106,6 +106,12 @@ def q_one_hot(t: Tables) -> DataFrame:
     return own.select("user_id", F.array_join(F.transform(D.one_hot(F.col("own"), ["click", "error", "purchase", "view"]), lambda x: x.cast("string")), "").alias("hot"))
 
 
+@query("q_self_pairs", "V14", "select distinct title as a, title as b, 1 as label from news_body where title is not null and title <> ''")
+def q_self_pairs(t: Tables) -> DataFrame:
+    """The pairs that unsupervised contrastive training starts from: each different sentence with itself."""
+    return D.self_pairs(t("news_body"), "title")
+
+
 @query("q_label_map", "R25", "select p_brand, row_number() over (order by count(*) desc, p_brand) - 1 as number from part where p_brand is not null group by 1")
 def q_label_map(t: Tables) -> DataFrame:
     return D.label_map(t("part"), "p_brand").withColumn("number", F.col("number").cast("bigint"))

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalogue.registry import Tables, query
+from tessella.plans.runtime import scratch
 from tessella.operators import documents as D
 from tessella.operators import inference as I
 
 
-@query("q_dom_nodes", "C27 D11")
+@query("q_dom_nodes", "C27")
 def q_dom_nodes(t: Tables) -> DataFrame:
     return D.nodes_table(t("news_page"), "page_id", "html").select("page_id", "n", "path", "depth", F.md5("text").alias("h"))
 
@@ -179,4 +180,31 @@ def q_topk_blocked(t: Tables) -> DataFrame:
 
 @query("q_answer", "F10")
 def q_answer(t: Tables) -> DataFrame:
-    return I.answer(I.sentence_scores(t("documents").where("lang = 'en'"), "doc_id", "text"), "doc_id")
+    return I.answer(I.sentence_scores(t("documents").where("lang = 'en'"), "doc_id", "text"), "doc_id", F.lit("Which adverse event was most common?"))
+
+
+@query(
+    "q_layout_records",
+    "D11",
+    "select pdf_name, page_number, page_id as block_id, case when block_type is null then 'OtherRegion' else block_type end as type, round(x1_t - x0_t, 4) as width, round(y1_t - y0_t, 4) as height, case when block_type = 'Text' then text when block_type = 'Table' then data when block_type = 'Figure' then 'ImageRegion' else 'OtherRegion' end as data from title_page where x0_t is not null",
+)
+def q_layout_records(t: Tables) -> DataFrame:
+    return D.layout_records(t("title_page").withColumnsRenamed({"x0_t": "x_1", "x1_t": "x_2", "y0_t": "y_1", "y1_t": "y_2", "page_id": "block_id"})).select("pdf_name", "page_number", "block_id", "type", F.round("width", 4).alias("width"), F.round("height", 4).alias("height"), "data")
+
+
+@query("q_file_text", "D01 D03", "select case when n_nationkey % 2 = 0 then n_name else '[no text]' end as text, case when n_nationkey % 2 = 0 then 1 else 0 end as tables from nation")
+def q_file_text(t: Tables) -> DataFrame:
+    """Text and tables of binary files by a stand-in for the caller's library, which fails on every other file."""
+    path = scratch(t.spark)
+    t("nation").select(F.concat_ws("|", F.when(F.col("n_nationkey") % 2 == 0, "good").otherwise("bad"), "n_name").alias("value")).repartition(25, "value").write.option("maxRecordsPerFile", 1).text(path)
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+
+    def read(content: bytes) -> str:
+        kind, _, name = content.decode().strip().partition("|")
+        if kind != "good":
+            raise ValueError("not readable")
+        return name
+
+    texts = D.pdf_text(files, read)
+    tables = D.pdf_tables(files, lambda content: [[[read(content)]]]).groupBy("path").agg(F.count_distinct("table_no").alias("n"))
+    return texts.join(tables, "path", "left").select("text", F.coalesce("n", F.lit(0)).alias("tables"))

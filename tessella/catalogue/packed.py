@@ -9,7 +9,7 @@ from tessella.catalogue.registry import Tables, query
 from tessella.operators import hierarchy, packed
 
 
-@query("p3_found", "C07 R05 K19")
+@query("p3_found", "C07 R05")
 def p3_found(t: Tables) -> DataFrame:
     return packed.packed_values(t("patent_claim"), t("finance_news"))
 

@@ -164,6 +164,12 @@ def q_token_windows(t: Tables) -> DataFrame:
     return _docs(t).where("text is not null").select("doc_id", F.posexplode(T.token_windows(words, 50)).alias("pos", "w")).select("doc_id", "pos", F.size("w").alias("n"))
 
 
+@query("q_fixed_chunks", "K19", "with l as (select l_orderkey, list(l_linenumber order by l_linenumber) as v from lineitem group by 1), e as (select l_orderkey, v, unnest(range(0, len(v), 3)) as b from l) select l_orderkey, cast(b / 3 as bigint) as pos, array_to_string(v[b + 1:b + 3], ',') as chunk from e")
+def q_fixed_chunks(t: Tables) -> DataFrame:
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("v"))
+    return lines.select("l_orderkey", F.posexplode(T.chunks_of(F.col("v"), 3)).alias("pos", "c")).select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), F.array_join("c", ",").alias("chunk"))
+
+
 @query("q_fraction_windows", "K09", "with w as (select doc_id, list_transform(range(0, greatest(1, cast(ceil(length(text) / 300) as bigint))), lambda i: substring(text, greatest(0, cast(trunc((i - 0.1) * 300) as bigint)) + 1, least(length(text), (i + 1) * 300) - greatest(0, cast(trunc((i - 0.1) * 300) as bigint)))) as c from documents where text is not null), e as (select doc_id, unnest(range(len(c))) as pos, unnest(c) as chunk from w) select doc_id, pos, md5(chunk) as h from e")
 def q_fraction_windows(t: Tables) -> DataFrame:
     return _docs(t).where("text is not null").select("doc_id", F.posexplode(T.fraction_windows(F.col("text"), 300)).alias("pos", "c")).select("doc_id", "pos", F.md5("c").alias("h"))

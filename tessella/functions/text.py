@@ -182,6 +182,11 @@ def sentences_zh(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def chunks_of(values: Column, size: int) -> Column:
+    """An array cut into arrays of ``size`` members, the last one shorter; none for an empty array, null for null."""
+    return F.transform(F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(size))).when(values.isNotNull(), F.array().cast("array<int>")), lambda i: F.slice(values, i, F.lit(size)))
+
+
 def sentences_naive(text: Column) -> Column:
     """Sentences with their end marks; text after the last mark is dropped."""
     return F.regexp_extract_all(text, F.lit(r"([^。！!.？?]*[。！!.？?])"), F.lit(1))

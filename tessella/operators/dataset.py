@@ -151,6 +151,12 @@ def positive_pairs(names: DataFrame, entity: str, name: str) -> DataFrame:
     return split_join(a, b, entity, block=GROUP_BLOCK).where("a < b").select(entity, "a", "b")
 
 
+def self_pairs(df: DataFrame, text: str) -> DataFrame:
+    """``(a, b, label)``: each different text that isn't empty paired with itself, label 1; a model's dropout tells the two apart."""
+    said = df.where(F.col(text) != "").select(F.col(text).alias("a")).distinct()
+    return said.select("a", F.col("a").alias("b"), F.lit(1).alias("label"))
+
+
 def fake_pairs(queries: DataFrame, dictionary: DataFrame, positives: DataFrame, query: str, entry: str) -> DataFrame:
     """All query-entry pairs that are no positives; the dictionary's size is checked before it is broadcast."""
     from tessella.plans.runtime import broadcast_if_small

@@ -228,6 +228,22 @@ def before_tables(df: DataFrame, key: str, text: str, table_rows: str) -> DataFr
     return df.select(key).join(out, key, "left").select(key, F.coalesce(text, F.lit("")).alias(text))
 
 
+# What stands for the data of a block that holds no text.
+LAYOUT_DATA = {"Figure": "ImageRegion", "ImageRegion": "ImageRegion", "MathsRegion": "MathsRegion", "SeparatorRegion": "SeparatorRegion"}
+
+
+def layout_records(blocks: DataFrame) -> DataFrame:
+    """``(pdf_name, page_number, block_id, type, x_1, y_1, x_2, y_2, width, height, data)`` of the blocks that a layout model or a scanner's table found.
+
+    Text blocks carry their text, tables their content, others the name of
+    their kind. Blocks without a place fall out; one without a type is an OtherRegion.
+    """
+    kind = F.coalesce("block_type", F.lit("OtherRegion"))
+    lookup = F.create_map(*[F.lit(x) for kv in LAYOUT_DATA.items() for x in kv])
+    data = F.when(kind.isin("Text", "TextRegion", "Title", "List"), F.col("text")).when(kind.isin("Table", "TableRegion"), F.col("data")).otherwise(F.coalesce(F.try_element_at(lookup, kind), F.lit("OtherRegion")))
+    return blocks.where("x_1 is not null").select("pdf_name", "page_number", "block_id", kind.alias("type"), "x_1", "y_1", "x_2", "y_2", (F.col("x_2") - F.col("x_1")).alias("width"), (F.col("y_2") - F.col("y_1")).alias("height"), data.alias("data"))
+
+
 def pdf_text(files: DataFrame, extract, failed: str = "[no text]") -> DataFrame:
     """``(path, text)`` of binary files by a function bytes → text; a failure gives the marker. The library for it is the caller's."""
     @pandas_udf(StringType())

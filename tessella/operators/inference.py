@@ -112,9 +112,19 @@ def summary(scored: DataFrame, key: str, k: int, block: bool = False) -> DataFra
     return scored.select(key, "pos", "sentence", "score").groupBy(key).applyInPandas(choose, f"{key} {kind}, summary string")
 
 
-def answer(scored: DataFrame, key: str) -> DataFrame:
-    """``(key, answer)``: the sentence of the greatest score."""
-    return scored.groupBy(key).agg(F.min_by("sentence", F.struct(-F.col("score"), F.col("pos"))).alias("answer"))
+def answer(scored: DataFrame, key: str, question: Column | None = None) -> DataFrame:
+    """``(key, answer)``: without a model, the sentence that shares most of the question's different words of over two letters, of several the one of the greatest score, then the first.
+
+    Null where no sentence shares a word with the question. Without a question the score alone decides.
+    """
+    from tessella.plans.query import tokens
+
+    long = lambda x: F.filter(F.array_distinct(tokens(x)), lambda w: F.length(w) > 2)
+    shared = F.lit(0) if question is None else F.size(F.array_intersect(long(F.col("sentence")), long(question)))
+    rated = scored.select(key, "sentence", "score", "pos", shared.alias("shared"))
+    said = F.min_by(F.struct("sentence", "shared"), F.struct(-F.col("shared"), -F.col("score"), F.col("pos")))
+    best = rated.groupBy(key).agg(said.alias("x"))
+    return best.select(key, (F.col("x.sentence") if question is None else F.when(F.col("x.shared") > 0, F.col("x.sentence"))).alias("answer"))
 
 
 # ------------------------------------------------------------------ staged pipelines

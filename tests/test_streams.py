@@ -101,6 +101,10 @@ def test_sources(spark, tmp_path):
     assert S.read_sheets(spark, str(tmp_path / "s"), "one", ["k"]).columns == ["k"]
     (tmp_path / "e.xml").write_text("<r><entry dataset='x'><accession>P1</accession><accession>P2</accession></entry><entry><accession>P3</accession></entry></r>")
     assert S.xml_rows(spark, str(tmp_path / "e.xml"), "entry").count() == 2
+    (tmp_path / "many").mkdir()
+    for i in range(3):
+        (tmp_path / "many" / f"{i}.xml").write_text(f"<entries><entry><n>{i}</n></entry><entry><n>{i}</n></entry></entries>")
+    assert [r.n for r in S.xml_rows(spark, str(tmp_path / "many"), "entry", "n int", skip=1).orderBy("n").collect()] == [1, 1, 2, 2]
     from tessella.operators.documents import project_entries, read_entries
 
     got = project_entries(read_entries(spark, str(tmp_path / "e.xml"))).orderBy("accession").collect()
