@@ -30,7 +30,7 @@ def q_common_ancestor(t: Tables) -> DataFrame:
     return first_last.select("page_id", D.common_ancestor(F.col("a"), F.col("b")).alias("ancestor"))
 
 
-@query("q_label_fields", "D04 C01")
+@query("q_label_fields", "D04 C01", "with d as (select doc_id, text from documents where kind = 'label' and text is not null) select * from (select doc_id, 'indication' as field, trim(left(text, 200), ' ') as value from d union all select doc_id, 'dosage', trim(right(text, 100), ' ') from d union all select doc_id, 'contraindication', 'none' from d) where value <> ''")
 def q_label_fields(t: Tables) -> DataFrame:
     body = F.concat(F.lit("INDICATIONS AND USAGE "), F.left("text", F.lit(200)), F.lit(" DOSAGE AND ADMINISTRATION "), F.right("text", F.lit(100)), F.lit(" CONTRAINDICATIONS none"))
     return D.label_fields(t("documents").where("kind = 'label' and text is not null").select("doc_id", body.alias("text")), "doc_id", "text", "fda")
@@ -49,14 +49,14 @@ def q_front_dates(t: Tables) -> DataFrame:
     return D.front_dates(D.front_page(t("patent_claim").select("claim_id", text.alias("text")), "claim_id", "text"), "claim_id")
 
 
-@query("q_relations", "D06 D08 D15 C17")
+@query("q_relations", "D06 D08 D15 C17", "with c as (select claim_id, lpad(cast(claim_id % 1000 as varchar), 3, '0') as nnn from patent_claim) select claim_id, md5(claim_id || ':0') as sub_id, 'continuation' as type, 'Continuation of application No. 12/' || nnn || ',456, filed on Jan. 5, 2012.' as piece, 'US12' || nnn || '45A' as application_key, 'Jan. 5, 2012' as date, 1325721600000 as date_ms, null as errors from c union all select claim_id, md5(claim_id || ':1'), 'division', 'Division of application No. 11/222,333, filed on May 6, 2010.', 'US1122233A', 'May 6, 2010', 1273104000000, null from c")
 def q_relations(t: Tables) -> DataFrame:
     text = F.concat(F.lit("Continuation of application No. 12/"), F.lpad((F.col("claim_id") % 1000).cast("string"), 3, "0"), F.lit(",456, filed on Jan. 5, 2012. Division of application No. 11/222,333, filed on May 6, 2010."))
     pieces = D.related_pieces(t("patent_claim").select("claim_id", text.alias("text")), "claim_id", "text", {"continuation of": "continuation", "division of": "division"})
     return D.relation_rows(pieces, "claim_id", "US")
 
 
-@query("q_divisional", "D14 W08")
+@query("q_divisional", "D14 W08", "select claim_id, '62' as code, trim('(62) 分案原申请数据 ' || coalesce(patent_code, ''), ' ') || '续行' as found from patent_claim")
 def q_divisional(t: Tables) -> DataFrame:
     text = F.concat(F.lit("(22) 2010\n(62) 分案原申请数据 "), F.coalesce("patent_code", F.lit("")), F.lit("\n续行\n(54) x"))
     return D.divisional_lines(t("patent_claim").select("claim_id", text.alias("text")), "claim_id", "text")
@@ -82,14 +82,14 @@ def q_figure_titles(t: Tables) -> DataFrame:
     return D.figure_titles(text.unionByName(caption).where("y0_t is not null"), "pdf_name")
 
 
-@query("q_form_cells", "D03 D09 D16")
+@query("q_form_cells", "D03 D09 D16", "select l_orderkey, 0 as page, 0 as \"table\", row_number() over (partition by l_orderkey order by l_linenumber % 3, l_linenumber % 2, l_returnflag) - 1 as cell, l_linenumber % 3 as \"row\", l_linenumber % 2 as col, l_returnflag as text from lineitem")
 def q_form_cells(t: Tables) -> DataFrame:
     cell = F.struct((F.col("l_linenumber") % 3).alias("row"), (F.col("l_linenumber") % 2).alias("col"), F.col("l_returnflag").alias("text"))
     forms = t("lineitem").groupBy("l_orderkey").agg(F.array(F.struct(F.array(F.struct(F.sort_array(F.collect_list(cell)).alias("cells"))).alias("tables"), F.array(F.lit("a b")).alias("lines"))).alias("pages"))
     return D.form_rows(forms, "l_orderkey")["cells"]
 
 
-@query("q_before_tables", "D13")
+@query("q_before_tables", "D13", "with l as (select page_id, regexp_split_to_array(text, '\\r?\\n') as v from title_page where text is not null), p as (select page_id, v, list_filter(range(1, len(v) + 1), lambda i: trim(v[i], ' ') in ('Results', 'Methods'))[1] as p from l) select page_id, array_to_string(case when p is null then v else v[1:p - 1] end, chr(10)) as text from p")
 def q_before_tables(t: Tables) -> DataFrame:
     p = t("title_page").where("text is not null").select("page_id", "text", F.array(F.array(F.lit("Results")), F.array(F.lit("Methods"))).alias("rows"))
     return D.before_tables(p, "page_id", "text", "rows")
@@ -146,13 +146,22 @@ def q_content_labels(t: Tables) -> DataFrame:
     return n.select("news_id", F.array_join(I.clean_content_labels(F.array("resource", "company"), F.col("title"), ["健康"]), "|").alias("labels"))
 
 
-@query("q_claim_pipeline", "F12 C06")
+@query(
+    "q_claim_pipeline",
+    "F12 C06",
+    r"""
+    with p as (select main_id, claim_num, claim_text as t, '(?i)claims?\s+(\d+)\s*(?:-|–|to|through)\s*(\d+)|权利要求(\d+)\s*[-–~～至到]\s*(\d+)' as f, '(?i)claims?\s+(\d+(?:\s*(?:,|or|and|或|和|、)\s*\d+)*)|权利要求(\d+(?:\s*(?:,|or|and|或|和|、)\s*(?:权利要求)?\d+)*)' as l from patent_claim where claim_text is not null),
+    g as (select main_id, claim_num, t, try_cast(regexp_extract(t, f, 1) || regexp_extract(t, f, 3) as integer) as lo, try_cast(regexp_extract(t, f, 2) || regexp_extract(t, f, 4) as integer) as hi, list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(t, l, 1) || regexp_extract(t, l, 2), '\d+'), lambda x: cast(x as integer)))) as listed from p),
+    r as (select main_id, claim_num, t, array_to_string(case when lo is not null and hi is not null then range(least(lo, hi), greatest(lo, hi) + 1) else listed end, ',') as claim_ref from g)
+    select main_id, claim_num, case when claim_ref <> '' then 'D' else 'I' end as claim_class, case when regexp_matches(t, '(?i)^use of|用途') then 'use' when regexp_matches(t, '(?i)^(a|the) (method|process)|方法') then 'method' when regexp_matches(t, '(?i)^(a|the) kit|试剂盒') then 'kit' when regexp_matches(t, '(?i)composition|组合物') then 'composition' end as claim_type, claim_ref from r
+    """,
+)
 def q_claim_pipeline(t: Tables) -> DataFrame:
     out = I.claim_pipeline(t("patent_claim").where("claim_text is not null"))
     return out.withColumn("claim_ref", F.array_join(F.transform("claim_ref", lambda x: x.cast("string")), ","))
 
 
-@query("q_news_pipeline", "F11 A16 N17")
+@query("q_news_pipeline", "F11 A16 N17", "with p as (select rec_id, i - 1 as pos, paragraphs[i] as para from (select rec_id, paragraphs, unnest(range(1, len(paragraphs) + 1)) as i from news_body where paragraphs is not null)), l as (select *, length(para) % 3 as l from p where length(para) > 50), m as (select rec_id, min(l) as label from l group by 1), c as (select l.rec_id, arg_min(para, pos) as chosen from l join m on l.rec_id = m.rec_id and l.l = m.label group by 1), b as (select n.rec_id, m.label, coalesce(c.chosen, n.paragraphs[1]) as para from news_body n left join m on m.rec_id = n.rec_id left join c on c.rec_id = n.rec_id) select cast(rec_id as varchar) as esid, coalesce(label, 0) as label, nullif(regexp_extract(para, '(series [A-Z]|[A-Z]轮)', 1), '') as round, nullif(regexp_extract(para, '([0-9.]+ (?:million|Millionen)|[0-9.]+亿元)', 1), '') as amount from b")
 def q_news_pipeline(t: Tables) -> DataFrame:
     news = t("news_body").select(F.col("rec_id").cast("string").alias("esid"), "paragraphs")
     out = I.financing_news(news, _scorer, {"round": lambda s: s.str.extract(r"(series [A-Z]|[A-Z]轮)", expand=False), "amount": lambda s: s.str.extract(r"([\d.]+ (?:million|Millionen)|[\d.]+亿元)", expand=False)})

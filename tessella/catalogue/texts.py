@@ -158,7 +158,7 @@ def q_chunks_overlap(t: Tables) -> DataFrame:
     return T.chunk_rows(_docs(t), "text", 400, 200).select("doc_id", "pos", F.md5("chunk").alias("h"))
 
 
-@query("q_token_windows", "K08")
+@query("q_token_windows", "K08", "with w as (select doc_id, len(string_split(text, ' ')) as m from documents where text is not null), e as (select doc_id, m, unnest(range(0, greatest(1, m), 40)) as b from w) select doc_id, cast(b / 40 as bigint) as pos, least(50, m - b) as n from e")
 def q_token_windows(t: Tables) -> DataFrame:
     words = F.split(F.col("text"), " ")
     return _docs(t).where("text is not null").select("doc_id", F.posexplode(T.token_windows(words, 50)).alias("pos", "w")).select("doc_id", "pos", F.size("w").alias("n"))
@@ -313,7 +313,7 @@ def q_list_median(t: Tables) -> DataFrame:
     return t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q")).select("l_orderkey", F.round(X.list_median(F.col("q")), 6).alias("m"))
 
 
-@query("q_calendar_difference", "C20")
+@query("q_calendar_difference", "C20", "with n as (select o_orderkey, cast(o_orderdate as date) as d, datesub('month', cast(o_orderdate as date), date '2000-01-01') as n from orders), m as (select o_orderkey, d, n - case when d + to_months(cast(n as integer)) > date '2000-01-01' then 1 else 0 end as m from n) select o_orderkey, cast(floor(m / 12) as integer) as years, cast(m - 12 * floor(m / 12) as integer) as months, datediff('day', cast(d + to_months(cast(m as integer)) as date), date '2000-01-01') as days from m")
 def q_calendar_difference(t: Tables) -> DataFrame:
     d = X.calendar_difference(F.to_date("o_orderdate"), F.lit("2000-01-01").cast("date"))
     return t("orders").select("o_orderkey", d["years"].alias("years"), d["months"].alias("months"), d["days"].alias("days"))
