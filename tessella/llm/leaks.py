@@ -276,7 +276,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     # A document's candidates in rows of bounded size, with its text.
     parts = hits.groupBy("doc").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("parts"))
     several = hits.join(sentences, "sid").join(parts, "doc").groupBy("doc", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("sid", "kind", "tokens", "starts")).alias("candidates"))
-    rows = corpus.join(broadcast_if_small(cut(several)), "doc").select("doc", "body", "candidates")
+    rows = corpus.join(broadcast_if_small(cut(several), 8 << 20), "doc").select("doc", "body", "candidates")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Sentence] = {}
