@@ -145,7 +145,14 @@ def q_sentences_naive(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", F.posexplode(T.sentences_naive(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("q_sentences_en", "K05 K17")
+@query(
+    "q_sentences_en",
+    "K05 K17",
+    r"""
+    with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]["'')\]]*)\s+([A-Z0-9"''(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: trim(replace(trim(x, ' '), '*', ''), ' ')), lambda x: length(x) >= 10 and not regexp_matches(x, '(?i)^\s*(advert|figure|table|图|表|广告)')) as v from documents where text is not null)
+    select doc_id, unnest(range(len(v))) as pos, unnest(v) as sentence from s
+    """,
+)
 def q_sentences_en(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", F.posexplode(T.filter_sentences(T.sentences_en(F.col("text")))).alias("pos", "sentence"))
 
