@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.pairs import GROUP_BLOCK, split_join
-from tessella.plans.runtime import cut
+from tessella.plans.runtime import broadcast_if_small, cut
 
 
 def draw(key: Column | str, seed: int = 0) -> Column:
@@ -112,12 +112,21 @@ def balance_two_levels(df: DataFrame, outer: str, flag: str, key: str, ratio: fl
 
 
 def tiered_sample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """Rows for evaluation: of a class of up to 20 rows one, up to 50 two, up to 100 four, else one in twenty."""
-    w = Window.partitionBy(label)
-    n = F.col("__n")
+    """Rows for evaluation: of a class of up to 20 rows one, up to 50 two, up to 100 four, else one in twenty.
+
+    Those of least draw, ties by key. Ranks are sought within 256 slices of the
+    draw, of which those beyond a class's quota fall out before any sort. Rows
+    of a null class are a class of their own.
+    """
+    marked = df.withColumn("__l", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))).withColumn("__s", F.conv(F.substring(draw(key, seed), 1, 2), 16, 10).cast("int"))
+    slices = marked.groupBy("__l", "__s").agg(F.count("*").alias("__m"))
+    whole, upto = Window.partitionBy("__l"), Window.partitionBy("__l").orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum("__m").over(whole)
     quota = F.when(n <= 20, 1).when(n <= 50, 2).when(n <= 100, 4).otherwise(F.floor(n * 0.05))
-    ranked = df.withColumn("__n", F.count("*").over(w)).withColumn("__k", F.row_number().over(w.orderBy(draw(key, seed), F.col(key).cast("string"))))
-    return ranked.where(F.col("__k") <= quota).drop("__n", "__k")
+    plan = slices.select("__l", "__s", (F.sum("__m").over(upto) - F.col("__m")).alias("__before"), quota.alias("__q")).where("__before < __q")
+    rows = marked.join(broadcast_if_small(plan), ["__l", "__s"])
+    within = Window.partitionBy("__l", "__s").orderBy(draw(key, seed), F.col(key).cast("string"))
+    return rows.withColumn("__k", F.col("__before") + F.row_number().over(within)).where(F.col("__k") <= F.col("__q")).select(*df.columns)
 
 
 def negative_pairs(df: DataFrame, labels: DataFrame, key: str, label: str, n: int = 10, seed: int = 0) -> DataFrame:
@@ -159,7 +168,6 @@ def self_pairs(df: DataFrame, text: str) -> DataFrame:
 
 def fake_pairs(queries: DataFrame, dictionary: DataFrame, positives: DataFrame, query: str, entry: str) -> DataFrame:
     """All query-entry pairs that are no positives; the dictionary's size is checked before it is broadcast."""
-    from tessella.plans.runtime import broadcast_if_small
 
     pairs = queries.select(query).distinct().join(broadcast_if_small(dictionary.select(entry).distinct()), F.lit(True))
     return pairs.join(positives.select(query, entry), [query, entry], "left_anti")
