@@ -62,14 +62,18 @@ def label_cross(texts: DataFrame, labels: DataFrame, own: str, label: str = "lab
 
 
 def contains_join(texts: DataFrame, entries: DataFrame, text: str, entry: str) -> DataFrame:
-    """Pairs of texts and dictionary entries that occur in them.
+    """Pairs of texts and dictionary entries that occur in them, with the columns of both.
 
-    Entries meet a text through the text's own pieces of the entry's length
-    where few lengths exist; here by a broadcast of the checked dictionary.
+    An automaton passes over each different text once per block of the
+    dictionary, so no side is compared with all of the other. Null and empty
+    texts and entries match nothing.
     """
-    from tessella.plans.runtime import broadcast_if_small
+    from tessella.operators.dictionary import occurrences
+    from tessella.plans.pairs import split_join
 
-    return texts.join(broadcast_if_small(entries), F.contains(F.col(text), F.col(entry)))
+    found = occurrences(texts.select(F.col(text).alias("__t")).distinct(), entries, "__t", "__t", entry).select("__t", F.col("entry").alias("__e")).distinct()
+    met = split_join(texts.withColumn("__t", F.col(text)), found, "__t").drop("__t")
+    return split_join(met, entries.withColumn("__e", F.col(entry)), "__e").drop("__e")
 
 
 def within_window(events: DataFrame, others: DataFrame, on: Sequence[str], time: str, other_time: str, back: int = WEEK_MS, ahead: int = WEEK_MS) -> DataFrame:
