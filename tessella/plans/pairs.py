@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.runtime import broadcast_if_small
+from tessella.plans.runtime import broadcast_if_small, bytes_of
 
+#: Estimated bytes of a right side that travels whole: then nothing is shuffled, and no key is hot.
+SMALL = 8 << 20
 #: Rows of one key that one task of ``split_join`` takes on its left side.
 KEY_BLOCK = 20_000
 #: Members of one group that one task takes on its left side.
@@ -26,11 +28,13 @@ def pairs_within(members: DataFrame, group: str, key: str, as_a: str, as_b: str)
 def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", block: int = KEY_BLOCK) -> DataFrame:
     """``left`` joined with ``right`` on ``key``, inner or left; a key with over ``block`` left rows is dealt over tasks, its right rows going to each.
 
-    Only the hot keys are gathered beside: at most one for each ``block`` rows.
+    A small right side is broadcast instead, behind a check of its size. Else only the hot keys are gathered beside: at most one for each ``block`` rows.
     A null key meets nothing, and doesn't gather its rows in one task.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"split_join does not do {how}")
+    if bytes_of(right) <= SMALL:
+        return left.join(F.broadcast(right), key, how)
     sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = sizes.select(key, F.ceil(F.col("n") / block).cast("int").alias("__blocks"))
     row = F.xxhash64(*[F.col(c) for c in left.columns if not left.schema[c].dataType.simpleString().startswith("map")])

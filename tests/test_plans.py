@@ -88,8 +88,9 @@ def test_spread_runs_nothing_ahead(spark):
 
 
 @pytest.mark.parametrize("block", [1, 3, 20_000])
-def test_split_join(spark, block):
+def test_split_join(spark, block, monkeypatch):
     """The same rows as a plain join, whatever the split; null keys meet nothing and stay in a left join."""
+    monkeypatch.setattr("tessella.plans.pairs.SMALL", 0 if block < 20_000 else 8 << 20)
     left = spark.createDataFrame([(k, i, ["x"]) for i, k in enumerate(["hot"] * 50 + ["a", "b", None, None, "", "a"])], "k string, i int, v array<string>")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), (None, 4), ("", 5), ("c", 6)], "k string, r int")
     for how in ("inner", "left"):
