@@ -441,7 +441,7 @@ def learn(read: DataFrame, rounds: int = ROUNDS) -> Corpus | None:
             yield pd.DataFrame({"bucket": some, **{c: x[some] for c, x in sums.items()}})
 
         counts = read.mapInPandas(count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-        corpus = Corpus.of(counts.where(F.col("pos") + F.col("neg") >= SEEN).toPandas())
+        corpus = Corpus.of(counts.where(F.col("pos") + F.col("neg") >= SEEN).toArrow().to_pandas())
     return corpus
 
 

@@ -42,6 +42,7 @@ def test_bounds_agree(spark, monkeypatch):
     for name, value in (("SIEVE_BITS", 64), ("CANDIDATES", 1)):
         monkeypatch.setattr(L, name, value)
     monkeypatch.setattr(L.split_join, "__defaults__", ("inner", 1))
+    monkeypatch.setattr("tessella.plans.pairs.SMALL", 0)
     assert found(spark, docs, items) == whole == [(1, 1), (1, 3), (2, 2), (3, 1), (3, 2), (3, 3)]
 
 
