@@ -56,15 +56,16 @@ def roots(edges: DataFrame, child: str = "child", parent: str = "parent") -> Dat
     return edges.select(F.col(parent).alias("node")).where("node is not null").distinct().join(edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("node")).distinct(), "node", "left_anti")
 
 
-def siblings(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """``(node, sibling)``: different children of a common parent. What is asked for is the pairs themselves."""
+def siblings(edges: DataFrame, child: str = "child", parent: str = "parent", of: DataFrame | None = None) -> DataFrame:
+    """``(node, sibling)``: different children of a common parent, of all nodes or those ``of`` (node). What is asked for is the pairs themselves."""
     a, b = edges.select(F.col(child).alias("node"), F.col(parent).alias("p")), edges.select(F.col(child).alias("sibling"), F.col(parent).alias("p"))
+    a = a if of is None else a.join(of, "node", "left_semi")
     return a.join(b, "p").where("node <> sibling").select("node", "sibling").distinct()
 
 
 def aunts(edges: DataFrame, closed: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """``(node, aunt)``: siblings of ancestors that are no ancestors themselves."""
-    s = siblings(edges, child, parent).select(F.col("node").alias("ancestor"), F.col("sibling").alias("aunt"))
+    """``(node, aunt)``: siblings of ancestors that are no ancestors themselves. Nodes without descendants, mostly the many, are paired with nobody."""
+    s = siblings(edges, child, parent, closed.select(F.col("ancestor").alias("node")).distinct()).select(F.col("node").alias("ancestor"), F.col("sibling").alias("aunt"))
     found = closed.select(F.col("descendant").alias("node"), "ancestor").join(s, "ancestor").select("node", "aunt").distinct()
     return found.join(closed.select(F.col("descendant").alias("node"), F.col("ancestor").alias("aunt")), ["node", "aunt"], "left_anti").where("node <> aunt")
 
