@@ -41,10 +41,15 @@ def table_lookup(table: Column, key_pattern: str) -> Column:
 
 
 def rows_to_map(rows: Column) -> Column:
-    """A raw table (array of arrays) as a map from its first column, in lower case without blanks, to the rest; later rows win."""
-    entries = F.transform(rows, lambda r: F.struct(F.lower(F.regexp_replace(r[0], r"\s+", "")).alias("k"), F.slice(r, 2, 1000000).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1000000), lambda x: x["k"] == e["k"]))
-    return F.map_from_entries(last)
+    """A raw table (array of arrays) as a map from its first column, in lower case without blanks, to the rest; later rows win, rows without one fall out."""
+    entries = F.transform(rows, lambda r, i: F.struct(F.lower(F.regexp_replace(r[0], r"\s+", "")).alias("k"), i.alias("i"), F.slice(r, 2, 1000000).alias("v")))
+
+    def last(e: Column) -> Column:
+        # In order of keys and places, what no row of its key follows; comparing each row with all later ones would be quadratic.
+        return F.filter(e, lambda x, i: ~F.coalesce(F.get(e, i + 1)["k"] == x["k"], F.lit(False)))
+
+    kept = let(F.array_sort(F.filter(entries, lambda x: x["k"].isNotNull())), last)
+    return F.map_from_entries(F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"], x["k"], x["v"]))), lambda x: F.struct(x["k"], x["v"])))
 
 
 def columns_to_map(rows: Column) -> Column:
