@@ -22,15 +22,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessella.llm.dom import Node, parse, walk
 from tessella.plans.runtime import cut, spread
 
 #: Buckets of the hashed word sequences: the size of what the corpus says, whatever the corpus.
 BUCKETS = 1 << 19
+#: Pages whose lists are in Python at once.
+SLICE = 256
 #: Times that the corpus is counted and the pages are weighed again.
 ROUNDS = 2
 #: Share of a sequence's blocks amid articles under which it speaks against an article, and of those outside of them over which it does.
@@ -402,21 +407,35 @@ def article_text(html: str | None, corpus: Corpus | None = None) -> str | None:
     return None if html is None else _Reading(read_page(html), corpus).text()
 
 
-def _pages(batch: pd.DataFrame) -> Iterator[Page]:
-    for row in zip(*(batch[c] for c in _FIELDS)):
-        yield Page(*(x.tolist() for x in row))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few pages at a time, whatever the batches: a page's lists take many times its bytes in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _pages(batch: pa.RecordBatch) -> Iterator[Page]:
+    for row in zip(*(batch.column(c).to_pylist() for c in _FIELDS)):
+        yield Page(*row)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(schema))
 
 
 def _read(pages: DataFrame, key: str, html: str) -> DataFrame:
     """The pages' lists, written once: a page is parsed a single time."""
-    kind = pages.schema[key].dataType.simpleString()
+    schema = f"key {pages.schema[key].dataType.simpleString()}, missing boolean, {_PAGE}"
+    fields = _arrow(_PAGE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            read = [read_page(h) for h in batch["html"]]
-            yield pd.DataFrame({"key": batch["key"], "missing": batch["html"].isna(), **{c: pd.Series([getattr(p, c) for p in read], dtype=object) for c in _FIELDS}})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column("html")
+            read = [read_page(h) for h in texts.to_pylist()]
+            lists = [pa.array([getattr(p, f.name) for p in read], f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), texts.is_null(), *lists], ["key", "missing", *_FIELDS])
 
-    return cut(spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html"))).mapInPandas(run, f"key {kind}, missing boolean, {_PAGE}"))
+    return cut(spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html"))).mapInArrow(run, schema))
 
 
 def learn(read: DataFrame, rounds: int = ROUNDS) -> Corpus | None:
@@ -428,19 +447,19 @@ def learn(read: DataFrame, rounds: int = ROUNDS) -> Corpus | None:
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(corpus)
 
-        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
             sums = {c: np.zeros(BUCKETS, np.int64) for c in _COUNTS}
-            for batch in batches:
+            for batch in _slices(batches):
                 found = [_Reading(page, known).counts() for page in _pages(batch) if page.nodes]
                 if found:
                     buckets, flags = (np.concatenate(x) for x in zip(*found))
                     for bit, c in enumerate(_COUNTS):
                         sums[c] += np.bincount(buckets[(flags >> bit) & 1 > 0], minlength=BUCKETS)
             some = np.flatnonzero(sum(sums.values()))
-            yield pd.DataFrame({"bucket": some, **{c: x[some] for c, x in sums.items()}})
+            yield pa.RecordBatch.from_pydict({"bucket": some, **{c: x[some] for c, x in sums.items()}})
 
-        counts = read.mapInPandas(count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+        counts = read.mapInArrow(count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS])
         corpus = Corpus.of(counts.where(F.col("pos") + F.col("neg") >= SEEN).toArrow().to_pandas())
     return corpus
 
@@ -454,11 +473,13 @@ def pages_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html",
     read = _read(pages.where(F.length(html) > 0), key, html)
     shared = pages.sparkSession.sparkContext.broadcast(learn(read, rounds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(k, n) for k, page in zip(batch["key"], _pages(batch)) for n in _Reading(page, shared.value).numbers()], columns=[key, "block_n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [_Reading(page, shared.value).numbers() for page in _pages(batch)]
+            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), pa.array([n for x in found for n in x], pa.int32())], [key, "block_n"])
 
-    return read.where("key is not null").mapInPandas(run, schema)
+    return read.where("key is not null").mapInArrow(run, schema)
 
 
 def pages_to_text(pages: DataFrame, key: str = "page_id", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
@@ -467,9 +488,9 @@ def pages_to_text(pages: DataFrame, key: str = "page_id", html: str = "html", ro
     read = _read(pages, key, html)
     shared = pages.sparkSession.sparkContext.broadcast(learn(read, rounds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [None if m else _Reading(page, shared.value).text() for m, page in zip(batch["missing"], _pages(batch))]
-            yield pd.DataFrame({key: batch["key"], "text": pd.Series(texts, dtype=object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = [None if m else _Reading(page, shared.value).text() for m, page in zip(batch.column("missing").to_pylist(), _pages(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], [key, "text"])
 
-    return read.mapInPandas(run, schema)
+    return read.mapInArrow(run, schema)
