@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessella.operators.components import components
-from tessella.plans.pairs import pairs_within, split_join
+from tessella.plans.pairs import GROUP_BLOCK, split_join
 from tessella.plans.query import tokens
-from tessella.plans.runtime import let, spread
+from tessella.plans.runtime import broadcast_if_small, cut, let, spread
 
 #: Query vectors in one block that meets the corpus.
 QUERY_BLOCK = 4096
@@ -247,8 +247,15 @@ def blocks_trigram(a: Column, b: Column) -> Column:
     return F.arrays_overlap(shingles(a, 3), shingles(b, 3))
 
 
-def _band_hashes(bands: int, rows: int):
-    """An Arrow UDF from an array of hashes to one hash per band of minima."""
+#: Words of 64 bits in which a set's hashes are counted by parity.
+PARITY = 4
+
+
+def _marks(bands: int, rows: int):
+    """An Arrow UDF from an array of distinct hashes to ``PARITY`` words of parities and one hash per band of minima.
+
+    An element that only one of two sets has turns one of the parities' bits: they differ in no more bits than the sets in elements.
+    """
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     masks = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64)
@@ -266,7 +273,9 @@ def _band_hashes(bands: int, rows: int):
                     h ^= h >> np.uint64(32)
                     low = np.minimum(low, (h * factors).min(0))
                 band = (low.reshape(bands, rows) * mix).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                out.append((band ^ (band >> np.uint64(29))).astype(np.int64))
+                odd = np.bincount((x >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                out.append(np.concatenate([parity, (band ^ (band >> np.uint64(29))).astype(np.int64)]))
         return pd.Series(out, dtype=object)
 
     return run
@@ -280,22 +289,42 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.8, n: i
     whose hot buckets are dealt out, and linked where the exact similarity holds. A pair at 0.8 meets with
     probability 1 - (1 - 0.8^4)^24 > 0.9999. ``links`` counts the different
     texts at ``least`` or more. Texts without words stand alone.
+
+    What travels is small: keys by band, and sizes and parities where several
+    texts share one. These rule out most candidates where they meet (by
+    necessary conditions, so none is lost; less often beyond some 600 n-grams).
+    Sets are made again for the rest alone.
     """
-    hashed = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    sets = hashed.withColumn("s", F.transform(shingles(F.col("t"), n), lambda x: F.xxhash64(x)))
-    sets = sets.withColumn("h", F.when(F.size("s") > 0, F.xxhash64(F.array_sort("s"))))
-    folded = sets.where("h is not null").groupBy("h").agg(F.min("k").alias("head"), F.min_by("s", "k").alias("s"))
-    members = spread(folded.select("head", "s")).select("head", F.explode(_band_hashes(bands, rows)("s")).alias("b"))
-    pairs = pairs_within(members, "b", "head", "a", "b")
-    left, right = folded.select(F.col("head").alias("a"), F.col("s").alias("sa")), folded.select(F.col("head").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    set_of = F.transform(shingles(F.col("t"), n), lambda x: F.xxhash64(x))
+    hash_of = F.when(F.size("s") > 0, F.xxhash64(F.array_sort("s")))
+    made = spread(docs).withColumn("s", set_of).select("k", hash_of.alias("h"), F.size("s").alias("n"), _marks(bands, rows)("s").alias("m"))
+    parities = [f"p{i}" for i in range(PARITY)]
+    marks = cut(made.select("k", "h", "n", *[F.get("m", F.lit(i)).alias(p) for i, p in enumerate(parities)], F.slice("m", PARITY + 1, bands).alias("bands")))
+    folded = cut(marks.where("h is not null").groupBy("h").agg(F.min("k").alias("head")))
+    copies = cut(marks.join(folded, "h").where("k <> head").select("k", "h"))
+    heads = marks.where("h is not null").join(broadcast_if_small(copies), ["k", "h"], "left_anti")
+    # One shuffle by band; keys alone in one fall out where they lie.
+    members = heads.select(F.explode("bands").alias("g"), "k").repartition("g").distinct()
+    met = members.withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1").select("g", "k", F.ceil(F.col("c") / GROUP_BLOCK).cast("int").alias("blocks"))
+    kept = met.join(heads.select("k", "n", *parities), "k")
+    left = kept.select("g", F.col("k").alias("a"), F.col("n").alias("na"), *[F.col(p).alias(f"a{p}") for p in parities], F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    right = kept.select("g", F.col("k").alias("b"), F.col("n").alias("nb"), *[F.col(p).alias(f"b{p}") for p in parities], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    turned = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in parities])
+    # As least <= shared / (na + nb - shared), and na + nb - 2 shared elements are in one set only; a little is left for rounding.
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * (least - 1e-9)) & (turned <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least) + 1e-9))
+    pairs = cut(left.join(right, ["g", "block"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
+    asked = cut(heads.select("k", "h").join(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi").distinct())
+    # Cut, else the hash becomes a key of the join and all texts' sets are made.
+    sets = cut(docs.join(broadcast_if_small(asked), "k")).withColumn("s", set_of).where(hash_of == F.col("h")).select("k", "h", "s")
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared / (F.size("sa") + F.size("sb") - shared) >= least).select("a", "b")
+    links = cut(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= least).select("a", "b", "ha", "hb").distinct()).select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("links"))
     comp = components(links)
     least_of = comp.groupBy("component").agg(F.min("vertex").alias("class_id"))
     classes = comp.join(least_of, "component").select(F.col("vertex").alias("head"), "class_id")
-    out = sets.join(folded.select("h", "head"), "h", "left").join(classes, "head", "left").join(degree, "head", "left")
+    out = marks.select("k", "h").join(folded, "h", "left").join(classes, "head", "left").join(degree, "head", "left")
     return out.select(F.col("k").alias(key), F.coalesce("class_id", "head", "k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
